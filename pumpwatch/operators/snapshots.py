@@ -153,17 +153,21 @@ def star(prices: DataFrame, stations: DataFrame, fuels: DataFrame,
     return prices.join(st, "station_id").join(fu, "fuel_id").join(sn, "snapshot_id")
 
 
-def flat_records(starred: DataFrame) -> DataFrame:
-    """PRJ-02: Station, City, Region, Fuel, Price (float), Snapshot ('yyyy-MM-dd HH:mm')."""
+def flat_records(starred: DataFrame, price_as_double: bool = True) -> DataFrame:
+    """PRJ-02: Station, City, Region, Fuel, Price (float), Snapshot ('yyyy-MM-dd HH:mm').
+
+    ``price_as_double=False`` keeps the exact DECIMAL for aggregation (pivots).
+    """
+    price = F.col("price").cast("double") if price_as_double else F.col("price")
     return starred.select(F.col("station").alias("Station"), F.col("city").alias("City"),
                           F.col("region").alias("Region"), F.col("fuel").alias("Fuel"),
-                          F.col("price").cast("double").alias("Price"),
+                          price.alias("Price"),
                           minute_text(F.col("snapshot_ts")).alias("Snapshot"))
 
 
 def price_extract(selection: Selection, prices: DataFrame, stations: DataFrame,
-                  fuels: DataFrame, snapshots: DataFrame, station_id: int | None = None
-                  ) -> DataFrame:
+                  fuels: DataFrame, snapshots: DataFrame, station_id: int | None = None,
+                  price_as_double: bool = True, ordered: bool = True) -> DataFrame:
     """OP-08: flat price records of the chosen snapshots; too many → no rows.
 
     Ordered by region, city, station (one station: newest snapshot first).
@@ -175,7 +179,9 @@ def price_extract(selection: Selection, prices: DataFrame, stations: DataFrame,
     chosen = facts.join(F.broadcast(ids), "snapshot_id", "left_semi")
     if selection.too_many:
         chosen = chosen.limit(0)
-    rec = flat_records(star(chosen, stations, fuels, snapshots))
+    rec = flat_records(star(chosen, stations, fuels, snapshots), price_as_double)
+    if not ordered:
+        return rec
     if station_id is not None:
         return rec.orderBy(F.col("Snapshot").desc(), "Fuel", "Price")
     return rec.orderBy("Region", "City", "Station", "Snapshot", "Fuel", "Price")

@@ -46,4 +46,5 @@ def load_all() -> dict[str, Entry]:
     # importing the catalogue modules fills REGISTRY
     from pumpwatch.plans import history_queries  # noqa: F401
     from pumpwatch.plans import snapshot_queries  # noqa: F401
+    from pumpwatch.plans import pivot_queries  # noqa: F401
     return REGISTRY
