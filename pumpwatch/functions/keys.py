@@ -4,9 +4,13 @@
 Instead: range-partition by the order key (balanced by sampling), number rows
 inside each partition, and add the partition's offset — the running total of
 the per-partition counts, a table of one row per partition (bounded by the
-partition count, so broadcasting it is safe). Deterministic for a given input
-and ordering key; write the result (or checkpoint it) before ids are relied on
-across jobs.
+partition count, so broadcasting it is safe).
+
+Range bounds come from sampling, so two evaluations of the same plan may cut
+partitions differently. The numbered rows are therefore checkpointed (to the
+shared ``spark.checkpoint.dir``) before the offsets are computed: row numbers
+and offsets come from one partitioning, and every later use of the ids reads
+the same materialised rows (also after a lost executor).
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pumpwatch.session import ensure_checkpoint_dir
+
 
 def assign_ids(df: DataFrame, order_by: list[str], start: int | None = 1,
                start_col=None, id_col: str = "id", partitions: int | None = None) -> DataFrame:
@@ -27,8 +33,10 @@ def assign_ids(df: DataFrame, order_by: list[str], start: int | None = 1,
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(f"`{c}`") for c in order_by]
     ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    ensure_checkpoint_dir(spark)
     numbered = ranged.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*keys)) - 1)
+        "_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*keys)) - 1
+    ).checkpoint(eager=True)
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select(
         "_pid", (F.sum("_cnt").over(Window.orderBy("_pid")) - F.col("_cnt")).alias("_off"))

@@ -48,4 +48,5 @@ def load_all() -> dict[str, Entry]:
     from pumpwatch.plans import snapshot_queries  # noqa: F401
     from pumpwatch.plans import pivot_queries  # noqa: F401
     from pumpwatch.plans import feed_queries  # noqa: F401
+    from pumpwatch.plans import archive_queries  # noqa: F401
     return REGISTRY

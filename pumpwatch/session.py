@@ -51,6 +51,11 @@ def get_session(master: str | None = None, app: str = "pumpwatch",
     return configure(spark)
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder (set only when the cluster names none)."""
+    return _checkpoint_base(spark)
+
+
 def _checkpoint_base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
