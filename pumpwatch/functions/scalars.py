@@ -15,7 +15,7 @@ from pumpwatch.model import PRICE_TYPE
 NA_REGION = "N/A"
 MISSING_MARK = "—"
 CENT = "¢"
-NBSP = " "
+NBSP = "\u00a0"
 
 # fixed values: accepted date-time parameter formats, tried in this order
 DATETIME_FORMATS = ("yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
@@ -114,11 +114,23 @@ def clamp(x: Column, lo: Column, hi: Column) -> Column:
 
 
 def next_boundary(ts: Column, minutes: int) -> Column:
-    """SCL-15: the next multiple of ``minutes`` after ``ts`` (epoch-aligned).
+    """SCL-15: next run of a job scheduled every ``minutes`` minutes of the hour.
 
-    On an exact boundary the reference returns ``ts`` itself; so do we.
+    ``minutes - minute % minutes`` minutes ahead, seconds dropped; when the
+    minute is already on a multiple, the current minute itself.
     """
-    secs = F.unix_micros(ts)
-    step = F.lit(minutes * 60 * 1_000_000).cast("long")
-    up = ((secs + step - F.lit(1)) / step).cast("long") * step
-    return F.timestamp_micros(up)
+    step = F.lit(minutes)
+    ahead = step - F.minute(ts) % step
+    ahead = F.when(ahead == step, F.lit(0)).otherwise(ahead)
+    return F.date_trunc("minute", ts + F.make_dt_interval(F.lit(0), F.lit(0), ahead))
+
+
+def add_minutes(ts: Column, minutes: Column) -> Column:
+    """SCL-15: timestamp + N minutes (negative N subtracts)."""
+    return ts + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
+
+
+def pad_left_aligned(col: Column, width: int) -> Column:
+    """SCL-05: ``f"{x:<width}"`` — right padding, never cut."""
+    s = F.coalesce(col, F.lit(""))
+    return F.when(F.length(s) >= width, s).otherwise(F.rpad(s, width, " "))

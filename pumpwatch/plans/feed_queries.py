@@ -34,7 +34,7 @@ def feature_lines(spark, sf_dir):
     address = F.when(k % 5 == 0, street).otherwise(F.concat(street, F.lit(", "), F.col("city")))
     amount = F.format_string("%.2f", F.col("l_extendedprice"))
     price_text = (F.when(F.col("l_returnflag") == "R", F.lit("N/D"))
-                  .when(F.col("l_returnflag") == "A", F.concat(amount, F.lit(" ¢")))
+                  .when(F.col("l_returnflag") == "A", F.concat(amount, F.lit("\u00a0¢")))
                   .otherwise(amount))
     entry = F.struct(
         F.when(F.col("l_linenumber") == 6, F.lit("  ")).otherwise(F.col("p_type")).alias("GasType"),
