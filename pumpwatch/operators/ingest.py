@@ -123,6 +123,36 @@ def get_or_create_fuels(existing: DataFrame, names: DataFrame) -> DataFrame:
         assign_ids(new, ["name"], start_col=next_id).select("id", "name"))
 
 
+def _station_rows(flat: DataFrame, dataset: str) -> DataFrame:
+    return flat.select(*[c for c in ("snapshot", "pos") if c in flat.columns],
+                       "longitude", "latitude", F.lit(dataset).alias("dataset"),
+                       F.coalesce(F.col("Name"), F.lit("")).alias("name"),
+                       address_street(F.col("Address")).alias("adress"),
+                       address_city(F.col("Address")).alias("city"),
+                       F.coalesce(F.col("Region"), F.lit("")).alias("region"))
+
+
+def upsert_dimensions(flat: DataFrame, dataset: str, stations: DataFrame, fuels: DataFrame
+                      ) -> tuple[DataFrame, DataFrame]:
+    """Stations (UPS-02) and fuels (UPS-03) after one or many polls."""
+    order_cols = [F.col("snapshot")] + ([F.col("pos")] if "pos" in flat.columns else [])
+    stations2 = upsert_stations(stations, _station_rows(flat, dataset), F.struct(*order_cols))
+    fuels2 = get_or_create_fuels(fuels, valid_entries(feed_entries(flat)))
+    return stations2, fuels2
+
+
+def resolve_prices(flat: DataFrame, dataset: str, stations: DataFrame, fuels: DataFrame
+                   ) -> DataFrame:
+    """Valid price entries → (snapshot_id, station_id, fuel_id, price) by the
+    natural keys (name, street) and fuel name."""
+    entries = valid_entries(feed_entries(flat))
+    st = stations.where(F.col("dataset") == F.lit(dataset)).select(
+        F.col("id").alias("station_id"), "name", F.col("adress").alias("street"))
+    fu = fuels.select(F.col("id").alias("fuel_id"), F.col("name").alias("fuel"))
+    return (entries.join(st, ["name", "street"]).join(fu, "fuel")
+            .select(F.col("snapshot").alias("snapshot_id"), "station_id", "fuel_id", "price"))
+
+
 def populate(flat: DataFrame, dataset: str, stations: DataFrame, fuels: DataFrame
              ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """OP-11: features of one or many polls → (stations', fuels', new prices).
@@ -131,19 +161,5 @@ def populate(flat: DataFrame, dataset: str, stations: DataFrame, fuels: DataFram
     the feature's position in its document, for "last wins" inside a poll).
     The new price rows reference the upserted dimensions by id.
     """
-    order_cols = [F.col("snapshot")] + ([F.col("pos")] if "pos" in flat.columns else [])
-    feats = flat.select(*[c for c in ("snapshot", "pos") if c in flat.columns],
-                        "longitude", "latitude", F.lit(dataset).alias("dataset"),
-                        F.coalesce(F.col("Name"), F.lit("")).alias("name"),
-                        address_street(F.col("Address")).alias("adress"),
-                        address_city(F.col("Address")).alias("city"),
-                        F.coalesce(F.col("Region"), F.lit("")).alias("region"))
-    stations2 = upsert_stations(stations, feats, F.struct(*order_cols))
-    entries = valid_entries(feed_entries(flat))
-    fuels2 = get_or_create_fuels(fuels, entries)
-    st = stations2.where(F.col("dataset") == F.lit(dataset)).select(
-        F.col("id").alias("station_id"), "name", F.col("adress").alias("street"))
-    fu = fuels2.select(F.col("id").alias("fuel_id"), F.col("name").alias("fuel"))
-    prices = (entries.join(st, ["name", "street"]).join(fu, "fuel")
-              .select(F.col("snapshot").alias("snapshot_id"), "station_id", "fuel_id", "price"))
-    return stations2, fuels2, prices
+    stations2, fuels2 = upsert_dimensions(flat, dataset, stations, fuels)
+    return stations2, fuels2, resolve_prices(flat, dataset, stations2, fuels2)

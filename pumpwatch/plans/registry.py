@@ -50,4 +50,5 @@ def load_all() -> dict[str, Entry]:
     from pumpwatch.plans import feed_queries  # noqa: F401
     from pumpwatch.plans import archive_queries  # noqa: F401
     from pumpwatch.plans import report_queries  # noqa: F401
+    from pumpwatch.plans import streaming_queries  # noqa: F401
     return REGISTRY
