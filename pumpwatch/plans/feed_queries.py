@@ -17,15 +17,16 @@ from pumpwatch.functions.keys import assign_ids
 from pumpwatch.operators import ingest as ig
 from pumpwatch.plans.registry import query
 from pumpwatch.sources import feed as fd
-from pumpwatch.sources.tables import read_table
+from pumpwatch.session import ensure_checkpoint_dir
+from pumpwatch.sources.tables import read_table, spread
 
 FEED_DATASET = "feed"
 
 
 def feature_lines(spark, sf_dir):
     """lineitem ⋈ supplier/nation/region ⋈ part → one Feature JSON line per row."""
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    li = spread(read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag"))
     st = model.stations_o(spark, sf_dir)
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
     k = F.col("l_suppkey")
@@ -48,7 +49,12 @@ def feature_lines(spark, sf_dir):
 
 
 def parsed_features(spark, sf_dir):
-    return fd.flatten_features(fd.parse_feature_text(feature_lines(spark, sf_dir)))
+    """The derived feed, parsed once: several branches of a job read it, so the
+    parsed features are checkpointed (shared checkpoint folder) instead of
+    being re-encoded and re-parsed per branch."""
+    ensure_checkpoint_dir(spark)
+    return fd.flatten_features(fd.parse_feature_text(feature_lines(spark, sf_dir))) \
+        .checkpoint(eager=True)
 
 
 # DuckDB: the expected outcome of parsing, written case by case

@@ -19,8 +19,26 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = False
+               ) -> DataFrame:
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df) if spread_out else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-row heavy work at least one partition per task slot.
+
+    A scan of few, large, unsplittable units (one row group per file in the
+    test tables) yields fewer partitions than the cluster has slots, and
+    everything up to the first shuffle then runs on that many threads. Only
+    in that case the rows are spread round-robin; a scan of a big table
+    already has thousands of splits and is left untouched (no extra shuffle).
+    Call it on the projected columns, after filters, so only those move.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
 
 
 def dataset_extract(facts: DataFrame, snapshots: DataFrame, dataset: str,
