@@ -48,13 +48,15 @@ def feature_lines(spark, sf_dir):
                                        F.col("l_orderkey")).alias("value"))
 
 
-def parsed_features(spark, sf_dir):
-    """The derived feed, parsed once: several branches of a job read it, so the
-    parsed features are checkpointed (shared checkpoint folder) instead of
-    being re-encoded and re-parsed per branch."""
+def parsed_features(spark, sf_dir, shared: bool = False):
+    """The derived feed, parsed. When several branches of a job read it
+    (``shared``), the parsed features are checkpointed to the shared folder
+    once instead of being re-encoded and re-parsed per branch."""
+    flat = fd.flatten_features(fd.parse_feature_text(feature_lines(spark, sf_dir)))
+    if not shared:
+        return flat
     ensure_checkpoint_dir(spark)
-    return fd.flatten_features(fd.parse_feature_text(feature_lines(spark, sf_dir))) \
-        .checkpoint(eager=True)
+    return flat.checkpoint(eager=True)
 
 
 # DuckDB: the expected outcome of parsing, written case by case
@@ -165,7 +167,7 @@ FROM fresh
 """)
 def station_upsert(spark, sf_dir):
     from pumpwatch.functions.scalars import address_city, address_street
-    f = parsed_features(spark, sf_dir)
+    f = parsed_features(spark, sf_dir, shared=True)
     feats = f.select(F.lit(FEED_DATASET).alias("dataset"),
                      F.coalesce(F.col("Name"), F.lit("")).alias("name"),
                      address_street(F.col("Address")).alias("adress"),
@@ -193,7 +195,7 @@ SELECT (SELECT coalesce(max(id), 0) FROM existing) + row_number() OVER (ORDER BY
 FROM fresh
 """)
 def fuel_get_or_create(spark, sf_dir):
-    entries = ig.valid_entries(ig.feed_entries(parsed_features(spark, sf_dir)))
+    entries = ig.valid_entries(ig.feed_entries(parsed_features(spark, sf_dir, shared=True)))
     return ig.get_or_create_fuels(_existing_fuels(spark, sf_dir), entries)
 
 
@@ -204,7 +206,7 @@ SELECT snapshot AS snapshot_id, name, street AS adress, fuel, count(*) AS prices
 FROM addr WHERE ln NOT IN (3, 6, 7) AND rf <> 'R' GROUP BY ALL
 """)
 def feed_populate(spark, sf_dir):
-    flat = parsed_features(spark, sf_dir)
+    flat = parsed_features(spark, sf_dir, shared=True)
     stations, fuels, prices = ig.populate(flat, FEED_DATASET,
                                           _existing_feed_stations(spark, sf_dir),
                                           _existing_fuels(spark, sf_dir))

@@ -32,7 +32,7 @@ def stream_snapshot_ingest(spark, sf_dir):
     store.write_dim("stations", _existing_feed_stations(spark, sf_dir), 0)
     store.write_dim("fuels", _existing_fuels(spark, sf_dir), 0)
     q = start_ingest(spark, landing, store, FEED_DATASET, f"{base}/checkpoint",
-                     layout="sequence", available_now=True, max_files_per_trigger=2)
+                     layout="sequence", available_now=True, max_files_per_trigger=4)
     q.awaitTermination()
     st = store.read_dim("stations").select(F.col("id").alias("station_id"), "name", "adress")
     fu = store.read_dim("fuels").select(F.col("id").alias("fuel_id"), F.col("name").alias("fuel"))
