@@ -224,23 +224,25 @@ def last_changes(prices: DataFrame, stations: DataFrame) -> DataFrame:
 
     Equivalent to LAG over (station, fuel) ordered by time, keeping the
     newest row whose price differs from the previous row of the key — but
-    written without a key-partitioned window:
-
-      last_price = price at the newest row of the key
-      t*         = newest time whose price differs from last_price
-                   (the previous row of the change; its price is prev_price)
-      fetched_at = first time after t* (every row after t* has last_price)
-
-    Three partial aggregates joined on the key; a key with one price only
-    has no change. Expects one row per (key, snapshot) as in the deduplicated
-    history; the rounded values and delta follow the reference (delta from
-    the unrounded prices, HALF_UP on DECIMAL).
+    written without a key-partitioned window, in two passes over the facts:
+
+      pass 1  per (key, price): newest time ``mx`` (partial aggregate). Per
+              key, the group holding the newest row gives ``last_price``; the
+              newest ``mx`` of any OTHER price is t*, the previous row of the
+              change, and its price is ``prev_price`` (small aggregates only).
+      pass 2  ``fetched_at`` = first time after t* (every row after t* has
+              last_price): facts ⋈ per-key t*, min(ts) — partial aggregate.
+
+    A key with one price only has no change. Expects one row per (key,
+    snapshot) as in the deduplicated history; rounding follows SQL ROUND
+    (HALF_UP on DECIMAL), the delta from the unrounded prices.
     """
     p = prices.select(*KEY, TS, "price")
-    last = p.groupBy(*KEY).agg(F.max_by("price", TS).alias("last_price"))
-    before = (p.join(last, KEY).where(F.col("price") != F.col("last_price"))
-              .groupBy(*KEY).agg(F.max(TS).alias("prev_fetched_at"),
-                                 F.max_by("price", TS).alias("prev_price"),
+    per_value = p.groupBy(*KEY, "price").agg(F.max(TS).alias("mx"))
+    newest = per_value.groupBy(*KEY).agg(F.max_by("price", "mx").alias("last_price"))
+    before = (per_value.join(newest, KEY).where(F.col("price") != F.col("last_price"))
+              .groupBy(*KEY).agg(F.max("mx").alias("prev_fetched_at"),
+                                 F.max_by("price", "mx").alias("prev_price"),
                                  F.max("last_price").alias("last_price")))
     change = (p.join(before, KEY).where(F.col(TS) > F.col("prev_fetched_at"))
               .groupBy(*KEY).agg(F.min(TS).alias(TS),
