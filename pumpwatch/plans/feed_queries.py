@@ -65,7 +65,8 @@ WITH src AS (
   SELECT l.l_orderkey AS snapshot, l.l_linenumber AS ln, l.l_returnflag AS rf,
          s.s_suppkey AS k, s.s_name AS name, n.n_name AS nation, r.r_name AS region,
          p.p_type AS fuel, CAST(l.l_extendedprice AS DECIMAL(10,2)) AS price,
-         -80.0 + (s.s_suppkey % 24) AS longitude, 44.0 + (s.s_suppkey % 19) AS latitude
+         CAST(-80.0 + (s.s_suppkey % 24) AS DOUBLE) AS longitude,
+         CAST(44.0 + (s.s_suppkey % 19) AS DOUBLE) AS latitude
   FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
   JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
   JOIN part p ON l.l_partkey = p.p_partkey),
@@ -148,7 +149,8 @@ incoming AS (SELECT DISTINCT 'feed' AS dataset, name, street AS adress, city, re
 kept AS (
   SELECT e.id, e.dataset, e.name, e.adress,
          coalesce(i.city, 'OLD') AS city, coalesce(i.region, 'OLD') AS region,
-         coalesce(i.longitude, 0.0) AS longitude, coalesce(i.latitude, 0.0) AS latitude
+         coalesce(i.longitude, CAST(0.0 AS DOUBLE)) AS longitude,
+         coalesce(i.latitude, CAST(0.0 AS DOUBLE)) AS latitude
   FROM existing e LEFT JOIN incoming i
     ON i.dataset = e.dataset AND i.name = e.name AND i.adress = e.adress),
 fresh AS (

@@ -233,7 +233,7 @@ def changed_since_previous_dups(spark, sf_dir):
 
 
 @query("vanished_since_previous", ids="JOIN-04", sql=E_CTE + _LATEST_PREV.format(src="obs") + """
-SELECT p.station_id, p.fuel_type, p.fetched_at, p.price FROM prev p
+SELECT p.station_id, p.fuel_type, p.fetched_at, CAST(p.price AS DOUBLE) AS price FROM prev p
 WHERE NOT EXISTS (SELECT 1 FROM latest l
                   WHERE l.station_id = p.station_id AND l.fuel_type = p.fuel_type)
 """)
