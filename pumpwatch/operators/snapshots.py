@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pumpwatch.functions.scalars import minute_text
+from pumpwatch.functions.scalars import ceil_div, clamp, minute_text
 from pumpwatch.model import STATUS_PROCESSED
 
 # fixed values: calendar bucket modes; anything else falls back to 'latest'
@@ -104,6 +104,21 @@ def select_snapshots(snapshots: DataFrame, dataset: str | None = None, mode: str
                      page, pages, total, False)
 
 
+def paging_facts(snapshots: DataFrame, registry: DataFrame, page: int) -> DataFrame:
+    """TOP-05 / SCL-10 for every dataset at once: processed snapshots, pages =
+    ceil(total / max_snapshots) or 1, the requested page clamped to [1, pages]
+    and its row offset. One partial aggregate, joined to the (small) registry."""
+    totals = (snapshots.where(F.col("status") == F.lit(STATUS_PROCESSED))
+              .groupBy(F.col("dataset").alias("name")).agg(F.count(F.lit(1)).alias("total")))
+    reg = registry.select("name", "max_snapshots").join(totals, "name", "left")
+    total = F.coalesce(F.col("total"), F.lit(0)).cast("long")
+    pages = F.greatest(ceil_div(total, F.col("max_snapshots")), F.lit(1)).cast("long")
+    pg = clamp(F.lit(page).cast("long"), F.lit(1).cast("long"), pages)
+    return reg.select(F.col("name").alias("dataset"), total.alias("total"),
+                      pages.alias("total_pages"), pg.alias("page"),
+                      ((pg - 1) * F.col("max_snapshots")).cast("long").alias("offset"))
+
+
 def latest_snapshots(snapshots: DataFrame, dataset: str | None = None, n: int = 5) -> DataFrame:
     """TOP-04: the n newest snapshots of a dataset, any status."""
     s = snapshots if dataset is None else snapshots.where(F.col("dataset") == F.lit(dataset))

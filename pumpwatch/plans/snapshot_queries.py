@@ -70,6 +70,18 @@ def snapshots_page_clamped(spark, sf_dir):
                                max_snapshots=MAX_SNAPSHOTS).snapshots
 
 
+@query("snapshot_paging", ids="TOP-05 SCL-10 (per dataset: total, pages, clamped page)",
+       sql=O_CTE + """
+, t AS (SELECT dataset, count(*) AS total FROM snaps WHERE status = 'processed' GROUP BY 1),
+p AS (SELECT dataset, total, greatest(CAST(ceil(total / 100.0) AS BIGINT), 1) AS total_pages FROM t)
+SELECT dataset, total, total_pages, least(greatest(12, 1), total_pages) AS page,
+       (least(greatest(12, 1), total_pages) - 1) * 100 AS "offset"
+FROM p
+""")
+def snapshot_paging(spark, sf_dir):
+    return sn.paging_facts(model.snapshots_o(spark, sf_dir), model.datasets_o(spark, sf_dir), 12)
+
+
 @query("snapshots_lookahead_page", ids="TOP-06 TOP-08", sql=O_CTE + """
 , numbered AS (
   SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, id DESC) AS rn

@@ -57,3 +57,22 @@ def test_lookahead_has_next(spark):
     p2 = sn.lookahead_page(snaps(spark, rows), "a", page=2, size=5).collect()
     assert len(p1) == 5 and all(r.has_next for r in p1)
     assert len(p2) == 2 and not any(r.has_next for r in p2)
+
+
+def test_keyset_page_continues_after_last_row(spark):
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i // 2), "processed", "a")
+            for i in range(9)]
+    s = snaps(spark, rows)
+    first = sn.keyset_page(s, size=4).collect()
+    last = first[-1]
+    nxt = sn.keyset_page(s, after_ts=last.timestamp, after_id=last.id, size=4).collect()
+    seen = [r.id for r in first] + [r.id for r in nxt]
+    assert seen == [8, 7, 6, 5, 4, 3, 2, 1]
+
+
+def test_paging_facts_clamp(spark):
+    rows = [(i, dt.datetime(2024, 1, 1), "processed", "a") for i in range(5)]
+    reg = spark.createDataFrame([("a", 2), ("b", 2)], "name string, max_snapshots int")
+    got = {r.dataset: (r.total, r.total_pages, r.page, r.offset)
+           for r in sn.paging_facts(snaps(spark, rows), reg, 9).collect()}
+    assert got == {"a": (5, 3, 3, 4), "b": (0, 1, 1, 0)}
