@@ -6,8 +6,9 @@
 Selection runs on the dimension only. The chosen ids are never collected:
 the price extract is a left-semi join of the facts with the selection
 DataFrame, so at scale only the (small) id set is broadcast or shuffled and
-the fact scan keeps its pushed filters. The one action is a COUNT of the
-bucket list to clamp the page number, as the reference does.
+the fact scan keeps its pushed filters. The only action is a COUNT of the
+bucket list, run when a later page must be clamped (as the reference does)
+or when a caller reads the totals.
 """
 
 from __future__ import annotations
@@ -29,14 +30,33 @@ LIST_PAGE_SIZE = 50
 
 @dataclass
 class Selection:
-    """Chosen snapshots (lazy) plus the paging facts shown next to them."""
+    """Chosen snapshots (lazy) plus the paging facts shown next to them.
+
+    ``total`` / ``too_many`` / ``total_pages`` are computed on first use (one
+    COUNT of the bucket list); a first page needs no count at all.
+    """
     snapshots: DataFrame          # id, period
     mode: str
     submode: str
     page: int
-    total_pages: int
-    total: int
-    too_many: bool
+    counted: DataFrame            # the rows whose number is ``total``
+    max_snapshots: int
+    guarded: bool = False         # range mode: empty when over max_snapshots
+    _total: int | None = None
+
+    @property
+    def total(self) -> int:
+        if self._total is None:
+            self._total = self.counted.count()
+        return self._total
+
+    @property
+    def too_many(self) -> bool:
+        return self.guarded and self.total > self.max_snapshots
+
+    @property
+    def total_pages(self) -> int:
+        return 1 if self.guarded else _clamp_page(1, self.total, self.max_snapshots)[1]
 
 
 def _lit_ts(value: dt.datetime | str | None):
@@ -69,13 +89,18 @@ def select_snapshots(snapshots: DataFrame, dataset: str | None = None, mode: str
     if dataset is not None:
         base = base.where(F.col("dataset") == F.lit(dataset))
     page = max(1, int(page))
+
+    def paged(rows: DataFrame, order, mode_: str, submode_: str) -> Selection:
+        sel = Selection(rows, mode_, submode_, 1, rows, max_snapshots)
+        if page > 1:   # only a later page needs the total to be clamped
+            sel.page = _clamp_page(page, sel.total, max_snapshots)[0]
+        sel.snapshots = (rows.orderBy(*order).offset((sel.page - 1) * max_snapshots)
+                         .limit(max_snapshots).select("id", "period"))
+        return sel
+
     if mode not in BUCKET_MODES:
-        total = base.count()
-        page, pages = _clamp_page(page, total, max_snapshots)
-        chosen = (base.orderBy(F.col("timestamp").desc(), F.col("id").desc())
-                  .offset((page - 1) * max_snapshots).limit(max_snapshots)
-                  .select("id", F.col("timestamp").alias("period")))
-        return Selection(chosen, "latest", "page", page, pages, total, False)
+        rows = base.select("id", F.col("timestamp").alias("period"))
+        return paged(rows, [F.col("period").desc(), F.col("id").desc()], "latest", "page")
 
     def buckets(df: DataFrame) -> DataFrame:
         return (df.groupBy(F.date_trunc(mode, F.col("timestamp")).alias("period"))
@@ -86,22 +111,15 @@ def select_snapshots(snapshots: DataFrame, dataset: str | None = None, mode: str
         b = buckets(ranged)
         # the guard is a scalar subquery: nothing leaves the cluster
         guarded = b.where(b.select(F.count(F.lit(1))).scalar() <= F.lit(max_snapshots))
-        total = b.count()
-        too_many = total > max_snapshots
-        return Selection(guarded.select("id", "period"), mode, "range", 1, 1, total, too_many)
+        return Selection(guarded.select("id", "period"), mode, "range", 1, b, max_snapshots,
+                         guarded=True)
 
     if submode == "until" and until is None:
         until = dt.datetime.now(dt.timezone.utc)
     if until is not None:
         base = base.where(F.col("timestamp") <= _lit_ts(until))
-    b = buckets(base)
-    total = b.count()
-    page, pages = _clamp_page(page, total, max_snapshots)
-    chosen = (b.orderBy(F.col("period").desc())
-              .offset((page - 1) * max_snapshots).limit(max_snapshots)
-              .select("id", "period"))
-    return Selection(chosen, mode, "until" if until is not None else "page",
-                     page, pages, total, False)
+    return paged(buckets(base), [F.col("period").desc()], mode,
+                 "until" if until is not None else "page")
 
 
 def paging_facts(snapshots: DataFrame, registry: DataFrame, page: int) -> DataFrame:
@@ -190,10 +208,9 @@ def price_extract(selection: Selection, prices: DataFrame, stations: DataFrame,
     facts = prices
     if station_id is not None:
         facts = facts.where(F.col("station_id") == F.lit(station_id))
+    # too many buckets → the guarded selection is empty → no rows, no extra job
     ids = selection.snapshots.select(F.col("id").alias("snapshot_id"))
     chosen = facts.join(F.broadcast(ids), "snapshot_id", "left_semi")
-    if selection.too_many:
-        chosen = chosen.limit(0)
     rec = flat_records(star(chosen, stations, fuels, snapshots), price_as_double)
     if not ordered:
         return rec

@@ -30,8 +30,11 @@ from pumpwatch.operators.counts import with_price_counts
 from pumpwatch.sinks.store import PriceStore
 from pumpwatch.sources import feed as fd
 
-# snapshot ids of document polls: batch_id * SNAPSHOTS_PER_BATCH + file rank
+# snapshot ids of document polls: batch_id * SNAPSHOTS_PER_BATCH + file rank;
+# a document batch takes at most MAX_DOCUMENTS_PER_BATCH files, which bounds
+# the per-batch ranking window
 SNAPSHOTS_PER_BATCH = 1_000_000
+MAX_DOCUMENTS_PER_BATCH = 1000
 
 
 def read_landing(spark: SparkSession, landing: str, layout: str = "documents",
@@ -104,6 +107,9 @@ class FeedBatch:
 def start_ingest(spark: SparkSession, landing: str, store: PriceStore, dataset: str,
                  checkpoint: str, layout: str = "documents", available_now: bool = True,
                  every_minutes: int = 5, max_files_per_trigger: int | None = None):
+    if layout == "documents":
+        max_files_per_trigger = min(max_files_per_trigger or MAX_DOCUMENTS_PER_BATCH,
+                                    MAX_DOCUMENTS_PER_BATCH)
     stream = read_landing(spark, landing, layout, max_files_per_trigger)
     writer = (stream.writeStream.foreachBatch(FeedBatch(store, dataset, layout))
               .option("checkpointLocation", checkpoint))
