@@ -23,7 +23,7 @@ from pumpwatch.sources.tables import read_table, spread
 FEED_DATASET = "feed"
 
 
-def feature_lines(spark, sf_dir):
+def feature_lines(spark, sf_dir, keep_snapshot: bool = False):
     """lineitem ⋈ supplier/nation/region ⋈ part → one Feature JSON line per row."""
     li = spread(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag"))
@@ -43,9 +43,11 @@ def feature_lines(spark, sf_dir):
         (F.col("l_linenumber") != 3).alias("IsAvailable"))
     prices = F.when(F.col("l_linenumber") == 7, F.lit(None)).otherwise(F.array(entry))
     rows = (li.join(st, li.l_suppkey == st.id).join(part, li.l_partkey == part.p_partkey))
-    return rows.select(fd.feature_json(F.col("name"), address, F.col("region"),
-                                       F.col("longitude"), F.col("latitude"), prices,
-                                       F.col("l_orderkey")).alias("value"))
+    value = fd.feature_json(F.col("name"), address, F.col("region"), F.col("longitude"),
+                            F.col("latitude"), prices, F.col("l_orderkey")).alias("value")
+    if keep_snapshot:
+        return rows.select(value, F.col("l_orderkey").alias("snapshot"))
+    return rows.select(value)
 
 
 def parsed_features(spark, sf_dir, shared: bool = False):

@@ -10,6 +10,7 @@ from pumpwatch.plans.feed_queries import (FEED_DATASET, FEED_CTE, _existing_feed
                                           _existing_fuels, feature_lines)
 from pumpwatch.plans.registry import query
 from pumpwatch.session import work_dir
+from pumpwatch.sources.tables import read_table
 from pumpwatch.sinks.store import PriceStore
 from pumpwatch.streaming.ingest import start_ingest
 
@@ -39,3 +40,40 @@ def stream_snapshot_ingest(spark, sf_dir):
     return (store.published_prices().join(st, "station_id").join(fu, "fuel_id")
             .groupBy("snapshot_id", "name", "adress", "fuel")
             .agg(F.count(F.lit(1)).alias("prices"), F.sum("price").alias("amount")))
+
+
+def collection_lines(spark, sf_dir):
+    """One poll document per lineitem line (``{"snapshot": id, ...}`` first);
+    every document of a low-priority 'P' order is cut in half (corrupt)."""
+    lines = feature_lines(spark, sf_dir, keep_snapshot=True)
+    o = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("snapshot"),
+        ((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P")).alias("bad"))
+    doc = F.concat(F.lit('{"snapshot":'), F.col("snapshot").cast("string"),
+                   F.lit(',"type":"FeatureCollection","features":['), F.col("value"), F.lit("]}"))
+    cut = F.expr("substring(_doc, 1, CAST(length(_doc) / 2 AS INT))")
+    return (lines.join(o, "snapshot").withColumn("_doc", doc)
+            .select("snapshot", F.when(F.col("bad"), cut).otherwise(F.col("_doc")).alias("value")))
+
+
+@query("stream_error_isolation", ids="STR-02 STR-03 AGG-17 (corrupt poll → error snapshot, "
+       "nothing of it published; the others processed)", sql=FEED_CTE + """
+, o AS (SELECT o_orderkey, o_orderpriority = '5-LOW' AND o_orderstatus = 'P' AS bad FROM orders)
+SELECT a.snapshot AS id, CASE WHEN bool_or(o.bad) THEN 'error' ELSE 'processed' END AS status,
+       CAST(CASE WHEN bool_or(o.bad) THEN 0
+                 ELSE count(*) FILTER (WHERE ln NOT IN (3, 6, 7) AND rf <> 'R') END AS BIGINT)
+         AS price_count
+FROM addr a JOIN o ON o.o_orderkey = a.snapshot
+GROUP BY a.snapshot
+""")
+def stream_error_isolation(spark, sf_dir):
+    base = work_dir(spark, "stream-errors")
+    landing, store = f"{base}/landing", PriceStore(spark, f"{base}/store")
+    (collection_lines(spark, sf_dir).repartition(LANDING_FILES, "snapshot").select("value")
+     .write.mode("overwrite").text(landing))
+    store.write_dim("stations", _existing_feed_stations(spark, sf_dir), 0)
+    store.write_dim("fuels", _existing_fuels(spark, sf_dir), 0)
+    q = start_ingest(spark, landing, store, FEED_DATASET, f"{base}/checkpoint",
+                     layout="collections", available_now=True, max_files_per_trigger=4)
+    q.awaitTermination()
+    return store.read_all("snapshots").select("id", "status", "price_count")

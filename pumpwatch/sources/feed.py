@@ -1,7 +1,7 @@
 """SRC-01 / SRC-02 / PRJ-01: the GeoJSON price feed.
 
 A feed poll is a FeatureCollection; every feature is a station with its
-coordinates and a ``Prices`` array. Two layouts are read:
+coordinates and a ``Prices`` array. Three layouts are read:
 
 * one FeatureCollection document per file (what the feed serves; gzip or
   plain — Spark picks the codec from the file suffix). Each file is one
@@ -9,6 +9,8 @@ coordinates and a ``Prices`` array. Two layouts are read:
   the raw text in ``_corrupt_record`` (the snapshot is then an error).
 * GeoJSON text sequences: one Feature per line. Splittable, so a very large
   poll is parsed by many tasks instead of one.
+* poll collections: one FeatureCollection per line with its ``snapshot`` id
+  written first, so a corrupt line still names its poll.
 
 Explicit schemas — no inference pass over the data.
 """
@@ -45,6 +47,18 @@ FEED = T.StructType([
     T.StructField("_corrupt_record", T.StringType()),
 ])
 
+# one poll document per line, its snapshot id written first (landing convention)
+COLLECTION = T.StructType([
+    T.StructField("snapshot", T.LongType()),
+    T.StructField("features", T.ArrayType(FEATURE)),
+    T.StructField("_corrupt_record", T.StringType()),
+])
+
+
+def collection_snapshot(raw: Column) -> Column:
+    """Snapshot id of a poll line, also when the rest of the line is corrupt."""
+    return F.regexp_extract(raw, r'^\s*\{\s*"snapshot"\s*:\s*(\d+)', 1).try_cast("long")
+
 
 def read_feed_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per feed file: (source_file, features, _corrupt_record)."""

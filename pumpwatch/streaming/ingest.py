@@ -9,6 +9,10 @@ per trigger and ``foreachBatch`` runs the batch ``populate`` on them:
   processed (STR-02).
 * ``sequence``: GeoJSON text sequences, one Feature per line carrying its
   ``snapshot`` id; splittable, for polls too large for one task.
+* ``collections``: one FeatureCollection per line, its ``snapshot`` id
+  written first; a poll may span several lines. A corrupt line is identified
+  from its raw text and makes its whole snapshot an ``error`` (nothing of it
+  is published: all-or-nothing per snapshot).
 
 Per micro-batch: dimension upserts written as a new version → facts appended
 to ``prices/batch=<id>`` → snapshot rows published last (STR-03). The batch
@@ -51,6 +55,13 @@ def read_landing(spark: SparkSession, landing: str, layout: str = "documents",
     if layout == "sequence":
         return (reader.schema(fd.FEATURE).json(landing)
                 .select("*", F.col("_metadata.file_modification_time").alias("polled_at")))
+    if layout == "collections":
+        return (reader.schema(fd.COLLECTION).option("mode", "PERMISSIVE")
+                .option("columnNameOfCorruptRecord", "_corrupt_record").json(landing)
+                .select(F.coalesce(F.col("snapshot"), fd.collection_snapshot(F.col("_corrupt_record")))
+                        .alias("snapshot"), "features",
+                        F.col("_corrupt_record").isNotNull().alias("bad"),
+                        F.col("_metadata.file_modification_time").alias("polled_at")))
     raise ValueError(f"unknown landing layout {layout!r}")
 
 
@@ -76,6 +87,19 @@ class FeedBatch:
             feats = (files.where(F.col("features").isNotNull())
                      .select("snapshot", F.posexplode("features").alias("pos", "f"))
                      .select("snapshot", "pos", "f.geometry", "f.properties"))
+        elif self.layout == "collections":
+            lines = batch.where(F.col("snapshot").isNotNull())
+            snaps = (lines.groupBy(F.col("snapshot").alias("id"))
+                     .agg(F.max("polled_at").alias("timestamp"), F.max("bad").alias("_bad"))
+                     .select("id", "timestamp",
+                             F.when(F.col("_bad"), F.lit(STATUS_ERROR))
+                             .otherwise(F.lit(STATUS_PROCESSED)).alias("status"),
+                             F.lit(self.dataset).alias("dataset")))
+            good = snaps.where(F.col("status") == STATUS_PROCESSED).select(
+                F.col("id").alias("snapshot"))
+            feats = (lines.join(good, "snapshot", "left_semi")
+                     .select("snapshot", F.explode("features").alias("f"))
+                     .select("snapshot", "f.geometry", "f.properties"))
         else:
             snaps = (batch.where(F.col("snapshot").isNotNull())
                      .groupBy(F.col("snapshot").alias("id"))
