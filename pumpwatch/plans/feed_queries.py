@@ -51,9 +51,10 @@ def feature_lines(spark, sf_dir, keep_snapshot: bool = False):
 
 
 def parsed_features(spark, sf_dir, shared: bool = False):
-    """The derived feed, parsed. When several branches of a job read it
-    (``shared``), the parsed features are checkpointed to the shared folder
-    once instead of being re-encoded and re-parsed per branch."""
+    """The derived feed, parsed. When a job evaluates it more than once
+    (``shared``: upserts read it in the id-numbering job and in the final
+    plan; populate in three branches), the parsed features are checkpointed
+    to the shared folder once instead of being re-encoded and re-parsed."""
     flat = fd.flatten_features(fd.parse_feature_text(feature_lines(spark, sf_dir)))
     if not shared:
         return flat
