@@ -79,7 +79,9 @@ def minute_text(col: Column) -> Column:
 def cents(col: Column, signed: bool = False) -> Column:
     """SCL-06: '%.1f¢' (or '%+.1f¢'); NULL → '—'. format_string needs a double."""
     fmt = ("%+.1f" if signed else "%.1f") + CENT
-    return F.coalesce(F.format_string(fmt, col.cast("double")), F.lit(MISSING_MARK))
+    # format_string turns NULL into text ("null" cut to "n"), so test first
+    return F.when(col.isNull(), F.lit(MISSING_MARK)).otherwise(
+        F.format_string(fmt, col.cast("double")))
 
 
 def fit_left(col: Column, width: int) -> Column:

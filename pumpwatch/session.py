@@ -61,14 +61,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def _checkpoint_base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    sc = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 — no SparkContext (e.g. a Connect session)
+        pass
+    if not base and sc is not None:
+        base = sc.getCheckpointDir()
     if not base:
         # only reached outside a cluster (tests): a private scratch folder
         base = tempfile.mkdtemp(prefix="pumpwatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 

@@ -35,10 +35,12 @@ def spread(df: DataFrame) -> DataFrame:
     already has thousands of splits and is left untouched (no extra shuffle).
     Call it on the projected columns, after filters, so only those move.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 — no SparkContext (e.g. a Connect session)
+        return df
+    return df.repartition(slots) if parts < slots else df
 
 
 def dataset_extract(facts: DataFrame, snapshots: DataFrame, dataset: str,
