@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pumpwatch.functions.scalars import region_label
+from pumpwatch.session import ensure_checkpoint_dir
 
 KEY = ["station_id", "fuel_type"]
 TS = "fetched_at"
@@ -119,12 +120,17 @@ def region_report(prices: DataFrame, stations: DataFrame,
     NULL and '' regions share the label 'N/A' (one row; the reference prints
     two rows that share one average bucket — we normalise first).
     """
+    avgs = region_fuel_avg(prices, stations)
     if fuels is None:
-        fuels = distinct_values(prices, "fuel_type")
+        # the (region, fuel) averages are small: materialise them once, then
+        # read the column list and the pivot from them — no second pass over
+        # the facts just to learn the fuel names
+        ensure_checkpoint_dir(avgs.sparkSession)
+        avgs = avgs.checkpoint(eager=True)
+        fuels = distinct_values(avgs, "fuel_type")
     counts = (stations.groupBy(region_label(F.col("region")).alias("region"))
               .agg(F.count(F.lit(1)).alias("stations")))
-    wide = (region_fuel_avg(prices, stations)
-            .groupBy("region").pivot("fuel_type", fuels).agg(F.first("avg_price")))
+    wide = avgs.groupBy("region").pivot("fuel_type", fuels).agg(F.first("avg_price"))
     return (counts.join(wide, "region", "left")
             .select("region", "stations", *[F.col(f"`{f}`") for f in fuels])
             .orderBy(F.col("stations").desc(), F.col("region")))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pumpwatch.functions.scalars import csv_field
+from pumpwatch.session import ensure_checkpoint_dir
 
 TOTALS = "Totals"
 LABEL_SEP = " - "
@@ -118,8 +119,13 @@ def pivot_table(df: DataFrame, rows: list[str], cols: list[str], value: str = "P
     Returns (table, labels). The totals row has ``is_total_row`` = true.
     """
     long = pivot_long(df, rows, cols, value, {"value": agg}, include, exclude)
-    if labels is None:
+    if labels is None and cols:
+        # cells + totals are bounded by the selection guard: materialise them
+        # once, read the labels and pivot from the copy (no second pass)
+        ensure_checkpoint_dir(long.sparkSession)
+        long = long.checkpoint(eager=True)
         labels = column_labels(long, cols)
+    labels = labels or []
     wide = (long.withColumn("_label", _label(cols))
             .groupBy(*[F.col(f"`{r}`") for r in rows], "is_total_row")
             .pivot("_label", labels + [TOTALS]).agg(F.first("value")))
