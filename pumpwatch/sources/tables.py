@@ -19,9 +19,18 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+_SCANS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = False
                ) -> DataFrame:
-    df = spark.read.parquet(table_path(sf_dir, name))
+    """Scan of a read-only input table. The DataFrame (file listing + parquet
+    footer schema) is built once per session and path and reused by every
+    query; it is lazy, so each query still plans its own pruned scan."""
+    key = (id(spark), table_path(sf_dir, name))
+    df = _SCANS.get(key)
+    if df is None:
+        df = _SCANS[key] = spark.read.parquet(key[1])
     return spread(df) if spread_out else df
 
 
