@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pumpwatch.sources.tables import dataset_extract
+
 
 def with_price_counts(snapshots: DataFrame, prices: DataFrame) -> DataFrame:
     """JOIN-08 / AGG-17: snapshot dimension + price_count (0 when none).
@@ -29,9 +31,7 @@ def dataset_price_total(counted_snapshots: DataFrame) -> DataFrame:
 def fuels_used(prices: DataFrame, fuels: DataFrame, snapshots: DataFrame,
                dataset: str) -> DataFrame:
     """JOIN-07 / AGG-10: distinct names of the fuels a dataset's prices use, sorted."""
-    ids = snapshots.where(F.col("dataset") == F.lit(dataset)).select(
-        F.col("id").alias("snapshot_id"))
-    used = prices.join(ids, "snapshot_id", "left_semi").select(F.col("fuel_id").alias("id"))
+    used = dataset_extract(prices, snapshots, dataset).select(F.col("fuel_id").alias("id"))
     return (fuels.join(used, "id", "left_semi").select("name").distinct().orderBy("name"))
 
 

@@ -17,7 +17,8 @@ from pumpwatch.functions.keys import assign_ids
 from pumpwatch.operators import ingest as ig
 from pumpwatch.plans.registry import query
 from pumpwatch.sources import feed as fd
-from pumpwatch.session import ensure_checkpoint_dir
+from pumpwatch.session import ensure_checkpoint_dir, work_dir
+from pumpwatch.sinks import writers
 from pumpwatch.sources.tables import read_table, spread
 
 FEED_DATASET = "feed"
@@ -256,7 +257,11 @@ FROM rec
 def record_batch_save(spark, sf_dir):
     now = read_table(spark, sf_dir, "events").select(
         model.as_utc_ts(F.max("ts"))).scalar()
-    return ig.records_to_prices(_records(spark, sf_dir), now)
+    prices = ig.records_to_prices(_records(spark, sf_dir), now)
+    # appended through the fact sink (date-partitioned batch folder), read back
+    root = writers.append_prices(prices, work_dir(spark, "v1-prices"), batch_id=0,
+                                 ts_col="fetched_at")
+    return spark.read.parquet(root).select("station_id", "fuel_type", "price", "fetched_at")
 
 
 @query("station_upsert_by_id", ids="UPS-01 (last record wins, created_at kept)",

@@ -42,7 +42,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def get_session(master: str | None = None, app: str = "pumpwatch",
                 shuffle_partitions: int | None = None) -> SparkSession:
     builder = (SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
-               .config("spark.ui.showConsoleProgress", "false"))
+               .config("spark.ui.showConsoleProgress", "false")
+               # checkpoint files are deleted once nothing references them
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if master:
         builder = builder.master(master)
     if shuffle_partitions:

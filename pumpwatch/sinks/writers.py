@@ -18,12 +18,6 @@ def write_json_records(records: DataFrame, path: str) -> str:
     return path
 
 
-def records_json_text(records: DataFrame) -> DataFrame:
-    """SNK-02 / SCL-19: each record encoded as one JSON object string."""
-    return records.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns]))
-                          .alias("json"))
-
-
 def write_csv_extract(records: DataFrame, path: str) -> str:
     """SNK-05: a CSV extract with a header line, written by many tasks."""
     records.write.mode("overwrite").option("header", True).csv(path)

@@ -104,3 +104,23 @@ def test_city_not_in_key_is_overwritten(spark, tmp_path):
         "longitude double, latitude double")
     out = ig.upsert_stations(existing, incoming, F.col("snapshot")).collect()
     assert len(out) == 1 and out[0].id == 7 and out[0].city == "New" and out[0].region == "R2"
+
+
+def test_batch_readers_gzip_and_sequence(spark, tmp_path):
+    import gzip
+    d = tmp_path / "docs"
+    d.mkdir()
+    with gzip.open(d / "poll1.json.gz", "wt") as f:
+        json.dump({"type": "FeatureCollection", "features": [feature(name="G")]}, f)
+    (d / "poll2.json").write_text(json.dumps({"type": "FeatureCollection",
+                                              "features": [feature(name="P"), feature(name="Q")]}))
+    feats = fd.features_of_documents(fd.read_feed_documents(spark, str(d)))
+    assert sorted(r.properties.Name for r in feats.collect()) == ["G", "P", "Q"]
+    seq = tmp_path / "seq"
+    seq.mkdir()
+    lines = [dict(feature(name=n), snapshot=i) for i, n in enumerate(["A", "B", "C"])]
+    (seq / "part-0.geojsons").write_text("\n".join(json.dumps(x) for x in lines) + "\n")
+    flat = fd.flatten_features(fd.read_feature_lines(spark, str(seq)))
+    got = sorted((r.snapshot, r.Name) for r in flat.collect())
+    assert got == [(0, "A"), (1, "B"), (2, "C")]
+    assert ig.valid_entries(ig.feed_entries(flat)).count() == 9
