@@ -1,10 +1,12 @@
 """Dense surrogate ids without a single-partition window.
 
 ``row_number() OVER (ORDER BY key)`` would pull every row into one task.
-Instead: range-partition by the order key (balanced by sampling), number rows
-inside each partition, and add the partition's offset — the running total of
-the per-partition counts, a table of one row per partition (bounded by the
-partition count, so broadcasting it is safe).
+Instead: range-partition by the order key (balanced by sampling), sort inside
+each partition, number the rows by their position (``monotonically_increasing_id``
+minus ``partition_id << 33`` — no second shuffle, no window), and add the
+partition's offset — the running total of the per-partition counts, a table
+of one row per partition (bounded by the partition count, so broadcasting it
+is safe).
 
 Range bounds come from sampling, so two evaluations of the same plan may cut
 partitions differently. The numbered rows are therefore checkpointed (to the
@@ -32,10 +34,12 @@ def assign_ids(df: DataFrame, order_by: list[str], start: int | None = 1,
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(f"`{c}`") for c in order_by]
-    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    pid = F.spark_partition_id()
     ensure_checkpoint_dir(spark)
-    numbered = ranged.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*keys)) - 1
+    numbered = ranged.select(
+        "*", pid.alias("_pid"),
+        (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("_rn")
     ).checkpoint(eager=True)
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select(
