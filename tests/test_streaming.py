@@ -40,3 +40,27 @@ def test_error_isolation_and_publish(spark, tmp_path):
     assert store.published_prices().count() == 4
     assert store.read_dim("stations").count() == 3       # S2 upserted, not duplicated
     assert store.read_dim("fuels").count() == 1
+
+
+def test_replayed_batch_is_idempotent(spark, tmp_path):
+    from pumpwatch.sources import feed as fd
+    from pumpwatch.streaming.ingest import FeedBatch
+    landing = tmp_path / "in"
+    landing.mkdir()
+    (landing / "a.json").write_text(json.dumps(doc(["S1", "S2"])))
+    batch = (spark.read.schema(fd.FEED).option("multiLine", True).json(str(landing))
+             .select(F.col("_metadata.file_path").alias("source_file"),
+                     F.col("_metadata.file_modification_time").alias("polled_at"),
+                     "features", "_corrupt_record"))
+    store = PriceStore(spark, str(tmp_path / "store"))
+    store.write_dim("stations", spark.createDataFrame(
+        [], "id long, dataset string, name string, adress string, city string, region string, "
+            "longitude double, latitude double"), 0)
+    store.write_dim("fuels", spark.createDataFrame([], "id long, name string"), 0)
+    body = FeedBatch(store, "d", "documents")
+    body(batch, 0)
+    first = sorted(tuple(r) for r in store.published_prices().collect())
+    body(batch, 0)          # the same micro-batch again, as after a failure
+    assert sorted(tuple(r) for r in store.published_prices().collect()) == first
+    assert store.read_all("snapshots").count() == 1
+    assert store.read_dim("stations").count() == 2
