@@ -74,11 +74,14 @@ class FeedBatch:
     def snapshots_and_features(self, batch: DataFrame, batch_id: int
                                ) -> tuple[DataFrame, DataFrame]:
         if self.layout == "documents":
-            # one snapshot per file; the ranking runs over this batch's files only
-            # (bounded by maxFilesPerTrigger)
+            # one snapshot per file. The ranking window runs over this batch's
+            # file NAMES only (≤ maxFilesPerTrigger rows); the documents stay in
+            # their scan partitions and get their rank by a bounded broadcast.
             w = Window.orderBy("source_file")
-            files = batch.select("*", (F.lit(batch_id * SNAPSHOTS_PER_BATCH)
-                                       + F.row_number().over(w)).alias("snapshot"))
+            ranks = (batch.select("source_file").distinct()
+                     .select("source_file", (F.lit(batch_id * SNAPSHOTS_PER_BATCH)
+                                             + F.row_number().over(w)).alias("snapshot")))
+            files = batch.join(F.broadcast(ranks), "source_file")
             snaps = files.select(
                 F.col("snapshot").alias("id"), F.col("polled_at").alias("timestamp"),
                 F.when(F.col("features").isNull(), F.lit(STATUS_ERROR))
