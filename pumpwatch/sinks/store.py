@@ -13,11 +13,15 @@ overwrites its own folders, so a retried micro-batch never duplicates rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pumpwatch.model import STATUS_PROCESSED
 
+_VERSION_DIR = re.compile(r"/v=(\d+)/")
+
 
 class PriceStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -37,12 +41,18 @@ class PriceStore:
     def read_dim(self, name: str, before: int | None = None) -> DataFrame:
         """The newest version of a dimension (older than ``before`` if given).
 
-        The version is fixed now (one small job), so a batch that writes
-        version n never reads the folder it is overwriting — also on a replay.
+        The version is fixed now, so a batch that writes version n never reads
+        the folder it is overwriting — also on a replay. It is taken from the
+        file listing the reader has already made (partition folder names), not
+        from a scan: versions pile up with every micro-batch, and a ``max(v)``
+        job would touch every file of every version.
         """
         allv = self.spark.read.parquet(self._path(name))
-        cand = allv if before is None else allv.where(F.col("v") < F.lit(before))
-        newest = cand.select(F.max("v")).first()[0]
+        versions = {int(m.group(1)) for f in allv.inputFiles()
+                    if (m := _VERSION_DIR.search(f))}
+        if before is not None:
+            versions = {v for v in versions if v < before}
+        newest = max(versions) if versions else None
         return allv.where(F.col("v") == F.lit(newest)).drop("v")
 
     # facts and snapshots -------------------------------------------------
