@@ -105,9 +105,12 @@ def import_sections(manifest: DataFrame, fuels_in: DataFrame, stations_in: DataF
                       F.col("new_station_id").alias("station_id"),
                       F.col("new_fuel_id").alias("fuel_id"),
                       F.col("price").cast("decimal(10,2)").alias("price")))
-    dropped = (prices_in.join(st_map, "station_id", "left_anti").unionByName(
-        prices_in.join(fuel_map, "fuel_id", "left_anti")).unionByName(
-        prices_in.join(sn_map, "snapshot_id", "left_anti")).distinct())
+    # every price row with at least one unmapped id, once (duplicates kept):
+    # one left-join probe, no union of anti joins and no DISTINCT shuffle
+    probe = (prices_in.join(st_map, "station_id", "left").join(fuel_map, "fuel_id", "left")
+             .join(sn_map, "snapshot_id", "left"))
+    dropped = probe.where(F.col("new_station_id").isNull() | F.col("new_fuel_id").isNull()
+                          | F.col("new_snapshot_id").isNull()).select(*prices_in.columns)
     counted = with_price_counts(sn, mapped)
     return Imported(dataset, fuels2, st, counted, mapped, dropped)
 

@@ -74,13 +74,15 @@ def test_unmapped_ids_dropped_and_status_default(spark):
                                   "longitude double, latitude double")
     sn_in = spark.createDataFrame([(9, "2026-01-01T00:00:00+00:00", None)],
                                   "id long, timestamp string, status string")
-    pr_in = spark.createDataFrame([(5, 1, 1.5, 9), (5, 2, 2.5, 9), (6, 1, 3.5, 9), (5, 1, 4.5, 8)],
+    pr_in = spark.createDataFrame([(5, 1, 1.5, 9), (5, 2, 2.5, 9), (6, 1, 3.5, 9), (5, 1, 4.5, 8),
+                                   (6, 2, 5.5, 8), (6, 2, 5.5, 8)],
                                   "station_id long, fuel_id long, price double, snapshot_id long")
     imp = ar.import_sections(manifest, fuels_in, st_in, sn_in, pr_in, dataset_id=3,
                              fuels=spark.createDataFrame([], "id long, name string"),
                              next_station_id=F.lit(1), next_snapshot_id=F.lit(1))
     assert [float(r.price) for r in imp.prices.collect()] == [1.5]
-    assert imp.dropped.count() == 3
+    # each unmapped row once, also with several unknown ids; duplicates kept
+    assert sorted(r.price for r in imp.dropped.collect()) == [2.5, 3.5, 4.5, 5.5, 5.5]
     assert imp.snapshots.collect()[0].status == "processed"
     d = imp.dataset.collect()[0]
     assert (d.update_frequency, d.data_source_url, d.max_snapshots) == (5, "", 100)
