@@ -59,6 +59,10 @@ class PriceStore:
     def append(self, name: str, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self._path(name)}/batch={batch_id}")
 
+    def read_batch(self, name: str, batch_id: int) -> DataFrame:
+        """One batch folder only: its listing does not grow with the stream's age."""
+        return self.spark.read.parquet(f"{self._path(name)}/batch={batch_id}")
+
     def read_all(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._path(name))
 

@@ -125,7 +125,7 @@ class FeedBatch:
             fuels = self.store.write_dim("fuels", fuels, version)
             prices = ig.resolve_prices(flat, self.dataset, stations, fuels)
             self.store.append("prices", prices, batch_id)
-            published = self.store.read_all("prices").where(F.col("batch") == batch_id)
+            published = self.store.read_batch("prices", batch_id)
             self.store.append("snapshots", with_price_counts(snaps, published), batch_id)
         finally:
             batch.unpersist()
