@@ -85,18 +85,40 @@ addr AS (
 """
 
 
-@query("feed_parse", ids="OP-11 SRC-01 PRJ-01 FLT-06 SCL-01 SCL-02 SCL-03 SCL-17 SCL-19",
-       sql=FEED_CTE + """
+_PARSED_SQL = FEED_CTE + """
 SELECT snapshot, name, street, city, region, longitude, latitude, fuel,
        CAST(price AS DOUBLE) AS price
 FROM addr WHERE ln NOT IN (3, 6, 7) AND rf <> 'R'
-""")
-def feed_parse(spark, sf_dir):
-    e = ig.valid_entries(ig.feed_entries(parsed_features(spark, sf_dir)))
+"""
+
+
+def _kept_entries(flat):
+    e = ig.valid_entries(ig.feed_entries(flat))
     return e.select("snapshot", "name", "street", "city", "region", "longitude", "latitude",
                     "fuel", "price")
 
 
+@query("feed_parse", ids="OP-11 SRC-01 PRJ-01 FLT-06 SCL-01 SCL-02 SCL-03 SCL-17 SCL-19",
+       sql=_PARSED_SQL)
+def feed_parse(spark, sf_dir):
+    return _kept_entries(parsed_features(spark, sf_dir))
+
+
+@query("feed_files_parse", ids="SRC-01 SRC-02 (feed files, gzip and plain, one reader) "
+       "PRJ-01 FLT-06 SCL-02", sql=_PARSED_SQL)
+def feed_files_parse(spark, sf_dir):
+    """The derived feed landed as files — polls of regions A-D gzip-compressed,
+    the others plain text — and read back as ONE folder by the production
+    line reader: the codec is picked per file by its suffix, and the text
+    sequence splits across tasks like any other line-oriented file."""
+    root = work_dir(spark, "feed-files")
+    lines = feature_lines(spark, sf_dir)
+    gz = F.get_json_object("value", "$.properties.Region") < F.lit("E")
+    lines.where(gz).write.mode("overwrite").option("compression", "gzip").text(f"{root}/gz")
+    lines.where(~gz).write.mode("overwrite").text(f"{root}/plain")
+    return _kept_entries(fd.flatten_features(fd.read_feature_lines(spark, f"{root}/*")))
+
+
 @query("feed_address_split", ids="SCL-01 SCL-04", sql=FEED_CTE + """
 SELECT DISTINCT name, street, city FROM addr
 """)

@@ -28,7 +28,7 @@ def _e(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return model.obs(spark, sf_dir), model.stations_e(spark, sf_dir)
 
 
-@query("latest_prices", ids="OP-06 FLT-07 JOIN-01 TOP-01", sql=E_CTE + """
+@query("latest_prices", ids="OP-06 FLT-07 JOIN-01 TOP-01 SRC-05 PRJ-03", sql=E_CTE + """
 SELECT s.name, s.city, s.region, p.fuel_type, CAST(p.price AS DOUBLE) AS price
 FROM obs p JOIN st s ON s.id = p.station_id
 WHERE p.fetched_at = (SELECT max(fetched_at) FROM obs)
@@ -149,7 +149,7 @@ WHERE pr.rn <= 10
 """
 
 
-@query("snapshot_changes", ids="OP-02 WIN-04 JOIN-03 JOIN-04 AGG-07",
+@query("snapshot_changes", ids="OP-02 WIN-04 JOIN-03 JOIN-04 AGG-07 SCL-16",
        sql=E_CTE + _CHANGES_SQL.format(src="obs"))
 def snapshot_changes(spark, sf_dir):
     return ob.snapshot_changes(model.obs(spark, sf_dir), 10)
@@ -179,7 +179,7 @@ final AS (
 """
 
 
-@query("price_variations", ids="OP-03 WIN-01 WIN-02 WIN-03 PRJ-04 FLT-09",
+@query("price_variations", ids="OP-03 WIN-01 WIN-02 WIN-03 PRJ-04 FLT-09 SCL-09 SCL-16",
        sql=E_CTE + _VAR_SQL + "SELECT * FROM final")
 def price_variations(spark, sf_dir):
     prices, stations = _e(spark, sf_dir)

@@ -185,7 +185,7 @@ WHERE px.snapshot_id IN (SELECT id FROM chosen) {extra}
 """
 
 
-@query("price_extract", ids="OP-08 FLT-05 JOIN-06 PRJ-02 TOP-07",
+@query("price_extract", ids="OP-08 FLT-05 JOIN-06 PRJ-02 PRJ-03 TOP-07",
        sql=O_CTE + _STAR_SQL.format(chosen="""
   SELECT max(id) AS id FROM base
   WHERE "timestamp" BETWEEN TIMESTAMP '1997-01-01 00:00:00' AND TIMESTAMP '1997-12-31 00:00:00'
@@ -233,7 +233,7 @@ def dataset_price_total(spark, sf_dir):
     return ct.dataset_price_total(ct.with_price_counts(snaps, prices))
 
 
-@query("fuels_used", ids="JOIN-07 AGG-10", sql=O_CTE + """
+@query("fuels_used", ids="JOIN-07 AGG-10 SRC-06", sql=O_CTE + """
 SELECT DISTINCT name FROM fu
 WHERE id IN (SELECT fuel_id FROM px WHERE snapshot_id IN
              (SELECT id FROM snaps WHERE dataset = '1-URGENT'))

@@ -124,3 +124,18 @@ def test_batch_readers_gzip_and_sequence(spark, tmp_path):
     got = sorted((r.snapshot, r.Name) for r in flat.collect())
     assert got == [(0, "A"), (1, "B"), (2, "C")]
     assert ig.valid_entries(ig.feed_entries(flat)).count() == 9
+
+
+def test_feed_files_gzip_and_plain_equal_in_memory_parse(spark):
+    import glob
+    import os
+
+    from conftest import SF_SMALL
+    from pumpwatch.plans import feed_queries as fq
+    from pumpwatch.session import ensure_checkpoint_dir
+    files = fq.feed_files_parse(spark, SF_SMALL)
+    base = ensure_checkpoint_dir(spark).replace("file:", "", 1)
+    roots = sorted(glob.glob(f"{base}/pumpwatch/feed-files-*"), key=os.path.getmtime)
+    parts = glob.glob(f"{roots[-1]}/*/part-*")
+    assert any(p.endswith(".gz") for p in parts) and any(not p.endswith(".gz") for p in parts)
+    assert sorted(files.collect()) == sorted(fq.feed_parse(spark, SF_SMALL).collect())
