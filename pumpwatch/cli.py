@@ -90,17 +90,23 @@ def report_variations(prices, stations, limit: int) -> list[str]:
     var = ob.last_changes(prices, stations)
     changed = ob.changed_since_previous(prices).first().changed
     out = [f"{changed} station/fuel pair(s) changed price in the last snapshot."]
-    for title, part in (("Rises", ob.top_rises(var, limit)), ("Drops", ob.top_drops(var, limit))):
-        lines = present(part.select(
-            F.concat(sc.fit_left(F.col("station_name"), 35), F.lit(" "),
-                     sc.fit_left(F.col("city"), 18), F.lit(" "),
-                     sc.pad_left_aligned(F.col("fuel_type"), 10), F.lit(" "),
-                     sc.pad_right_aligned(sc.cents(F.col("prev_price")), 8), F.lit(" "),
-                     sc.pad_right_aligned(sc.cents(F.col("price")), 8), F.lit(" "),
-                     sc.cents(F.col("delta"), signed=True)).alias("l"),
-            "prev_fetched_at", "fetched_at")).collect()
+    # both top-k lists in ONE plan: the variations subtree (two passes over
+    # the facts) is shared through exchange reuse instead of run twice
+    ranked = (ob.top_rises(var, limit).withColumn("_list", F.lit(0))
+              .unionByName(ob.top_drops(var, limit).withColumn("_list", F.lit(1))))
+    rows = present(ranked.select(
+        "_list", F.concat(sc.fit_left(F.col("station_name"), 35), F.lit(" "),
+                          sc.fit_left(F.col("city"), 18), F.lit(" "),
+                          sc.pad_left_aligned(F.col("fuel_type"), 10), F.lit(" "),
+                          sc.pad_right_aligned(sc.cents(F.col("prev_price")), 8), F.lit(" "),
+                          sc.pad_right_aligned(sc.cents(F.col("price")), 8), F.lit(" "),
+                          sc.cents(F.col("delta"), signed=True)).alias("l"),
+        "delta", "station_name", "fuel_type", "prev_fetched_at", "fetched_at")).collect()
+    for i, title in enumerate(("Rises", "Drops")):
+        part = sorted((r for r in rows if r._list == i),     # ≤ limit rows each
+                      key=lambda r: (-r.delta if i == 0 else r.delta, r.station_name, r.fuel_type))
         out += ["", f"=== {title} (top {limit}) ==="]
-        out += [f"{r.l}  {r.prev_fetched_at}  {r.fetched_at}" for r in lines]
+        out += [f"{r.l}  {r.prev_fetched_at}  {r.fetched_at}" for r in part]
     return out
 
 

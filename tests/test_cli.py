@@ -14,3 +14,18 @@ def test_reports(spark, capsys):
     assert "=== Rises (top 10) ===" in out and "=== Drops (top 10) ===" in out
     assert "Records" in out and "Changes" in out
     assert "prices (" in out and "stations (" in out
+
+
+def test_variation_lists_ordered(spark, capsys):
+    import re
+    assert cli.main(["--sf-dir", SF_SMALL, "variations"]) == 0
+    out = capsys.readouterr().out
+    rises = out.split("=== Rises (top 10) ===")[1].split("=== Drops")[0].strip().splitlines()
+    drops = out.split("=== Drops (top 10) ===")[1].strip().splitlines()
+
+    def deltas(lines):
+        return [float(re.search(r"([+-]\d+\.\d)¢", ln).group(1)) for ln in lines]
+    up, down = deltas(rises), deltas(drops)
+    assert 0 < len(up) <= 10 and 0 < len(down) <= 10
+    assert all(d > 0 for d in up) and up == sorted(up, reverse=True)
+    assert all(d < 0 for d in down) and down == sorted(down)
