@@ -50,7 +50,55 @@ def missing_timestamps(spark, sf_dir):
     return qa.missing_timestamps(_damaged_snapshots(spark, sf_dir), 3)
 
 
-@query("dataset_profile", ids="SRC-07 (rows-only: engine type names differ)")
+# the V2 model's tables and columns in schema order (fixed values: the data model)
+_PROFILE_COLUMNS = {
+    "fuels": ["id", "name"],
+    "prices": ["snapshot_id", "station_id", "fuel_id", "price"],
+    "snapshots": ["id", "timestamp", "status", "dataset"],
+    "stations": ["id", "name", "city", "region", "adress", "longitude", "latitude"],
+}
+
+
+def _profile_sql() -> str:
+    """DuckDB evaluates the same binding expressions and reports each column's
+    type with ``typeof`` (DuckDB names translated to Spark's: VARCHAR → string,
+    INTEGER → int, others lower-cased) and each table's row count."""
+    rows = []
+    for table, cols in _PROFILE_COLUMNS.items():
+        for i, c in enumerate(cols):
+            rows.append(f"""SELECT '{table}' AS "table", {i} AS "position", '{c}' AS "column",
+         (SELECT typeof("{c}") FROM p_{table} LIMIT 1) AS t,
+         (SELECT count(*) FROM p_{table}) AS n""")
+    return """
+WITH p_snapshots AS (
+  SELECT o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS "timestamp",
+         CASE o_orderstatus WHEN 'F' THEN 'processed' WHEN 'O' THEN 'processing'
+                            WHEN 'P' THEN 'error' END AS status,
+         o_orderpriority AS dataset
+  FROM orders),
+p_prices AS (
+  SELECT l_orderkey AS snapshot_id, l_suppkey AS station_id, l_partkey AS fuel_id,
+         CAST(l_extendedprice AS DECIMAL(10,2)) AS price
+  FROM lineitem),
+p_fuels AS (SELECT p_partkey AS id, p_type AS name FROM part),
+p_stations AS (
+  SELECT s_suppkey AS id, s_name AS name, n_name AS city, r_name AS region,
+         CAST(s_suppkey AS VARCHAR) || ' Main St' AS adress,
+         CAST(-80.0 AS DOUBLE) + CAST(s_suppkey % 24 AS DOUBLE) AS longitude,
+         CAST(44.0 AS DOUBLE) + CAST(s_suppkey % 19 AS DOUBLE) AS latitude
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+cols AS (
+  """ + "\n  UNION ALL ".join(rows) + """)
+SELECT "table", CAST("position" AS INTEGER) AS "position", "column",
+       CASE lower(t) WHEN 'varchar' THEN 'string' WHEN 'integer' THEN 'int' ELSE lower(t) END
+         AS data_type,
+       TRUE AS nullable, CAST(n AS BIGINT) AS "rows"
+FROM cols
+"""
+
+
+@query("dataset_profile", ids="SRC-07 (types of the same expressions in both engines, row counts)",
+       sql=_profile_sql())
 def dataset_profile(spark, sf_dir):
     tables = {"stations": model.stations_o(spark, sf_dir),
               "snapshots": model.snapshots_o(spark, sf_dir),
