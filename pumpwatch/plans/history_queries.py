@@ -106,7 +106,21 @@ def region_report(spark, sf_dir):
     return ob.region_report(prices, stations)
 
 
-@query("region_fuel_map", ids="SCL-18")
+@query("region_fuel_map", ids="SCL-18", sql=E_CTE + """
+, latest AS (
+  SELECT p.* FROM obs p
+  JOIN (SELECT station_id, fuel_type, max(fetched_at) AS mx FROM obs GROUP BY 1, 2) l
+    ON p.station_id = l.station_id AND p.fuel_type = l.fuel_type AND p.fetched_at = l.mx),
+avgs AS (
+  SELECT coalesce(nullif(s.region, ''), 'N/A') AS region, p.fuel_type,
+         round(avg(p.price), 1) AS avg_price
+  FROM latest p JOIN st s ON s.id = p.station_id
+  GROUP BY 1, 2)
+SELECT region,
+       map_from_entries(list(struct_pack(k := fuel_type, v := avg_price) ORDER BY fuel_type))
+         AS avg_by_fuel
+FROM avgs GROUP BY region
+""")
 def region_fuel_map(spark, sf_dir):
     prices, stations = _e(spark, sf_dir)
     return ob.region_fuel_map(prices, stations)
