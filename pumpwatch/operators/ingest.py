@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pumpwatch.functions.keys import assign_ids
+from pumpwatch.session import ensure_checkpoint_dir
 from pumpwatch.functions.scalars import (address_city, address_street, clean_fuel_name,
                                          parse_price_text)
 
@@ -107,7 +108,11 @@ def upsert_stations(existing: DataFrame, incoming: DataFrame, order: Column,
     old = existing.select("id", *key, *[F.col(c).alias(f"_o_{c}") for c in attrs])
     merged = old.join(latest.withColumn("_new", F.lit(True)), key, "full_outer")
     vals = [F.when(F.col("_new"), F.col(c)).otherwise(F.col(f"_o_{c}")).alias(c) for c in attrs]
-    rows = merged.select("id", *key, *vals)
+    # the "latest record per key" aggregate is the only pass over the incoming
+    # (fact-sized) records: its merged, dimension-sized result is checkpointed
+    # once, so numbering the new keys and emitting the kept ones reuse it
+    ensure_checkpoint_dir(merged.sparkSession)
+    rows = merged.select("id", *key, *vals).checkpoint(eager=True)
     kept = rows.where(F.col("id").isNotNull())
     fresh = rows.where(F.col("id").isNull()).drop("id")
     next_id = existing.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
