@@ -133,7 +133,7 @@ class FeedBatch:
 
 def start_ingest(spark: SparkSession, landing: str, store: PriceStore, dataset: str,
                  checkpoint: str, layout: str = "documents", available_now: bool = True,
-                 every_minutes: int = 5, max_files_per_trigger: int | None = None):
+                 every_minutes: float = 5, max_files_per_trigger: int | None = None):
     if layout == "documents":
         max_files_per_trigger = min(max_files_per_trigger or MAX_DOCUMENTS_PER_BATCH,
                                     MAX_DOCUMENTS_PER_BATCH)
@@ -143,5 +143,6 @@ def start_ingest(spark: SparkSession, landing: str, store: PriceStore, dataset:
     if available_now:
         writer = writer.trigger(availableNow=True)
     else:
-        writer = writer.trigger(processingTime=f"{every_minutes} minutes")
+        # every ``update_frequency`` minutes (fractions allowed, at least 1 s)
+        writer = writer.trigger(processingTime=f"{max(1, round(every_minutes * 60))} seconds")
     return writer.start()

@@ -64,3 +64,28 @@ def test_replayed_batch_is_idempotent(spark, tmp_path):
     assert sorted(tuple(r) for r in store.published_prices().collect()) == first
     assert store.read_all("snapshots").count() == 1
     assert store.read_dim("stations").count() == 2
+
+
+def test_periodic_trigger_picks_up_later_polls(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "a.json").write_text(json.dumps(doc(["S1", "S2"])))
+    store = PriceStore(spark, str(tmp_path / "store"))
+    store.write_dim("stations", spark.createDataFrame(
+        [], "id long, dataset string, name string, adress string, city string, region string, "
+            "longitude double, latitude double"), 0)
+    store.write_dim("fuels", spark.createDataFrame([], "id long, name string"), 0)
+    q = start_ingest(spark, str(landing), store, "d", str(tmp_path / "ckpt"),
+                     layout="documents", available_now=False, every_minutes=1 / 30)
+    try:
+        q.processAllAvailable()
+        assert store.read_all("snapshots").count() == 1
+        (landing / "b.json").write_text(json.dumps(doc(["S2", "S3"])))   # the next poll lands
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    snaps = store.read_all("snapshots").collect()
+    assert sorted(r.batch for r in snaps) == [0, 1]                    # one batch per poll
+    assert sorted(r.price_count for r in snaps) == [2, 2]
+    assert store.read_dim("stations").count() == 3                     # S2 kept its id
+    assert store.published_prices().count() == 4
