@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pumpwatch.sources.tables import spread
+
 # fixed values: the only archive version understood
 ARCHIVE_VERSION = 1
 
@@ -83,9 +85,11 @@ def read_price_fragments(spark: SparkSession, path: str) -> DataFrame:
 
     Keeps the fragments holding a price object, cuts everything before the
     object's '{' and parses it with the price schema. Works on a single
-    document and on JSON-lines parts alike.
+    document and on JSON-lines parts alike. A gzip document is one task; it
+    only decompresses and splits — the kept fragments are spread over the
+    task slots before the JSON parse (a no-op on an already split scan).
     """
     frags = spark.read.option("lineSep", "}").text(path)
     obj = F.concat(F.regexp_extract(F.col("value"), r"(\{[^{]*)$", 1), F.lit("}"))
-    return (frags.where(F.col("value").contains('"snapshot_id"'))
-            .select(F.from_json(obj, PRICE).alias("p")).select("p.*"))
+    kept = spread(frags.where(F.col("value").contains('"snapshot_id"')))
+    return kept.select(F.from_json(obj, PRICE).alias("p")).select("p.*")
