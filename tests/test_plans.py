@@ -1,6 +1,7 @@
 """Plan shape of the registered queries (what must hold at 100 TB, checked on sf0.001).
 
 * No window is partitioned by a key: a hot key would land in one task.
+* No cartesian product or nested-loop join anywhere.
 * A window without partitioning (one task) only runs on input that is
   bounded by construction: after a top-k / limit, or over the one-row-per-
   partition count table of the id numbering.
@@ -119,3 +120,9 @@ def test_point_lookups_push_filters_and_prune_columns(plans):
 def test_latest_prices_is_top_k(plans):
     names = {n.nodeName() for n in _all_nodes(plans["latest_prices"])}
     assert "TakeOrderedAndProject" in names and "Window" not in names
+
+
+def test_no_cross_or_nested_loop_joins(plans):
+    bad = [(name, n.nodeName()) for name, plan in plans.items() for n in _all_nodes(plan)
+           if n.nodeName() in ("CartesianProduct", "BroadcastNestedLoopJoin")]
+    assert not bad, bad
