@@ -105,6 +105,8 @@ def test_legacy_document_reader_matches_json_load(spark, tmp_path):
     assert secs["manifest"].collect()[0].version == 1
     assert secs["stations"].collect()[0].name == "S"
     prices = src.read_price_fragments(spark, str(path))
+    # the gzip document is one scan task; its fragments are parsed on every slot
+    assert prices.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
     got = sorted((r.station_id, r.fuel_id, r.price, r.snapshot_id) for r in prices.collect())
     want = sorted((p["station_id"], p["fuel_id"], float(p["price"]), p["snapshot_id"])
                   for p in json.load(gzip.open(path, "rt"))["prices"])
