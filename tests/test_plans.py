@@ -6,7 +6,7 @@
   bounded by construction: after a top-k / limit, or over the one-row-per-
   partition count table of the id numbering.
 * Point lookups reach the parquet scan as pushed filters and read only the
-  projected columns.
+  projected columns; no query reads every column of a fact table.
 """
 
 import pytest
@@ -126,3 +126,21 @@ def test_no_cross_or_nested_loop_joins(plans):
     bad = [(name, n.nodeName()) for name, plan in plans.items() for n in _all_nodes(plan)
            if n.nodeName() in ("CartesianProduct", "BroadcastNestedLoopJoin")]
     assert not bad, bad
+
+
+def test_fact_scans_are_column_pruned(spark, plans):
+    """No registered query reads every column of a fact table."""
+    width = {t: len(spark.read.parquet(f"{SF_SMALL}/{t}.parquet").columns)
+             for t in ("lineitem", "orders", "events")}
+    bad = []
+    for name, plan in plans.items():
+        for n in _all_nodes(plan):
+            if not n.nodeName().startswith("Scan"):
+                continue
+            text = n.toString()
+            for t, w in width.items():
+                if f"/{t}.parquet" in text:
+                    read = n.metadata().apply("ReadSchema")
+                    if read.count(":") >= w:
+                        bad.append((name, t, read))
+    assert not bad, bad
