@@ -89,3 +89,13 @@ def test_periodic_trigger_picks_up_later_polls(spark, tmp_path):
     assert sorted(r.price_count for r in snaps) == [2, 2]
     assert store.read_dim("stations").count() == 3                     # S2 kept its id
     assert store.published_prices().count() == 4
+
+
+def test_read_dim_newest_and_before(spark, tmp_path):
+    store = PriceStore(spark, str(tmp_path / "store"))
+    for v in (0, 1, 2, 10):
+        store.write_dim("fuels", spark.createDataFrame([(v, f"v{v}")], "id long, name string"), v)
+    assert [r.name for r in store.read_dim("fuels").collect()] == ["v10"]      # 10 > 2 numerically
+    assert [r.name for r in store.read_dim("fuels", before=10).collect()] == ["v2"]
+    assert [r.name for r in store.read_dim("fuels", before=1).collect()] == ["v0"]
+    assert store.read_dim("fuels", before=0).count() == 0
