@@ -5,17 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwatch.llm import simhash_dedup
+from pumpwatch.llm import bpe_automaton, simhash_dedup
 from pumpwatch.llm.common import read
 
 
+def word_bpe() -> str:
+    """The public tokenizer file with word ends, installed on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.simhash_components(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         "component_id")
 
 
+def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.encode_documents(read(spark, sf_dir, "documents"), word_bpe(), contents=False)
+
+
 QUERIES = {f.__name__: f for f in (
+    op4_bpe_automaton,
     op5_simhash_near_dedup,
 )}
 
