@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwatch.llm import bpe_automaton, simhash_dedup
+from pumpwatch.llm import bpe_automaton, decontaminate, language_id, simhash_dedup
 from pumpwatch.llm.common import read
 
 
@@ -21,11 +21,28 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def piece_vocabulary() -> str:
+    """The public piece vocabulary, installed on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(read(spark, sf_dir, "documents"), piece_vocabulary())
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_documents(read(spark, sf_dir, "documents"), word_bpe(), contents=False)
 
 
 QUERIES = {f.__name__: f for f in (
+    op2_decontamination,
+    op3_language_id,
     op4_bpe_automaton,
     op5_simhash_near_dedup,
 )}
