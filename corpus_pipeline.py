@@ -1,15 +1,22 @@
 """A corpus pipeline over ``documents``: five stages, each written as Parquet and reread.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, whatever further ones they have.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pumpwatch.llm import simhash_dedup
+from pumpwatch.llm import bpe_automaton, decontaminate, language_id, pii, simhash_dedup
 from pumpwatch.llm.common import configure, read, work_dir
+from pumpwatch.llm.queries import piece_vocabulary, word_bpe
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language stay; those with no letters or an unsure language go."""
+    configure(spark)
+    return language_id.known_language(docs, piece_vocabulary())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +25,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_dedup.near_duplicates_removed(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; personal values in their texts become pseudonyms."""
+    return pii.pseudonymise(docs, found="_found").drop("_found")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with what they decode to."""
+    configure(spark)
+    return bpe_automaton.encode_documents(docs, word_bpe())
+
+
 STAGES = [
+    ("language_id", language),
     ("simhash_near_dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", personal_data),
+    ("bpe", tokens),
 ]
 
-#: No stage but the first steps can be put in SQL; tests hold the pipeline against brute force.
+#: SQL can't express the stages; a test holds the pipeline against brute-force versions.
 ORACLE_SQL = None
 
 

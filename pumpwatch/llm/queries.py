@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwatch.llm import bpe_automaton, decontaminate, language_id, simhash_dedup
+from pumpwatch.llm import bpe_automaton, decontaminate, language_id, pii, simhash_dedup
 from pumpwatch.llm.common import read
 
 
@@ -40,11 +40,19 @@ def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_documents(read(spark, sf_dir, "documents"), word_bpe(), contents=False)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms, and how many values of each kind were replaced."""
+    done = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind))
+    return done.select("doc_id", "text", *[count(k).alias(f"n_{k}") for k in pii.KINDS])
+
+
 QUERIES = {f.__name__: f for f in (
     op2_decontamination,
     op3_language_id,
     op4_bpe_automaton,
     op5_simhash_near_dedup,
+    op7_pii,
 )}
 
 #: DuckDB SQL of the queries that SQL can express.
