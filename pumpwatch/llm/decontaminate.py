@@ -270,14 +270,16 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     """The rows of ``docs`` in which no benchmark item is found."""
     sc = docs.sparkSession.sparkContext
     for block in _blocks(benchmark):
-        index = sc.broadcast(Index(block))
-
-        @F.pandas_udf("boolean")
-        def leaks(bodies: pd.Series, index=index) -> pd.Series:
-            ix = index.value
-            out = np.zeros(len(bodies), bool)
-            for i in ix.suspects(list(bodies)):
-                out[i] = bool(ix.leaks(bodies.iloc[i], similarity))
-            return pd.Series(out)
-        docs = docs.where(~leaks(text_bytes()))
+        docs = docs.where(~_leaks(sc.broadcast(Index(block)), similarity)(text_bytes()))
     return docs
+
+
+def _leaks(index, similarity: float):
+    @F.pandas_udf("boolean")
+    def leaks(bodies: pd.Series) -> pd.Series:
+        ix = index.value
+        out = np.zeros(len(bodies), bool)
+        for i in ix.suspects(list(bodies)):
+            out[i] = bool(ix.leaks(bodies.iloc[i], similarity))
+        return pd.Series(out)
+    return leaks

@@ -139,6 +139,18 @@ def _table(counts: np.ndarray) -> np.ndarray:
     return np.vstack([p, np.zeros((1, p.shape[1])), np.full((1, p.shape[1]), UNKNOWN)])
 
 
+def _together(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches of about ``rows`` rows: the vectorised sums are slow on few words of each size."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def load_pieces(path: str) -> tuple[list[str], str]:
     """The pieces of a public SentencePiece model and its mark of a word's beginning."""
     import sentencepiece
@@ -229,7 +241,7 @@ def fit(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS, steps:
 
         def expect(batches: Iterator[pd.DataFrame], p=p, column=column) -> Iterator[pd.DataFrame]:
             own = Pieces(names)
-            for b in batches:
+            for b in _together(batches, 100_000):
                 for lang, rows in b.groupby("lang"):
                     c = expected_counts(np.char.add(mark, rows["word"].to_numpy().astype(str)),
                                         rows["n"].to_numpy(float), own, p[:, [column[lang]]])
