@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwatch.llm import bpe_automaton, decontaminate, language_id, pii, simhash_dedup
+from pumpwatch.llm import bpe_automaton, decontaminate, fingerprint, language_id, pii, simhash_dedup
 from pumpwatch.llm.common import read
 
 
@@ -47,12 +47,17 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", *[count(k).alias(f"n_{k}") for k in pii.KINDS])
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op2_decontamination,
     op3_language_id,
     op4_bpe_automaton,
     op5_simhash_near_dedup,
     op7_pii,
+    op9_document_fingerprints,
 )}
 
 #: DuckDB SQL of the queries that SQL can express.
