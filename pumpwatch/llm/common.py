@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +68,30 @@ def crc_mod(doc_id: str, mod: int):
     """crc32 of the id as text, modulo ``mod`` (a null id counts as empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")),
                   F.lit(mod))
+
+
+def in_blocks(docs: DataFrame, block_bytes: int, *more) -> tuple[DataFrame, int]:
+    """The documents dealt over blocks of about ``block_bytes`` bytes of text: (doc_id, body, block, ...),
+    and how many blocks.
+
+    ``body`` is the text's UTF-8 bytes, packed (``unpacked`` gives them back), so
+    that less is shuffled. The number of blocks follows the size of the table.
+    A block is named by the document's id alone, so a task that is run again
+    gets the same documents.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = total // block_bytes + 1
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            b["body"] = [z.compress(x) for x in b["body"]]
+            yield b
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"),
+                        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).alias("block"), *more)
+    return dealt.mapInPandas(pack, dealt.schema), blocks
+
+
+def unpacked(bodies: Iterable[bytes]) -> list[bytes]:
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(x) for x in bodies]

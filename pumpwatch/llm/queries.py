@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwatch.llm import bpe_automaton, decontaminate, fingerprint, language_id, pii, simhash_dedup, suffix_dedup
+from pumpwatch.llm import bpe_automaton, decontaminate, fingerprint, language_id, lm_score, pii, simhash_dedup, suffix_dedup
 from pumpwatch.llm.common import read
 
 
@@ -52,6 +52,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", *[count(k).alias(f"n_{k}") for k in pii.KINDS])
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(read(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {f.__name__: f for f in (
     op4_bpe_automaton,
     op5_simhash_near_dedup,
     op7_pii,
+    op8_lm_scoring,
     op9_document_fingerprints,
 )}
 
