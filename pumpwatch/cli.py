@@ -17,7 +17,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pumpwatch import model
@@ -39,74 +39,57 @@ def _load(spark, args) -> tuple[DataFrame, DataFrame]:
 
 def report_summary(prices, stations) -> list[str]:
     r = present(ob.summary(prices, stations)).first()
-    out = [f"  Stations: {r.stations}", f"  Price records: {r.prices}",
-           f"  Snapshots: {r.snapshots}"]
-    if r.prices:
-        out += [f"  First snapshot: {r.first_snapshot}", f"  Last snapshot:  {r.last_snapshot}"]
-    return out
+    span = f"{r.first_snapshot} .. {r.last_snapshot}" if r.prices else "empty"
+    return [f"stations={r.stations} observations={r.prices} polls={r.snapshots}", f"period: {span}"]
+
+
+def _table(names: list[str], rows: list[str]) -> list[str]:
+    """Rows under a comment line with their column names; cells are divided by bars."""
+    return ["# " + " | ".join(names), *rows] if rows else ["# nothing to list"]
+
+
+def _cells(*cols: Column) -> Column:
+    return F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
 
 
 def report_latest(prices, stations, limit: int) -> list[str]:
-    top = ob.latest_prices(prices, stations, limit)
-    amount = F.format_string("%.1f", F.round("price", 1).cast("double"))
-    lines = top.select(F.concat(sc.fit_left(F.col("name"), 40), F.lit(" "),
-                                sc.fit_left(F.col("city"), 20), F.lit(" "),
-                                sc.pad_left_aligned(F.col("fuel_type"), 10), F.lit(" "),
-                                sc.pad_right_aligned(amount, 7), F.lit(sc.CENT)).alias("l"))
-    rows = [r.l for r in lines.collect()]
-    if not rows:
-        return ["No price data yet."]
-    return [f"{'Station':<40} {'City':<20} {'Fuel':<10} {'Price':>8}", "-" * 82] + rows
+    times = ob.newest_times(prices, 1)
+    newest = prices.where(F.col("fetched_at") == F.lit(times[0] if times else None).cast("timestamp"))
+    top = ob.latest_prices(newest, stations, limit)
+    rows = top.select(_cells(sc.cents(F.round("price", 1)), F.col("fuel_type"), F.col("name"),
+                             F.col("city")).alias("l")).collect()
+    return _table(["price", "fuel", "station", "city"], [r.l for r in rows])
 
 
 def report_regions(prices, stations) -> list[str]:
     rep = ob.region_report(prices, stations)
     fuels = rep.columns[2:]
-    cells = [sc.pad_right_aligned(sc.cents(F.round(F.col(f"`{f}`"), 1)), 10) for f in fuels]
-    lines = rep.select(F.concat_ws("  ", F.concat(sc.pad_left_aligned(F.col("region"), 40),
-                                                  F.lit(" "),
-                                                  sc.pad_right_aligned(
-                                                      F.col("stations").cast("string"), 8)),
-                                   *cells).alias("l"))
-    rows = [r.l for r in lines.collect()]
-    if not rows:
-        return ["No stations yet."]
-    header = f"{'Region':<40} {'Stations':>8}" + "".join(f"  {f[:10]:>10}" for f in fuels)
-    return [header, "-" * (50 + 12 * len(fuels))] + rows
+    rows = rep.select(_cells(F.col("region"), F.col("stations"), *[
+        sc.cents(F.round(F.col(f"`{f}`"), 1)) for f in fuels]).alias("l")).collect()
+    return _table(["region", "stations", *fuels], [r.l for r in rows])
 
 
 def report_snapshots(prices) -> list[str]:
-    rep = present(ob.snapshot_changes(prices, 10)).collect()
-    if not rep:
-        return ["No snapshots yet."]
-    out = [f"{'Snapshot':<30} {'Records':>8} {'Changes':>12}", "-" * 52]
-    for r in rep:
-        ch = str(r.changes) if r.changes is not None else sc.MISSING_MARK
-        out.append(f"{str(r.fetched_at):<30} {r.records:>8} {ch:>12}")
-    return out
+    rows = present(ob.snapshot_changes(prices, 10)).collect()
+    return _table(["poll", "observations", "changes"], [
+        f"{r.fetched_at} | {r.records} | {sc.MISSING_MARK if r.changes is None else r.changes}" for r in rows])
 
 
 def report_variations(prices, stations, limit: int) -> list[str]:
-    var = ob.last_changes(prices, stations)
-    changed = ob.changed_since_previous(prices).first().changed
-    out = [f"{changed} station/fuel pair(s) changed price in the last snapshot."]
-    # both top-k lists in ONE plan: the variations subtree (two passes over
-    # the facts) is shared through exchange reuse instead of run twice
+    var = ob.price_moves(prices, stations)
+    changed = ob.changed_since_previous(prices, ob.newest_times(prices, 2)).first().changed
+    # both top-k lists in ONE plan: the moves are computed once and shared through exchange reuse
     ranked = (ob.top_rises(var, limit).withColumn("_list", F.lit(0))
               .unionByName(ob.top_drops(var, limit).withColumn("_list", F.lit(1))))
     rows = present(ranked.select(
-        "_list", F.concat(sc.fit_left(F.col("station_name"), 35), F.lit(" "),
-                          sc.fit_left(F.col("city"), 18), F.lit(" "),
-                          sc.pad_left_aligned(F.col("fuel_type"), 10), F.lit(" "),
-                          sc.pad_right_aligned(sc.cents(F.col("prev_price")), 8), F.lit(" "),
-                          sc.pad_right_aligned(sc.cents(F.col("price")), 8), F.lit(" "),
-                          sc.cents(F.col("delta"), signed=True)).alias("l"),
-        "delta", "station_name", "fuel_type", "prev_fetched_at", "fetched_at")).collect()
-    for i, title in enumerate(("Rises", "Drops")):
-        part = sorted((r for r in rows if r._list == i),     # ≤ limit rows each
-                      key=lambda r: (-r.delta if i == 0 else r.delta, r.station_name, r.fuel_type))
-        out += ["", f"=== {title} (top {limit}) ==="]
-        out += [f"{r.l}  {r.prev_fetched_at}  {r.fetched_at}" for r in part]
+        "_list", _cells(sc.cents(F.col("delta"), signed=True), sc.cents(F.col("prev_price")), sc.cents(F.col("price")),
+                        F.col("fuel_type"), F.col("station_name"), F.col("city"), F.col("fetched_at")).alias("l"),
+        "delta", "station_name", "fuel_type")).collect()
+    out = [f"moved since the poll before: {changed}"]
+    for i, title in enumerate(("up", "down")):
+        part = sorted((r for r in rows if r._list == i),     # limit rows each at most
+                      key=lambda r: (-abs(r.delta), r.station_name, r.fuel_type))
+        out += ["", f"{title}:", *_table(["move", "from", "to", "fuel", "station", "city", "since"], [r.l for r in part])]
     return out
 
 

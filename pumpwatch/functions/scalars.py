@@ -116,15 +116,10 @@ def clamp(x: Column, lo: Column, hi: Column) -> Column:
 
 
 def next_boundary(ts: Column, minutes: int) -> Column:
-    """SCL-15: next run of a job scheduled every ``minutes`` minutes of the hour.
-
-    ``minutes - minute % minutes`` minutes ahead, seconds dropped; when the
-    minute is already on a multiple, the current minute itself.
-    """
-    step = F.lit(minutes)
-    ahead = step - F.minute(ts) % step
-    ahead = F.when(ahead == step, F.lit(0)).otherwise(ahead)
-    return F.date_trunc("minute", ts + F.make_dt_interval(F.lit(0), F.lit(0), ahead))
+    """SCL-15: first time at or after the minute of ``ts`` whose minute of the hour is a
+    multiple of ``minutes``, counted on past the hour's end."""
+    to_go = F.pmod(-F.minute(ts), F.lit(minutes))
+    return F.date_trunc("minute", ts) + F.make_dt_interval(mins=to_go)
 
 
 def add_minutes(ts: Column, minutes: Column) -> Column:

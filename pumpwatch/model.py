@@ -18,6 +18,8 @@ built on them reads the whole given tables and scales with them.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,9 +66,21 @@ def stations_e(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("n_name").alias("city"), F.col("r_name").alias("region")))
 
 
-def obs_raw(spark: SparkSession, sf_dir: str, with_event_id: bool = False) -> DataFrame:
-    """events → prices(station_id, fuel_type, fetched_at, price); has duplicates."""
+def obs_raw(spark: SparkSession, sf_dir: str, with_event_id: bool = False,
+            days: list | None = None) -> DataFrame:
+    """events → prices(station_id, fuel_type, fetched_at, price); has duplicates.
+
+    ``days``: only snapshots from the first to the last of these days, as a
+    half-open interval on the raw time column, which prunes row groups.
+    """
     ev = read_table(spark, sf_dir, "events")
+    if days is not None:
+        if not days:
+            ev = ev.where(F.lit(False))
+        else:
+            raw = ev.schema["ts"].dataType
+            end = max(days) + timedelta(days=1)
+            ev = ev.where((F.col("ts") >= F.lit(min(days)).cast(raw)) & (F.col("ts") < F.lit(end).cast(raw)))
     cols = [F.col("user_id").alias("station_id"), F.col("event_type").alias("fuel_type"),
             F.date_trunc("day", as_utc_ts(F.col("ts"))).alias("fetched_at"),
             as_price(F.col("value")).alias("price")]
@@ -75,12 +89,12 @@ def obs_raw(spark: SparkSession, sf_dir: str, with_event_id: bool = False) -> Da
     return ev.select(*cols)
 
 
-def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def obs(spark: SparkSession, sf_dir: str, days: list | None = None) -> DataFrame:
     """obs_raw with one row per (station, fuel, snapshot): the latest event wins.
 
     A partial (map-side) aggregate: a hot key is combined before the shuffle.
     """
-    return (obs_raw(spark, sf_dir, with_event_id=True)
+    return (obs_raw(spark, sf_dir, with_event_id=True, days=days)
             .groupBy("station_id", "fuel_type", "fetched_at")
             .agg(F.max_by("price", "event_id").alias("price")))
 

@@ -14,8 +14,8 @@ Scale notes
     out; pair counts are derived arithmetically (n·m − equal pairs).
   * Scalar steps (latest / previous snapshot time) are scalar subqueries:
     one tiny aggregate job, the value is planned in as a literal.
-  * The only broadcasts are bounded by a parameter (the ``last`` snapshots
-    of a change report) or by fixed-size dimensions.
+  * The only broadcasts hold two rows for each snapshot of a change report, up
+    to MAX_BROADCAST_ROWS, or are fixed-size dimensions.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pumpwatch.session import ensure_checkpoint_dir
 
 KEY = ["station_id", "fuel_type"]
 TS = "fetched_at"
+#: Rows of two times and a flag that are broadcast at most (about 3 MB); more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 100_000
 
 
 # ---------------------------------------------------------------- scalars
@@ -42,6 +44,16 @@ def previous_ts(prices: DataFrame) -> Column:
     return prices.where(F.col(TS) < latest_ts(prices)).select(F.max(TS)).scalar()
 
 
+def newest_times(prices: DataFrame, n: int = 2) -> list:
+    """The ``n`` newest snapshot times, newest first: one aggregate over the time column alone.
+
+    Their number is the caller's, so they come to the driver, where they become
+    literals that reach the scan as filters.
+    """
+    return [r[0] for r in prices.select(TS).where(F.col(TS).isNotNull()).groupBy(TS).agg(F.lit(1))
+            .orderBy(F.col(TS).desc()).limit(n).collect()]
+
+
 # ---------------------------------------------------------------- OP-01
 def summary(prices: DataFrame, stations: DataFrame) -> DataFrame:
     """stations, price records, distinct snapshots, first and last snapshot."""
@@ -56,14 +68,15 @@ def summary(prices: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- OP-06
-def latest_prices(prices: DataFrame, stations: DataFrame, limit: int = 20) -> DataFrame:
+def latest_prices(prices: DataFrame, stations: DataFrame, limit: int = 20,
+                  at: Column | None = None) -> DataFrame:
     """Cheapest prices of the latest snapshot, all fuels mixed (TOP-01).
 
-    Filter on the scalar max, inner join to stations (orphans vanish), then a
+    ``at``: the latest snapshot's time where the caller knows it. Filter on the max, inner join to stations (orphans vanish), then a
     top-k (TakeOrderedAndProject: per-partition top-k, one small merge).
     Ties are broken by station name and fuel so the result is deterministic.
     """
-    latest = prices.where(F.col(TS) == latest_ts(prices))
+    latest = prices.where(F.col(TS) == (latest_ts(prices) if at is None else at))
     st = stations.select(F.col("id").alias("station_id"), "name", "city", "region")
     return (latest.join(st, "station_id")
             .select("name", "city", "region", "fuel_type", "price")
@@ -99,17 +112,13 @@ def region_fuel_avg(prices: DataFrame, stations: DataFrame) -> DataFrame:
             .agg(F.round(F.avg("price"), 1).cast("double").alias("avg_price")))
 
 
-def distinct_values(df: DataFrame, col: str, max_values: int = 1000) -> list:
-    """Sorted distinct values of a category column (pivot headers).
+def distinct_values(df: DataFrame, col: str) -> list:
+    """Sorted distinct values of a category column, as names of the columns of a wide report.
 
-    Only a bounded list ever reaches the driver: more than ``max_values``
-    distinct values is an error, not a silent cut.
+    They come to the driver because a plan's columns are made there; reports of
+    any number of categories have a long form (``region_fuel_avg``).
     """
-    rows = (df.select(col).where(F.col(col).isNotNull()).distinct()
-            .orderBy(col).limit(max_values + 1).collect())
-    if len(rows) > max_values:
-        raise ValueError(f"{col} has more than {max_values} distinct values")
-    return [r[0] for r in rows]
+    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
 
 
 # ---------------------------------------------------------------- OP-05
@@ -144,11 +153,11 @@ def region_fuel_map(prices: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- OP-02 core
-def pair_changes(prices: DataFrame, pairs: DataFrame) -> DataFrame:
+def pair_changes(prices: DataFrame, pairs: DataFrame, n_pairs: int = 1) -> DataFrame:
     """Inserts / updates / deletions between snapshot ``t`` and ``prev_t``.
 
-    ``pairs`` (t, prev_t) is small and bounded by the caller (the last N
-    snapshots), so it is broadcast. Each fact row is tagged once as
+    ``pairs`` (t, prev_t) has ``n_pairs`` rows at most, and is broadcast if they
+    are few (MAX_BROADCAST_ROWS). Each fact row is tagged once as
     *current* (its snapshot is a ``t``) and once as *previous* (its snapshot
     is some ``prev_t``), then counted — the n×m fan-out of duplicated keys in
     a left join is computed, not emitted:
@@ -160,7 +169,8 @@ def pair_changes(prices: DataFrame, pairs: DataFrame) -> DataFrame:
     cur = pairs.select(F.col("t").alias("_s"), F.col("t"), F.lit(1).alias("_cur"))
     prv = (pairs.where(F.col("prev_t").isNotNull())
            .select(F.col("prev_t").alias("_s"), F.col("t"), F.lit(0).alias("_cur")))
-    roles = F.broadcast(cur.unionByName(prv))
+    roles = cur.unionByName(prv)
+    roles = F.broadcast(roles) if 2 * n_pairs <= MAX_BROADCAST_ROWS else roles
     tagged = prices.join(roles, prices[TS] == roles["_s"]).select(*KEY, "t", "price", "_cur")
     per_value = (tagged.groupBy(*KEY, "t", "price")
                  .agg(F.sum("_cur").alias("c"), F.sum(1 - F.col("_cur")).alias("p")))
@@ -193,8 +203,8 @@ def snapshot_changes(prices: DataFrame, last: int = 10) -> DataFrame:
                           F.lead(TS).over(w).alias("prev_t"),
                           F.row_number().over(w).alias("_rn"))
     pairs = listed.select(F.col(TS).alias("t"), "prev_t")
-    ch = pair_changes(prices, pairs)
-    out = listed.join(F.broadcast(ch), listed[TS] == ch["t"], "left")
+    ch = pair_changes(prices, pairs, last + 1)
+    out = listed.join(ch, listed[TS] == ch["t"], "left")
     changes = F.when(F.col("prev_t").isNull(), F.lit(None).cast("long")).otherwise(
         F.coalesce(F.col("inserts"), F.lit(0)) + F.coalesce(F.col("updates"), F.lit(0))
         + F.coalesce(F.col("deletions"), F.lit(0)))
@@ -204,84 +214,85 @@ def snapshot_changes(prices: DataFrame, last: int = 10) -> DataFrame:
 
 
 # ---------------------------------------------------------------- OP-04
-def latest_pair(prices: DataFrame) -> DataFrame:
-    """One row (t = latest snapshot, prev_t = the one before it)."""
-    return prices.agg(F.max(TS).alias("t")).select("t", previous_ts(prices).alias("prev_t"))
+def latest_pair(prices: DataFrame, times: list | None = None) -> DataFrame:
+    """One row (t = latest snapshot, prev_t = the one before it or NULL).
 
+    ``times``: the newest times where the caller knows them."""
+    if times is None:
+        return prices.agg(F.max(TS).alias("t")).select("t", previous_ts(prices).alias("prev_t"))
+    t, prev = ([*times, None, None])[:2]
+    return prices.sparkSession.range(1).select(F.lit(t).cast("timestamp").alias("t"),
+                                               F.lit(prev).cast("timestamp").alias("prev_t"))
 
-def changed_since_previous(prices: DataFrame) -> DataFrame:
+
+def changed_since_previous(prices: DataFrame, times: list | None = None) -> DataFrame:
     """Number of (station, fuel) pairs whose price differs between the two
     newest snapshots (inner join + ``!=``, duplicates counted pairwise)."""
-    ch = pair_changes(prices, latest_pair(prices))
-    return (latest_pair(prices).join(ch, "t", "left")
+    pair = latest_pair(prices, times)
+    ch = pair_changes(prices, pair)
+    return (pair.join(ch, "t", "left")
             .select(F.coalesce(F.col("updates"), F.lit(0)).cast("long").alias("changed")))
 
 
-def vanished_since_previous(prices: DataFrame) -> DataFrame:
+def vanished_since_previous(prices: DataFrame, times: list | None = None) -> DataFrame:
     """JOIN-04: rows of the previous snapshot whose key is gone in the latest."""
-    prev = prices.where(F.col(TS) == previous_ts(prices))
-    cur = prices.where(F.col(TS) == latest_ts(prices)).select(*KEY)
-    return prev.join(cur, KEY, "left_anti").select(*KEY, TS, "price")
+    t, prev = (latest_ts(prices), previous_ts(prices)) if times is None else (
+        F.lit(x).cast("timestamp") for x in ([*times, None, None])[:2])
+    cur = prices.where(F.col(TS) == t).select(*KEY)
+    return prices.where(F.col(TS) == prev).join(cur, KEY, "left_anti").select(*KEY, TS, "price")
 
 
 # ---------------------------------------------------------------- OP-03
-def last_changes(prices: DataFrame, stations: DataFrame) -> DataFrame:
-    """Most recent real price change per (station, fuel) (WIN-01..03, PRJ-04).
-
-    Equivalent to LAG over (station, fuel) ordered by time, keeping the
-    newest row whose price differs from the previous row of the key — but
-    written without a key-partitioned window, in two passes over the facts:
-
-      pass 1  per (key, price): newest time ``mx`` (partial aggregate). Per
-              key, the group holding the newest row gives ``last_price``; the
-              newest ``mx`` of any OTHER price is t*, the previous row of the
-              change, and its price is ``prev_price`` (small aggregates only).
-      pass 2  ``fetched_at`` = first time after t* (every row after t* has
-              last_price): facts ⋈ per-key t*, min(ts) — partial aggregate.
-
-    A key with one price only has no change. Expects one row per (key,
-    snapshot) as in the deduplicated history; rounding follows SQL ROUND
-    (HALF_UP on DECIMAL), the delta from the unrounded prices.
+#: Parts that the rows of a key are dealt over in the second pass of price_moves.
+SALTS = 16
+
+
+def price_moves(prices: DataFrame, stations: DataFrame, tie: str | None = None) -> DataFrame:
+    """Newest price move of each (station, fuel) (WIN-01..03, PRJ-04).
+
+    The rows of a key are in order of (time, ``tie``); a move is a row whose
+    price differs from that of the row before it. ``tie`` names a column that
+    orders rows of one snapshot; without one they are ordered by price, so
+    duplicate rows always have a defined order. No key with a move is missed.
+
+    No window is partitioned by key. Pass 1 keeps the last place of each (key,
+    price): the price at the key's last place is the current one, the last place
+    of any other price is where the move began. Pass 2 finds the first row after
+    that place; the rows of a key are dealt over SALTS parts there, joined and
+    aggregated part by part and then together, so a hot key isn't one task.
+    Rounding follows SQL ROUND (HALF_UP on DECIMAL), the delta is taken from the
+    unrounded prices.
     """
-    p = prices.select(*KEY, TS, "price")
-    per_value = p.groupBy(*KEY, "price").agg(F.max(TS).alias("mx"))
-    newest = per_value.groupBy(*KEY).agg(F.max_by("price", "mx").alias("last_price"))
-    before = (per_value.join(newest, KEY).where(F.col("price") != F.col("last_price"))
-              .groupBy(*KEY).agg(F.max("mx").alias("prev_fetched_at"),
-                                 F.max_by("price", "mx").alias("prev_price"),
-                                 F.max("last_price").alias("last_price")))
-    change = (p.join(before, KEY).where(F.col(TS) > F.col("prev_fetched_at"))
-              .groupBy(*KEY).agg(F.min(TS).alias(TS),
-                                 F.max("prev_fetched_at").alias("prev_fetched_at"),
-                                 F.max("prev_price").alias("prev_price"),
-                                 F.max("last_price").alias("price")))
+    place = F.struct(F.col(TS).alias("at"), F.col(tie or "price").alias("tie"))
+    p = prices.select(*KEY, "price", place.alias("place"))
+    per_price = p.groupBy(*KEY, "price").agg(F.max("place").alias("place"))
+    current = per_price.groupBy(*KEY).agg(F.max_by("price", "place").alias("now"))
+    origin = (per_price.join(current, KEY).where(F.col("price") != F.col("now"))
+              .groupBy(*KEY).agg(F.max("place").alias("origin"), F.max_by("price", "place").alias("old"),
+                                 F.max("now").alias("now")))
+    dealt = origin.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
+    rows = p.withColumn("_part", F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int"))
+    part = (rows.join(dealt, [*KEY, "_part"]).where(F.col("place") > F.col("origin"))
+            .groupBy(*KEY, "_part").agg(F.min("place").alias("place"), F.max("origin").alias("origin"),
+                                        F.max("old").alias("old"), F.max("now").alias("now")))
+    move = part.groupBy(*KEY).agg(F.min("place").alias("place"), F.max("origin").alias("origin"),
+                                  F.max("old").alias("old"), F.max("now").alias("now"))
     st = stations.select(F.col("id").alias("station_id"),
                          F.col("name").alias("station_name"), "city")
-    return (change.join(st, "station_id")
-            .select("station_id", "station_name", "city", "fuel_type", "prev_fetched_at", TS,
-                    F.round("prev_price", 1).cast("double").alias("prev_price"),
-                    F.round("price", 1).cast("double").alias("price"),
-                    F.round(F.col("price") - F.col("prev_price"), 1).cast("double").alias("delta")))
+    return (move.join(st, "station_id")
+            .select("station_id", "station_name", "city", "fuel_type",
+                    F.col("origin.at").alias("prev_fetched_at"), F.col("place.at").alias(TS),
+                    F.round("old", 1).cast("double").alias("prev_price"),
+                    F.round("now", 1).cast("double").alias("price"),
+                    F.round(F.col("now") - F.col("old"), 1).cast("double").alias("delta")))
 
 
-def top_rises(variations: DataFrame, n: int = 10) -> DataFrame:
+def top_rises(moves: DataFrame, n: int = 10) -> DataFrame:
     """TOP-02: biggest rises on the rounded delta (a change rounding to 0.0 is in neither list)."""
-    return (variations.where(F.col("delta") > 0)
+    return (moves.where(F.col("delta") > 0)
             .orderBy(F.col("delta").desc(), F.col("station_name"), F.col("fuel_type")).limit(n))
 
 
-def top_drops(variations: DataFrame, n: int = 10) -> DataFrame:
-    return (variations.where(F.col("delta") < 0)
+def top_drops(moves: DataFrame, n: int = 10) -> DataFrame:
+    return (moves.where(F.col("delta") < 0)
             .orderBy(F.col("delta").asc(), F.col("station_name"), F.col("fuel_type")).limit(n))
-
-
-def with_previous(prices: DataFrame) -> DataFrame:
-    """WIN-01/02 as the reference writes it: LAG(price), LAG(fetched_at) per key.
-
-    Kept for per-row history views of *bounded* key sets (e.g. one station's
-    detail page). It partitions a window by key, so a hot key lands in one
-    task — the report operators above do not use it.
-    """
-    w = Window.partitionBy(*KEY).orderBy(TS)
-    return prices.select("*", F.lag("price").over(w).alias("prev_price"),
-                         F.lag(TS).over(w).alias("prev_fetched_at"))

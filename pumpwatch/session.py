@@ -3,15 +3,13 @@
 Timestamps are interpreted in UTC (the collector stores UTC), adaptive query
 execution re-plans joins/aggregations on real sizes, and skewed join
 partitions are split at runtime. Scratch output (lineage cuts, derived
-feeds, archives written by a job) goes under ``spark.checkpoint.dir`` — the
-shared folder the cluster names — never a machine-local temp folder. Only
-when that setting is absent (unit tests, a laptop) do we pick one.
+feeds, archives written by a job) goes under ``spark.checkpoint.dir``, the
+shared folder the cluster names. Where that is unset, a local master (tests, a
+laptop) uses a folder of its own, and a cluster raises an error.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -56,33 +54,29 @@ def get_session(master: str | None = None, app: str = "pumpwatch",
     return configure(spark)
 
 
+#: Shared folder of a local master whose session names none.
+LOCAL_SHARED = "file:///tmp/pumpwatch-shared"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder (set only when the cluster names none)."""
-    return _checkpoint_base(spark)
-
-
-def _checkpoint_base(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    sc = None
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 — no SparkContext (e.g. a Connect session)
-        pass
-    if not base and sc is not None:
-        base = sc.getCheckpointDir()
+    """The folder all machines share: ``spark.checkpoint.dir`` of the session.
+
+    Created through Hadoop's file system, so it may be in any store Spark
+    reaches. A cluster that names no folder is an error: files on one machine
+    are neither seen by the others nor outlive it.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        # only reached outside a cluster (tests): a private scratch folder
-        base = tempfile.mkdtemp(prefix="pumpwatch-ckpt-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = LOCAL_SHARED
         spark.conf.set("spark.checkpoint.dir", base)
-    if sc is not None and sc.getCheckpointDir() is None:
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def work_dir(spark: SparkSession, name: str = "job") -> str:
-    """A fresh folder under the shared checkpoint dir for one job's output."""
-    base = _checkpoint_base(spark)
-    path = f"{base}/pumpwatch/{name}-{uuid.uuid4().hex[:12]}"
-    if path.startswith("/") or path.startswith("file:"):
-        os.makedirs(path.replace("file:", "", 1), exist_ok=True)
-    return path
+    """A new path under the shared folder for one job's output; Spark's writers create it."""
+    return f"{ensure_checkpoint_dir(spark)}/pumpwatch/{name}-{uuid.uuid4().hex[:12]}"

@@ -19,37 +19,20 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Lazy scan of an input table; each query plans its own pruned scan."""
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = False
-               ) -> DataFrame:
-    """Scan of a read-only input table. The DataFrame (file listing + parquet
-    footer schema) is built once per session and path and reused by every
-    query; it is lazy, so each query still plans its own pruned scan."""
-    key = (id(spark), table_path(sf_dir, name))
-    df = _SCANS.get(key)
-    if df is None:
-        df = _SCANS[key] = spark.read.parquet(key[1])
-    return spread(df) if spread_out else df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal rows evenly over ``partitions`` (the session's shuffle partitions).
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give per-row heavy work at least one partition per task slot.
-
-    A scan of few, large, unsplittable units (one row group per file in the
-    test tables) yields fewer partitions than the cluster has slots, and
-    everything up to the first shuffle then runs on that many threads. Only
-    in that case the rows are spread round-robin; a scan of a big table
-    already has thousands of splits and is left untouched (no extra shuffle).
-    Call it on the projected columns, after filters, so only those move.
+    For work that is heavy per row behind an input that can't be split (a gzip
+    file, one row group). It always shuffles: the caller decides by the kind of
+    input, not by its size. Call it on the projected columns, after filters.
     """
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 — no SparkContext (e.g. a Connect session)
-        return df
-    return df.repartition(slots) if parts < slots else df
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n)
 
 
 def dataset_extract(facts: DataFrame, snapshots: DataFrame, dataset: str,

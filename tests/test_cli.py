@@ -9,23 +9,19 @@ def test_reports(spark, capsys):
     for cmd in ("summary", "latest", "regions", "snapshots", "variations", "schema"):
         assert cli.main(["--sf-dir", SF_SMALL, cmd]) == 0
     out = capsys.readouterr().out
-    assert "Price records:" in out and "Snapshots:" in out
+    assert "observations=" in out and "period: " in out
     assert out.count("¢") > 20
-    assert "=== Rises (top 10) ===" in out and "=== Drops (top 10) ===" in out
-    assert "Records" in out and "Changes" in out
+    assert "# price | fuel | station | city" in out and "# poll | observations | changes" in out
     assert "prices (" in out and "stations (" in out
 
 
 def test_variation_lists_ordered(spark, capsys):
-    import re
     assert cli.main(["--sf-dir", SF_SMALL, "variations"]) == 0
-    out = capsys.readouterr().out
-    rises = out.split("=== Rises (top 10) ===")[1].split("=== Drops")[0].strip().splitlines()
-    drops = out.split("=== Drops (top 10) ===")[1].strip().splitlines()
+    up, down = capsys.readouterr().out.split("up:\n")[1].split("down:\n")
 
-    def deltas(lines):
-        return [float(re.search(r"([+-]\d+\.\d)¢", ln).group(1)) for ln in lines]
-    up, down = deltas(rises), deltas(drops)
+    def moves(text):
+        return [float(line.split("¢")[0]) for line in text.strip().splitlines() if not line.startswith("#")]
+    up, down = moves(up), moves(down)
     assert 0 < len(up) <= 10 and 0 < len(down) <= 10
     assert all(d > 0 for d in up) and up == sorted(up, reverse=True)
     assert all(d < 0 for d in down) and down == sorted(down)

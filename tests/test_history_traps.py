@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from pumpwatch.operators import observations as ob
 
 PSCHEMA = "station_id long, fuel_type string, fetched_at timestamp, price decimal(10,2)"
@@ -38,10 +40,10 @@ def brute_last_change(rows):
 
 def test_small_delta_hides_earlier_drop(spark):
     rows = [(1, "d", 1, "100.00"), (1, "d", 2, "90.00"), (1, "d", 3, "90.04")]
-    var = ob.last_changes(prices(spark, rows), stations(spark)).collect()
+    var = ob.price_moves(prices(spark, rows), stations(spark)).collect()
     assert len(var) == 1 and var[0].delta == 0.0  # 90.04 - 90.00 rounds to 0.0
-    assert ob.top_rises(ob.last_changes(prices(spark, rows), stations(spark))).count() == 0
-    assert ob.top_drops(ob.last_changes(prices(spark, rows), stations(spark))).count() == 0
+    assert ob.top_rises(ob.price_moves(prices(spark, rows), stations(spark))).count() == 0
+    assert ob.top_drops(ob.price_moves(prices(spark, rows), stations(spark))).count() == 0
 
 
 def test_last_change_matches_brute_force(spark):
@@ -49,7 +51,7 @@ def test_last_change_matches_brute_force(spark):
             (1, "d", 4, "100.00"), (1, "r", 1, "5.00"), (1, "r", 2, "5.00"),
             (2, "d", 1, "1.00"), (2, "d", 3, "2.00"), (2, "d", 5, "1.00"), (2, "d", 6, "1.00")]
     got = {(r.station_id, r.fuel_type): (r.prev_fetched_at, r.fetched_at, r.prev_price, r.price)
-           for r in ob.last_changes(prices(spark, rows), stations(spark)).collect()}
+           for r in ob.price_moves(prices(spark, rows), stations(spark)).collect()}
     want = brute_last_change(rows)
     assert set(got) == set(want)
     for k, ((d0, p0), (d1, p1)) in want.items():
@@ -57,11 +59,28 @@ def test_last_change_matches_brute_force(spark):
         assert got[k][2] == float(round(p0, 1)) and got[k][3] == float(round(p1, 1))
 
 
+def test_several_rows_of_a_key_in_a_snapshot(spark):
+    # rows of one snapshot are in order of price: 1.00 | 2.00 3.00, so the move is 2.00 -> 3.00
+    rows = [(1, "d", 1, "1.00"), (1, "d", 2, "3.00"), (1, "d", 2, "2.00")]
+    var = ob.price_moves(prices(spark, rows), stations(spark)).collect()
+    assert [(r.prev_fetched_at, r.fetched_at, r.prev_price, r.price) for r in var] == [(t(2), t(2), 2.0, 3.0)]
+    # a tie column decides: 3.00 was first, 2.00 last
+    tied = prices(spark, rows).withColumn("n", F.when(F.col("price") == 3, 1).otherwise(2))
+    var = ob.price_moves(tied, stations(spark), tie="n").collect()
+    assert [(r.prev_price, r.price, r.delta) for r in var] == [(3.0, 2.0, -1.0)]
+
+
+def test_hot_key_is_dealt_over_parts(spark):
+    rows = [(1, "d", d % 28 + 1, "1.00" if d % 28 < 20 else "2.00") for d in range(500)]
+    var = ob.price_moves(prices(spark, rows), stations(spark)).collect()
+    assert [(r.prev_fetched_at, r.fetched_at) for r in var] == [(t(20), t(21))]
+
+
 def test_gap_lag_vs_snapshot_report(spark):
     # key present at t1 and t3, absent at t2
     rows = [(1, "d", 1, "1.00"), (1, "d", 3, "2.00"), (2, "d", 1, "1.00"), (2, "d", 2, "1.00"),
             (2, "d", 3, "1.00")]
-    var = ob.last_changes(prices(spark, rows), stations(spark)).collect()
+    var = ob.price_moves(prices(spark, rows), stations(spark)).collect()
     assert [(r.prev_fetched_at, r.fetched_at) for r in var] == [(t(1), t(3))]
     ch = {r.fetched_at: r.changes for r in ob.snapshot_changes(prices(spark, rows)).collect()}
     assert ch[t(3)] == 1   # insert of key 1 at t3

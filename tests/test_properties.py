@@ -70,7 +70,7 @@ def test_last_change_random(spark):
         rows = history(seed, dups=False)
         got = {(r.station_id, r.fuel_type): (r.prev_fetched_at, r.fetched_at, r.prev_price,
                                              r.price, r.delta)
-               for r in ob.last_changes(spark.createDataFrame(rows, PSCHEMA), st).collect()}
+               for r in ob.price_moves(spark.createDataFrame(rows, PSCHEMA), st).collect()}
         assert got == brute_last_change(rows)
 
 
