@@ -76,4 +76,73 @@ def stream_error_isolation(spark, sf_dir):
     q = start_ingest(spark, landing, store, FEED_DATASET, f"{base}/checkpoint",
                      layout="collections", available_now=True, max_files_per_trigger=4)
     q.awaitTermination()
-    return store.read_all("snapshots").select("id", "status", "price_count")
+    return store.snapshots().select("id", "status", "price_count")
+
+
+def _store(spark, sf_dir, base):
+    store = PriceStore(spark, f"{base}/store")
+    store.write_dim("stations", _existing_feed_stations(spark, sf_dir), 0)
+    store.write_dim("fuels", _existing_fuels(spark, sf_dir), 0)
+    return store
+
+
+@query("stream_sequence_errors", ids="STR-02 STR-03 (one corrupt feature line makes its whole poll an error)",
+       sql=FEED_CTE + """
+, o AS (SELECT o_orderkey, o_orderpriority = '5-LOW' AND o_orderstatus = 'P' AS bad FROM orders)
+SELECT snapshot AS id, CASE WHEN any_value(bad) THEN 'error' ELSE 'processed' END AS status,
+       CASE WHEN any_value(bad) THEN 0 ELSE count(*) FILTER (ln NOT IN (3, 6, 7) AND rf <> 'R') END::BIGINT AS price_count
+FROM addr JOIN o ON o_orderkey = snapshot GROUP BY snapshot
+""")
+def stream_sequence_errors(spark, sf_dir):
+    """The first line of each low-priority 'P' order has a coordinate list that is no list."""
+    base = work_dir(spark, "stream-sequence")
+    lines = feature_lines(spark, sf_dir, keep_snapshot=True)
+    bad = read_table(spark, sf_dir, "orders").where(
+        "o_orderpriority = '5-LOW' AND o_orderstatus = 'P'").select(F.col("o_orderkey").alias("snapshot"), F.lit(True).alias("bad"))
+    broken = F.regexp_replace("value", r'"coordinates":\[[^\]]*\]', '"coordinates":"lost"')
+    first = F.get_json_object("value", "$.properties.Name") == F.col("_least")
+    least = lines.groupBy("snapshot").agg(F.min(F.get_json_object("value", "$.properties.Name")).alias("_least"))
+    (lines.join(bad, "snapshot", "left").join(least, "snapshot")
+     .select("snapshot", F.when(F.col("bad") & first, broken).otherwise(F.col("value")).alias("value"))
+     .repartition(LANDING_FILES, "snapshot").select("value").write.mode("overwrite").text(f"{base}/landing"))
+    store = _store(spark, sf_dir, base)
+    start_ingest(spark, f"{base}/landing", store, FEED_DATASET, f"{base}/checkpoint", layout="sequence",
+                 available_now=True, max_files_per_trigger=3).awaitTermination()
+    return store.snapshots().select("id", "status", "price_count")
+
+
+#: Orders whose lines make one polled document.
+POLL_ORDERS = 2048
+
+
+@query("stream_documents", ids="SRC-01 SRC-02 STR-02 STR-03 (one FeatureCollection file a poll, gzip and plain, "
+       "some corrupt, some without features, stations several times in a poll)", sql=FEED_CTE + f"""
+, polls AS (
+  SELECT snapshot // {POLL_ORDERS} AS poll, count(*) FILTER (ln NOT IN (3, 6, 7) AND rf <> 'R') AS valid
+  FROM addr GROUP BY 1)
+SELECT poll % 7 AS kind, if(poll % 7 = 3, 'error', 'processed') AS status, count(*) AS polls,
+       sum(if(poll % 7 IN (3, 5), 0, valid))::BIGINT AS price_count
+FROM polls GROUP BY ALL
+""")
+def stream_documents(spark, sf_dir):
+    base = work_dir(spark, "stream-documents")
+    poll = F.floor(F.col("snapshot") / POLL_ORDERS)
+    kind = F.col("poll") % 7
+    docs = (feature_lines(spark, sf_dir, keep_snapshot=True).withColumn("poll", poll)
+            .groupBy("poll").agg(F.concat_ws(",", F.collect_list("value")).alias("features")))
+    whole = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("features"), F.lit("]}"))
+    docs = docs.select("poll", F.when(kind == 3, F.left(whole, F.floor(F.length(whole) / 2).cast("int")))
+                       .when(kind == 5, F.lit('{"type":"FeatureCollection"}')).otherwise(whole).alias("value"))
+    for name, some in (("gz", F.col("poll") % 2 == 0), ("plain", F.col("poll") % 2 == 1)):
+        (docs.where(some).repartition("poll").write.mode("overwrite").partitionBy("poll")
+         .option("compression", "gzip" if name == "gz" else "none").text(f"{base}/landing/{name}"))
+    store = _store(spark, sf_dir, base)
+    landing = f"{base}/landing"
+    start_ingest(spark, landing, store, FEED_DATASET, f"{base}/checkpoint", layout="documents",
+                 available_now=True, max_files_per_trigger=10).awaitTermination()
+    # a document's snapshot id is its file's rank; the polls' kinds come back through the store's file names
+    snaps = store.snapshots()
+    polls = F.regexp_extract("source_file", r"poll=(\d+)", 1).cast("long")
+    return (snaps.join(store.sources(), "id").withColumn("poll", polls)
+            .groupBy((F.col("poll") % 7).alias("kind"), "status")
+            .agg(F.count_distinct("poll").alias("polls"), F.sum("price_count").alias("price_count")))

@@ -5,9 +5,12 @@
     <root>/prices/batch=<id>/   facts, one folder per ingest batch
     <root>/snapshots/batch=<id>/  snapshot rows, written LAST
 
+    <root>/sources/batch=<id>/  the files of each snapshot
+    <root>/rejects/batch=<id>/  records that belong to no snapshot
+
 All-or-nothing snapshots (STR-03): a batch writes its facts and dimension
-versions first and publishes its snapshot rows last; readers only see facts
-whose snapshot row exists with status 'processed'. Replaying a batch
+versions first and publishes its snapshot rows last; readers only see facts of
+snapshots all of whose rows have the status 'processed'. Replaying a batch
 overwrites its own folders, so a retried micro-batch never duplicates rows.
 """
 
@@ -18,7 +21,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwatch.model import STATUS_PROCESSED
+from pumpwatch.model import STATUS_ERROR, STATUS_PROCESSED
 
 _VERSION_DIR = re.compile(r"/v=(\d+)/")
 
@@ -66,8 +69,22 @@ class PriceStore:
     def read_all(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._path(name))
 
+    def snapshots(self) -> DataFrame:
+        """One row per snapshot, whatever the number of batches its files came in: an error
+        with no prices if any part is one, else processed with all its prices."""
+        bad = F.max(F.col("status") != STATUS_PROCESSED)
+        return (self.read_all("snapshots").groupBy("id")
+                .agg(F.max("timestamp").alias("timestamp"), F.max("dataset").alias("dataset"),
+                     F.when(bad, F.lit(STATUS_ERROR)).otherwise(F.lit(STATUS_PROCESSED)).alias("status"),
+                     F.when(bad, F.lit(0)).otherwise(F.sum("price_count")).cast("long").alias("price_count"))
+                .select("id", "timestamp", "status", "dataset", "price_count"))
+
+    def sources(self) -> DataFrame:
+        """(id, source_file): the files that each snapshot came from."""
+        return self.read_all("sources").select("id", "source_file").distinct()
+
     def published_prices(self) -> DataFrame:
         """Facts of processed (published) snapshots only."""
-        done = (self.read_all("snapshots").where(F.col("status") == STATUS_PROCESSED)
+        done = (self.snapshots().where(F.col("status") == STATUS_PROCESSED)
                 .select(F.col("id").alias("snapshot_id")))
         return self.read_all("prices").drop("batch").join(done, "snapshot_id", "left_semi")

@@ -55,9 +55,13 @@ COLLECTION = T.StructType([
 ])
 
 
-def collection_snapshot(raw: Column) -> Column:
-    """Snapshot id of a poll line, also when the rest of the line is corrupt."""
-    return F.regexp_extract(raw, r'^\s*\{\s*"snapshot"\s*:\s*(\d+)', 1).try_cast("long")
+# one feature per line with its snapshot id; a line that doesn't fit keeps its text
+FEATURE_LINE = T.StructType([*FEATURE.fields, T.StructField("_corrupt_record", T.StringType())])
+
+
+def raw_snapshot(raw: Column) -> Column:
+    """Snapshot id in the raw text of a record that doesn't parse, NULL if there is none."""
+    return F.regexp_extract(raw, r'"snapshot"\s*:\s*(\d+)\s*[,}]', 1).try_cast("long")
 
 
 def read_feed_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -70,8 +74,8 @@ def read_feed_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def features_of_documents(docs: DataFrame) -> DataFrame:
     """Explode the documents into features (missing ``features`` → no rows)."""
-    return docs.select("source_file", F.explode("features").alias("f")).select(
-        "source_file", "f.*")
+    return docs.select("source_file", F.posexplode("features").alias("pos", "f")).select(
+        "source_file", "pos", "f.*")
 
 
 def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:

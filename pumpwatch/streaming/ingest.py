@@ -3,66 +3,67 @@
 The landing folder receives feed files; the file source picks up new files
 per trigger and ``foreachBatch`` runs the batch ``populate`` on them:
 
-* ``documents``: one FeatureCollection per file = one snapshot (gzip or
-  plain). A file that does not parse arrives as one row with ``features``
-  NULL and becomes an ``error`` snapshot; the other files of the batch are
-  processed (STR-02).
+* ``documents``: one FeatureCollection per file = one snapshot (gzip or plain).
 * ``sequence``: GeoJSON text sequences, one Feature per line carrying its
   ``snapshot`` id; splittable, for polls too large for one task.
-* ``collections``: one FeatureCollection per line, its ``snapshot`` id
-  written first; a poll may span several lines. A corrupt line is identified
-  from its raw text and makes its whole snapshot an ``error`` (nothing of it
-  is published: all-or-nothing per snapshot).
+* ``collections``: one FeatureCollection per line, its ``snapshot`` id written
+  first; a poll may span several lines.
+
+In every layout a record that does not parse, or does not fit the schema,
+makes its snapshot an ``error``, the other snapshots are processed (STR-02). A
+document without ``features`` is an empty poll. A corrupt line is matched with
+its snapshot by its raw text; lines whose snapshot can't be read go to the
+``rejects`` table with their file, so none is lost without a trace.
 
 Per micro-batch: dimension upserts written as a new version → facts appended
 to ``prices/batch=<id>`` → snapshot rows published last (STR-03). The batch
-id makes a replay overwrite its own output (idempotent). The stream's
-checkpoint and the store live under the shared checkpoint folder.
-``trigger(availableNow=True)`` runs the same job once (STR-04); a
-processing-time trigger runs it every ``update_frequency`` minutes (STR-01).
+id makes a replay overwrite its own output (idempotent). A poll whose files
+arrive in several batches has a row in each; the store reads them as one
+snapshot, an error if any of its parts is. The stream's checkpoint and the
+store live under the shared checkpoint folder. ``trigger(availableNow=True)``
+runs the same job once (STR-04); a processing-time trigger runs it every
+``update_frequency`` minutes (STR-01).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from pumpwatch.functions.keys import assign_ids
 from pumpwatch.model import STATUS_ERROR, STATUS_PROCESSED
 from pumpwatch.operators import ingest as ig
 from pumpwatch.operators.counts import with_price_counts
 from pumpwatch.sinks.store import PriceStore
 from pumpwatch.sources import feed as fd
 
-# snapshot ids of document polls: batch_id * SNAPSHOTS_PER_BATCH + file rank;
-# a document batch takes at most MAX_DOCUMENTS_PER_BATCH files, which bounds
-# the per-batch ranking window
-SNAPSHOTS_PER_BATCH = 1_000_000
-MAX_DOCUMENTS_PER_BATCH = 1000
+# snapshot ids of document polls: batch id in the high 32 bits, then the file's rank
+BATCH_BITS = 32
+REJECT_SCHEMA = "source_file string, raw string"
 
 
 def read_landing(spark: SparkSession, landing: str, layout: str = "documents",
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream
+    schemas = {"documents": fd.FEED, "sequence": fd.FEATURE_LINE, "collections": fd.COLLECTION}
+    if layout not in schemas:
+        raise ValueError(f"unknown landing layout {layout!r}")
+    reader = spark.readStream.option("recursiveFileLookup", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    if layout == "documents":
-        return (reader.schema(fd.FEED).option("multiLine", True).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", "_corrupt_record").json(landing)
-                .select(F.col("_metadata.file_path").alias("source_file"),
-                        F.col("_metadata.file_modification_time").alias("polled_at"),
-                        "features", "_corrupt_record"))
-    if layout == "sequence":
-        return (reader.schema(fd.FEATURE).json(landing)
-                .select("*", F.col("_metadata.file_modification_time").alias("polled_at")))
-    if layout == "collections":
-        return (reader.schema(fd.COLLECTION).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", "_corrupt_record").json(landing)
-                .select(F.coalesce(F.col("snapshot"), fd.collection_snapshot(F.col("_corrupt_record")))
-                        .alias("snapshot"), "features",
-                        F.col("_corrupt_record").isNotNull().alias("bad"),
-                        F.col("_metadata.file_modification_time").alias("polled_at")))
-    raise ValueError(f"unknown landing layout {layout!r}")
+    rows = (reader.schema(schemas[layout]).option("multiLine", layout == "documents")
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+            .json(landing))
+    return with_source(rows, layout)
+
+
+def with_source(rows: DataFrame, layout: str) -> DataFrame:
+    """Which file a record is from, and from which split of it."""
+    out = rows.select("*", F.col("_metadata.file_path").alias("source_file"),
+                      F.col("_metadata.file_modification_time").alias("polled_at"),
+                      F.col("_metadata.file_block_start").alias("_block"))
+    if layout != "documents":
+        out = out.withColumn("snapshot", F.coalesce("snapshot", fd.raw_snapshot(F.col("_corrupt_record"))))
+    return out
 
 
 class FeedBatch:
@@ -72,51 +73,44 @@ class FeedBatch:
         self.store, self.dataset, self.layout = store, dataset, layout
 
     def snapshots_and_features(self, batch: DataFrame, batch_id: int
-                               ) -> tuple[DataFrame, DataFrame]:
+                               ) -> tuple[DataFrame, DataFrame, DataFrame]:
+        # the place of a record in its split; a batch is a plain DataFrame, so rows can be numbered
+        batch = batch.withColumn("_line", F.monotonically_increasing_id())
+        if self.layout == "documents":
+            # one snapshot per file, ranked by name: distributed numbering, any number of files
+            ranks = assign_ids(batch.select("source_file").distinct(), ["source_file"],
+                               start=(batch_id << BATCH_BITS) + 1, id_col="snapshot")
+            batch = batch.join(ranks, "source_file")
+        known = batch.where(F.col("snapshot").isNotNull())
+        snaps = (known.groupBy(F.col("snapshot").alias("id"))
+                 .agg(F.max("polled_at").alias("timestamp"),
+                      F.max(F.col("_corrupt_record").isNotNull()).alias("_bad"))
+                 .select("id", "timestamp",
+                         F.when(F.col("_bad"), F.lit(STATUS_ERROR))
+                         .otherwise(F.lit(STATUS_PROCESSED)).alias("status"),
+                         F.lit(self.dataset).alias("dataset")))
+        bad = snaps.where(F.col("status") == STATUS_ERROR).select(F.col("id").alias("snapshot"))
+        good = known.join(bad, "snapshot", "left_anti")
+        place = [F.col(c) for c in ("source_file", "_block", "_line")]
+        if self.layout == "sequence":
+            feats = good.select("snapshot", F.struct(*place).alias("pos"), "geometry", "properties")
+        else:   # missing features: an empty poll
+            feats = (good.select("snapshot", *place, F.posexplode("features").alias("_item", "f"))
+                     .select("snapshot", F.struct(*place, "_item").alias("pos"), "f.geometry", "f.properties"))
+        sources = known.select(F.col("snapshot").alias("id"), "source_file").distinct()
+        return snaps, fd.flatten_features(feats), sources
+
+    def rejects(self, batch: DataFrame) -> DataFrame:
+        """Records whose snapshot can't be told."""
         if self.layout == "documents":
-            # one snapshot per file. The ranking window runs over this batch's
-            # file NAMES only (≤ maxFilesPerTrigger rows); the documents stay in
-            # their scan partitions and get their rank by a bounded broadcast.
-            w = Window.orderBy("source_file")
-            ranks = (batch.select("source_file").distinct()
-                     .select("source_file", (F.lit(batch_id * SNAPSHOTS_PER_BATCH)
-                                             + F.row_number().over(w)).alias("snapshot")))
-            files = batch.join(F.broadcast(ranks), "source_file")
-            snaps = files.select(
-                F.col("snapshot").alias("id"), F.col("polled_at").alias("timestamp"),
-                F.when(F.col("features").isNull(), F.lit(STATUS_ERROR))
-                .otherwise(F.lit(STATUS_PROCESSED)).alias("status"),
-                F.lit(self.dataset).alias("dataset"))
-            feats = (files.where(F.col("features").isNotNull())
-                     .select("snapshot", F.posexplode("features").alias("pos", "f"))
-                     .select("snapshot", "pos", "f.geometry", "f.properties"))
-        elif self.layout == "collections":
-            lines = batch.where(F.col("snapshot").isNotNull())
-            snaps = (lines.groupBy(F.col("snapshot").alias("id"))
-                     .agg(F.max("polled_at").alias("timestamp"), F.max("bad").alias("_bad"))
-                     .select("id", "timestamp",
-                             F.when(F.col("_bad"), F.lit(STATUS_ERROR))
-                             .otherwise(F.lit(STATUS_PROCESSED)).alias("status"),
-                             F.lit(self.dataset).alias("dataset")))
-            good = snaps.where(F.col("status") == STATUS_PROCESSED).select(
-                F.col("id").alias("snapshot"))
-            feats = (lines.join(good, "snapshot", "left_semi")
-                     .select("snapshot", F.explode("features").alias("f"))
-                     .select("snapshot", "f.geometry", "f.properties"))
-        else:
-            snaps = (batch.where(F.col("snapshot").isNotNull())
-                     .groupBy(F.col("snapshot").alias("id"))
-                     .agg(F.max("polled_at").alias("timestamp"))
-                     .select("id", "timestamp", F.lit(STATUS_PROCESSED).alias("status"),
-                             F.lit(self.dataset).alias("dataset")))
-            feats = batch.where(F.col("snapshot").isNotNull()).select(
-                "snapshot", "geometry", "properties")
-        return snaps, fd.flatten_features(feats)
+            return batch.sparkSession.createDataFrame([], REJECT_SCHEMA)
+        return batch.where(F.col("snapshot").isNull()).select(
+            "source_file", F.col("_corrupt_record").alias("raw"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            snaps, flat = self.snapshots_and_features(batch, batch_id)
+            snaps, flat, sources = self.snapshots_and_features(batch, batch_id)
             version = batch_id + 1
             stations, fuels = ig.upsert_dimensions(
                 flat, self.dataset, self.store.read_dim("stations", before=version),
@@ -126,6 +120,8 @@ class FeedBatch:
             prices = ig.resolve_prices(flat, self.dataset, stations, fuels)
             self.store.append("prices", prices, batch_id)
             published = self.store.read_batch("prices", batch_id)
+            self.store.append("sources", sources, batch_id)
+            self.store.append("rejects", self.rejects(batch), batch_id)
             self.store.append("snapshots", with_price_counts(snaps, published), batch_id)
         finally:
             batch.unpersist()
@@ -134,9 +130,6 @@ class FeedBatch:
 def start_ingest(spark: SparkSession, landing: str, store: PriceStore, dataset: str,
                  checkpoint: str, layout: str = "documents", available_now: bool = True,
                  every_minutes: float = 5, max_files_per_trigger: int | None = None):
-    if layout == "documents":
-        max_files_per_trigger = min(max_files_per_trigger or MAX_DOCUMENTS_PER_BATCH,
-                                    MAX_DOCUMENTS_PER_BATCH)
     stream = read_landing(spark, landing, layout, max_files_per_trigger)
     writer = (stream.writeStream.foreachBatch(FeedBatch(store, dataset, layout))
               .option("checkpointLocation", checkpoint))

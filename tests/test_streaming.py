@@ -44,14 +44,11 @@ def test_error_isolation_and_publish(spark, tmp_path):
 
 def test_replayed_batch_is_idempotent(spark, tmp_path):
     from pumpwatch.sources import feed as fd
-    from pumpwatch.streaming.ingest import FeedBatch
+    from pumpwatch.streaming.ingest import FeedBatch, with_source
     landing = tmp_path / "in"
     landing.mkdir()
     (landing / "a.json").write_text(json.dumps(doc(["S1", "S2"])))
-    batch = (spark.read.schema(fd.FEED).option("multiLine", True).json(str(landing))
-             .select(F.col("_metadata.file_path").alias("source_file"),
-                     F.col("_metadata.file_modification_time").alias("polled_at"),
-                     "features", "_corrupt_record"))
+    batch = with_source(spark.read.schema(fd.FEED).option("multiLine", True).json(str(landing)), "documents")
     store = PriceStore(spark, str(tmp_path / "store"))
     store.write_dim("stations", spark.createDataFrame(
         [], "id long, dataset string, name string, adress string, city string, region string, "
@@ -99,3 +96,66 @@ def test_read_dim_newest_and_before(spark, tmp_path):
     assert [r.name for r in store.read_dim("fuels", before=10).collect()] == ["v2"]
     assert [r.name for r in store.read_dim("fuels", before=1).collect()] == ["v0"]
     assert store.read_dim("fuels", before=0).count() == 0
+
+
+def line(snapshot, name, region="R"):
+    return json.dumps({"type": "Feature", "geometry": {"coordinates": [1.0, 2.0]},
+                       "properties": {"Name": name, "Address": "5 road, Town", "Region": region,
+                                      "Prices": [{"GasType": "A", "Price": "99.0", "IsAvailable": True}]},
+                       "snapshot": snapshot})
+
+
+def empty_store(spark, tmp_path):
+    store = PriceStore(spark, str(tmp_path / "store"))
+    store.write_dim("stations", spark.createDataFrame(
+        [], "id long, dataset string, name string, adress string, city string, region string, "
+            "longitude double, latitude double"), 0)
+    store.write_dim("fuels", spark.createDataFrame([], "id long, name string"), 0)
+    return store
+
+
+def ingest(spark, tmp_path, layout, files, per_trigger=10):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    for name, text in files.items():
+        (landing / name).write_text(text)
+    store = empty_store(spark, tmp_path)
+    start_ingest(spark, str(landing), store, "d", str(tmp_path / "ckpt"), layout=layout,
+                 max_files_per_trigger=per_trigger).awaitTermination()
+    return store
+
+
+def test_corrupt_sequence_line_fails_its_poll_and_unreadable_lines_are_kept(spark, tmp_path):
+    cut = line(1, "S3")[:50] + '"snapshot": 1}'        # no JSON, but its poll can be read
+    store = ingest(spark, tmp_path, "sequence", {
+        "a.json": "\n".join([line(1, "S1"), cut, line(2, "S2"), "{lost"])})
+    assert {(r.id, r.status, r.price_count) for r in store.snapshots().collect()} == {
+        (1, "error", 0), (2, "processed", 1)}
+    assert [r.raw for r in store.read_all("rejects").collect()] == ["{lost"]
+    assert store.published_prices().count() == 1
+
+
+def test_poll_over_two_triggers_is_one_snapshot(spark, tmp_path):
+    store = ingest(spark, tmp_path, "sequence", {
+        "a.json": "\n".join([line(1, "S1"), line(2, "S1")]),
+        "b.json": "\n".join([line(1, "S2"), line(2, "S2")[:40] + '"snapshot": 2,']), }, per_trigger=1)
+    assert store.read_all("snapshots").count() == 4
+    assert {(r.id, r.status, r.price_count) for r in store.snapshots().collect()} == {
+        (1, "processed", 2), (2, "error", 0)}
+    assert {r.snapshot_id for r in store.published_prices().collect()} == {1}
+
+
+def test_document_errors_and_empty_polls(spark, tmp_path):
+    wrong = doc(["S1"])
+    wrong["features"][0]["geometry"]["coordinates"] = "nowhere"
+    store = ingest(spark, tmp_path, "documents", {
+        "a.json": json.dumps({"type": "FeatureCollection"}), "b.json": json.dumps(wrong),
+        "c.json": json.dumps(doc(["S1", "S2"]))})
+    by_file = {r.source_file[-6]: r.status for r in store.snapshots().join(store.sources(), "id").collect()}
+    assert by_file == {"a": "processed", "b": "error", "c": "processed"}
+
+
+def test_last_record_of_a_poll_wins_in_every_layout(spark, tmp_path):
+    store = ingest(spark, tmp_path, "sequence", {
+        "a.json": "\n".join([line(1, "S1", f"R{i}") for i in (3, 1, 2)])})
+    assert [r.region for r in store.read_dim("stations").collect()] == ["R2"]
