@@ -146,6 +146,18 @@ def stations_o(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.lit(44.0) + F.pmod(key, F.lit(19)).cast("double")).alias("latitude")))
 
 
+# fixed values: the priorities of the test tables, here the names of the datasets
+DATASET_NAMES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def owned_stations_o(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stations_o with the dataset that each station belongs to, by its nation's number."""
+    own = read_table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"),
+        F.get(F.array(*map(F.lit, DATASET_NAMES)), F.pmod("s_nationkey", F.lit(5)).cast("int")).alias("dataset"))
+    return stations_o(spark, sf_dir).join(own, "id")
+
+
 def datasets_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dataset registry: one entry per order priority, '1-URGENT' → id 1.
 

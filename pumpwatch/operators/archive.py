@@ -12,8 +12,12 @@ from pumpwatch.functions.keys import assign_ids
 from pumpwatch.functions.scalars import parse_iso_timestamp
 from pumpwatch.model import DEFAULT_MAX_SNAPSHOTS, DEFAULT_UPDATE_FREQUENCY, STATUS_PROCESSED
 from pumpwatch.operators.counts import with_price_counts
+from pumpwatch.session import ensure_checkpoint_dir
 from pumpwatch.sources import archive as src
 
+#: Fuels (id, id) that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST_FUELS = 100_000
+
 # ISO-8601 with a numeric offset, e.g. 2026-01-01T00:00:00+00:00
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ssxxx"
 
@@ -24,7 +28,7 @@ def export_archive(spark: SparkSession, root: str, dataset_row: DataFrame, stati
 
     * manifest: version 1 + the dataset settings;
     * fuels: only those its prices use (semi join);
-    * stations: all of the dataset's stations, even without prices;
+    * stations: those given, the dataset's own, even without prices;
     * snapshots: all of them, whatever their status (timestamp ISO-8601 UTC);
     * prices: those whose snapshot belongs to the dataset, price as a number.
     Each section is written by many tasks as gzip JSON lines.
@@ -39,7 +43,8 @@ def export_archive(spark: SparkSession, root: str, dataset_row: DataFrame, stati
     (own.select("station_id", "fuel_id", F.col("price").cast("double").alias("price"),
                 "snapshot_id")
      .write.mode("overwrite").options(**opts).json(f"{root}/prices"))
-    used = own.select(F.col("fuel_id").alias("id"))
+    # the used fuels are read back from the written section: one pass over the facts
+    used = src.read_section(spark, root, "prices").select(F.col("fuel_id").alias("id")).distinct()
     (fuels.join(used, "id", "left_semi").select("id", "name")
      .write.mode("overwrite").options(**opts).json(f"{root}/fuels"))
     (stations.select("id", "name", "city", "region", "adress",
@@ -53,7 +58,8 @@ def export_archive(spark: SparkSession, root: str, dataset_row: DataFrame, stati
 
 @dataclass
 class Imported:
-    dataset: DataFrame     # registry row of the new dataset (inactive until done)
+    dataset: DataFrame     # registry row of the new dataset, inactive until done; ``activate``: the
+    #                        archive's own flag, for ``counts.activate`` once the import is complete
     fuels: DataFrame       # global fuel dimension after get-or-create
     stations: DataFrame    # new stations (new ids) with old_id
     snapshots: DataFrame   # new snapshots (new ids) with old_id and price_count
@@ -80,6 +86,7 @@ def import_sections(manifest: DataFrame, fuels_in: DataFrame, stations_in: DataF
         F.coalesce(a["data_source_url"], F.lit("")).alias("data_source_url"),
         F.lit(False).alias("active"),
         F.lit(False).alias("run_automatically"),
+        F.coalesce(a["active"], F.lit(False)).alias("activate"),
         F.coalesce(a["max_snapshots"], F.lit(DEFAULT_MAX_SNAPSHOTS)).alias("max_snapshots"))
     # fuels: get-or-create by name
     names = fuels_in.select("name").distinct()
@@ -99,18 +106,20 @@ def import_sections(manifest: DataFrame, fuels_in: DataFrame, stations_in: DataF
                   F.lit(dataset_id).cast("long").alias("dataset_id")))
     st_map = st.select(F.col("old_id").alias("station_id"), F.col("id").alias("new_station_id"))
     sn_map = sn.select(F.col("old_id").alias("snapshot_id"), F.col("id").alias("new_snapshot_id"))
-    mapped = (prices_in.join(st_map, "station_id").join(fuel_map, "fuel_id")
-              .join(sn_map, "snapshot_id")
-              .select(F.col("new_snapshot_id").alias("snapshot_id"),
-                      F.col("new_station_id").alias("station_id"),
-                      F.col("new_fuel_id").alias("fuel_id"),
-                      F.col("price").cast("decimal(10,2)").alias("price")))
-    # every price row with at least one unmapped id, once (duplicates kept):
-    # one left-join probe, no union of anti joins and no DISTINCT shuffle
-    probe = (prices_in.join(st_map, "station_id", "left").join(fuel_map, "fuel_id", "left")
-             .join(sn_map, "snapshot_id", "left"))
-    dropped = probe.where(F.col("new_station_id").isNull() | F.col("new_fuel_id").isNull()
-                          | F.col("new_snapshot_id").isNull()).select(*prices_in.columns)
+    if fuel_map.count() <= MAX_BROADCAST_FUELS:
+        fuel_map = F.broadcast(fuel_map)     # a handful of keys: no shuffle of the facts by fuel
+    # every price is probed once, and written: mapped rows, their counts and the report of
+    # dropped rows (once each, duplicates kept) all read that copy
+    ensure_checkpoint_dir(prices_in.sparkSession)
+    probe = (prices_in.join(fuel_map, "fuel_id", "left").join(st_map, "station_id", "left")
+             .join(sn_map, "snapshot_id", "left")).checkpoint(eager=True)
+    lost = (F.col("new_station_id").isNull() | F.col("new_fuel_id").isNull()
+            | F.col("new_snapshot_id").isNull())
+    mapped = probe.where(~lost).select(F.col("new_snapshot_id").alias("snapshot_id"),
+                                       F.col("new_station_id").alias("station_id"),
+                                       F.col("new_fuel_id").alias("fuel_id"),
+                                       F.col("price").cast("decimal(10,2)").alias("price"))
+    dropped = probe.where(lost).select(*prices_in.columns)
     counted = with_price_counts(sn, mapped)
     return Imported(dataset, fuels2, st, counted, mapped, dropped)
 
@@ -119,8 +128,7 @@ def import_archive(spark: SparkSession, root: str, *, dataset_id: int, fuels: Da
                    next_station_id, next_snapshot_id) -> Imported:
     """Read an archive directory (version checked first) and import it."""
     manifest = src.read_manifest(spark, root)
-    for row in manifest.select("version").limit(2).collect():
-        src.check_version(row.version)
+    src.check_versions(manifest)
     return import_sections(manifest, src.read_section(spark, root, "fuels"),
                            src.read_section(spark, root, "stations"),
                            src.read_section(spark, root, "snapshots"),
@@ -129,6 +137,16 @@ def import_archive(spark: SparkSession, root: str, *, dataset_id: int, fuels: Da
                            next_station_id=next_station_id, next_snapshot_id=next_snapshot_id)
 
 
+def import_document(spark: SparkSession, path: str, *, dataset_id: int, fuels: DataFrame,
+                    next_station_id, next_snapshot_id) -> Imported:
+    """Import an archive that is one JSON document, plain or gzip."""
+    part = src.read_document_sections(spark, path)
+    src.check_versions(part["manifest"])
+    return import_sections(part["manifest"], part["fuels"], part["stations"], part["snapshots"],
+                           src.read_price_fragments(spark, path), dataset_id=dataset_id, fuels=fuels,
+                           next_station_id=next_station_id, next_snapshot_id=next_snapshot_id)
+
+
 def purge_dataset(dataset: str, snapshots: DataFrame, stations: DataFrame, prices: DataFrame,
                   dataset_col: str = "dataset") -> tuple[DataFrame, DataFrame, DataFrame]:
     """OP-14: remove a dataset with its snapshots, stations and prices (cascade).

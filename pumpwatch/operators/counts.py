@@ -51,16 +51,15 @@ def active_dataset_snapshots(registry: DataFrame, snapshots: DataFrame) -> DataF
     return snapshots.join(F.broadcast(act), "dataset", "left_semi")
 
 
-def home_kpis(registry: DataFrame, counted_snapshots: DataFrame, prices: DataFrame) -> DataFrame:
+def home_kpis(registry: DataFrame, counted_snapshots: DataFrame, stations: DataFrame) -> DataFrame:
     """AGG-01: stations, snapshots and prices of the active dataset (zeros when none).
 
-    Stations belong to a dataset through the prices they carry; prices use
-    the cached per-snapshot counts (no COUNT over the facts).
+    Stations are counted in their own table, with or without prices; prices by
+    the cached per-snapshot counts (no pass over the facts for either).
     """
+    act = active_dataset(registry).select(F.col("name").alias("dataset"))
+    n_stations = stations.join(act, "dataset", "left_semi").select(F.count(F.lit(1))).scalar()
     snaps = active_dataset_snapshots(registry, counted_snapshots)
-    n_stations = (prices.join(snaps.select(F.col("id").alias("snapshot_id")), "snapshot_id",
-                              "left_semi")
-                  .select(F.count_distinct("station_id")).scalar())
     return snaps.agg(F.count(F.lit(1)).alias("snapshot_count"),
                      F.coalesce(F.sum("price_count"), F.lit(0)).cast("long").alias("price_count")
                      ).select(F.coalesce(n_stations, F.lit(0)).alias("station_count"),

@@ -221,17 +221,14 @@ def latest_pair(prices: DataFrame, times: list | None = None) -> DataFrame:
     if times is None:
         return prices.agg(F.max(TS).alias("t")).select("t", previous_ts(prices).alias("prev_t"))
     t, prev = ([*times, None, None])[:2]
-    return prices.sparkSession.range(1).select(F.lit(t).cast("timestamp").alias("t"),
-                                               F.lit(prev).cast("timestamp").alias("prev_t"))
+    return prices.sparkSession.createDataFrame([(t, prev)] if t else [], "t timestamp, prev_t timestamp")
 
 
 def changed_since_previous(prices: DataFrame, times: list | None = None) -> DataFrame:
     """Number of (station, fuel) pairs whose price differs between the two
     newest snapshots (inner join + ``!=``, duplicates counted pairwise)."""
-    pair = latest_pair(prices, times)
-    ch = pair_changes(prices, pair)
-    return (pair.join(ch, "t", "left")
-            .select(F.coalesce(F.col("updates"), F.lit(0)).cast("long").alias("changed")))
+    ch = pair_changes(prices, latest_pair(prices, times))
+    return ch.agg(F.coalesce(F.max("updates"), F.lit(0)).cast("long").alias("changed"))
 
 
 def vanished_since_previous(prices: DataFrame, times: list | None = None) -> DataFrame:

@@ -28,7 +28,9 @@ def aggregator(name: str, value: str) -> Column:
         "count_distinct": F.count_distinct(v),
         "sum": F.sum(v),
         "avg": F.avg(v),
+        # exact by the counts of distinct values; "median_approx" is bounded in memory
         "median": F.median(v),
+        "median_approx": F.percentile_approx(v, 0.5, 10_000),
         "var_samp": F.var_samp(v),
         "stddev_samp": F.stddev_samp(v),
         "min": F.min(v),
@@ -86,50 +88,55 @@ def pivot_long(df: DataFrame, rows: list[str], cols: list[str], value: str = "Pr
     return g
 
 
-def column_labels(long: DataFrame, cols: list[str], max_labels: int = 1000) -> list[str]:
-    """Leaf column labels, multi-level joined with ' - ', sorted by key tuple.
+def column_keys(long: DataFrame, cols: list[str]) -> list[tuple]:
+    """The column tuples of a long pivot in key order: the columns of the wide table.
 
-    Bounded: more than ``max_labels`` labels is an error (the reference's
-    browser table would not render them either).
+    They come to the driver because a plan's columns are made there; a pivot of
+    any width has the long form.
     """
     if not cols:
         return []
-    keyed = (long.where(~F.col("is_total_col"))
-             .select(*[F.col(f"`{c}`") for c in cols]).distinct()
-             .orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in cols])
-             .limit(max_labels + 1).collect())
-    if len(keyed) > max_labels:
-        raise ValueError(f"more than {max_labels} pivot columns")
-    return [LABEL_SEP.join("" if v is None else str(v) for v in r) for r in keyed]
+    names = [F.col(f"`{c}`") for c in cols]
+    return [tuple(r) for r in long.where(~F.col("is_total_col")).select(*names).distinct()
+            .orderBy(*[c.asc_nulls_last() for c in names]).collect()]
 
 
-def _label(cols: list[str]) -> Column:
-    if not cols:
-        return F.lit(TOTALS)
-    joined = F.concat_ws(LABEL_SEP, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-                                     for c in cols])
-    return F.when(F.col("is_total_col"), F.lit(TOTALS)).otherwise(joined)
+def label(key: tuple) -> str:
+    """Leaf column label: the levels joined with ' - ', a missing one blank."""
+    return LABEL_SEP.join("" if v is None else str(v) for v in key)
 
 
 def pivot_table(df: DataFrame, rows: list[str], cols: list[str], value: str = "Price",
                 agg: str = "avg", include: dict | None = None, exclude: dict | None = None,
-                labels: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Wide pivot: row attrs, one column per label, 'Totals'; plus the totals row.
+                keys: list[tuple] | None = None) -> tuple[DataFrame, list[str]]:
+    """Wide pivot: row attrs, ``is_total_row``, then one column c0, c1, … for each column
+    tuple and ``total``; plus the totals row (``is_total_row`` = true).
 
-    Returns (table, labels). The totals row has ``is_total_row`` = true.
+    Returns (table, labels of c0, c1, …). Columns are told apart by their tuples,
+    so tuples with equal labels, blanks and values named like the totals all
+    have columns of their own. ``keys``: the tuples to show, in order.
     """
     long = pivot_long(df, rows, cols, value, {"value": agg}, include, exclude)
-    if labels is None and cols:
-        # cells + totals are bounded by the selection guard: materialise them
-        # once, read the labels and pivot from the copy (no second pass)
+    if keys is None and cols:
+        # cells and totals are materialised once: keys and cells are read from the copy
         ensure_checkpoint_dir(long.sparkSession)
         long = long.checkpoint(eager=True)
-        labels = column_labels(long, cols)
-    labels = labels or []
-    wide = (long.withColumn("_label", _label(cols))
+        keys = column_keys(long, cols)
+    keys = keys or []
+
+    number = F.when(F.col("is_total_col"), F.lit(len(keys)))
+    if keys:
+        pairs = F.create_map(*[x for i, k in enumerate(keys) for x in (
+            F.to_json(F.array(*[F.lit(None if v is None else str(v)) for v in k])), F.lit(i))])
+        own = F.to_json(F.array(*[F.col(f"`{c}`").cast("string") for c in cols]))
+        number = number.otherwise(F.try_element_at(pairs, own))
+    wide = (long.withColumn("_n", number)
             .groupBy(*[F.col(f"`{r}`") for r in rows], "is_total_row")
-            .pivot("_label", labels + [TOTALS]).agg(F.first("value")))
-    return wide, labels
+            .pivot("_n", list(range(len(keys) + 1))).agg(F.first("value")))
+    names = [f"c{i}" for i in range(len(keys))] + ["total"]
+    wide = wide.select(*[F.col(f"`{r}`") for r in rows], "is_total_row",
+                       *[F.col(f"`{i}`").alias(n) for i, n in enumerate(names)])
+    return wide, [label(k) for k in keys]
 
 
 def number_text(col: Column, agg: str = "avg") -> Column:
@@ -152,7 +159,8 @@ def pivot_csv_lines(df: DataFrame, rows: list[str], cols: list[str], value: str
     wide, labels = pivot_table(df, rows, cols, value, agg, **kw)
     spark = df.sparkSession
     header = BOM + ",".join(_quote(h) for h in rows + labels + [TOTALS])
-    cells = [F.coalesce(number_text(F.col(f"`{lab}`"), agg), F.lit("")) for lab in labels + [TOTALS]]
+    cells = [F.coalesce(number_text(F.col(c), agg), F.lit(""))
+             for c in [*(f"c{i}" for i in range(len(labels))), "total"]]
     if rows:
         row_cells = [F.when(F.col("is_total_row") & F.lit(i == 0), F.lit(TOTALS))
                      .when(F.col("is_total_row"), F.lit(""))
@@ -163,7 +171,7 @@ def pivot_csv_lines(df: DataFrame, rows: list[str], cols: list[str], value: str
     line = F.concat_ws(",", *[csv_field(c) for c in row_cells + cells])
     key_text = F.concat_ws("\u0000", *[F.coalesce(F.col(f"`{r}`").cast("string"), F.lit(""))
                                        for r in rows])
-    by_value = (F.col(f"`{TOTALS}`").cast("double") if order_by_totals
+    by_value = (F.col("total").cast("double") if order_by_totals
                 else F.lit(None).cast("double"))
     body = wide.select(F.when(F.col("is_total_row"), F.lit(2)).otherwise(F.lit(1)).alias("section"),
                        by_value.alias("sort_value"), key_text.alias("sort_key"),

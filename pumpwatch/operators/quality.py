@@ -64,37 +64,26 @@ def dataset_profile(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFr
     return out
 
 
-def stored_bytes(df: DataFrame) -> Column:
-    """SRC-08: bytes of the files backing a file-based DataFrame (scalar subquery).
-
-    Reads only ``_metadata`` (no data columns): distinct files, summed sizes.
-    """
-    files = df.select(F.col("_metadata.file_path").alias("p"),
-                      F.col("_metadata.file_size").alias("s")).distinct()
-    return files.select(F.coalesce(F.sum("s"), F.lit(0)).cast("long")).scalar()
+def stored_bytes(spark: SparkSession, path: str) -> Column:
+    """SRC-08: bytes of the files under a path (scalar subquery), from their listing alone:
+    no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.coalesce(F.sum("length"), F.lit(0))).scalar()
 
 
-def storage_attribution(spark: SparkSession,
-                        tables: list[tuple[str, DataFrame, Column, Column]]) -> DataFrame:
-    """AGG-15 / OP-10: bytes of each table attributed to one dataset.
+def attribute(tables: DataFrame) -> DataFrame:
+    """AGG-15 / OP-10: bytes of each table attributed to one dataset, and their total.
 
-    ``tables``: (label, file-backed DataFrame, own_rows scalar, total_rows scalar).
+    ``tables``: (label, own_rows, total_rows, table_bytes), a row a table.
     estimated = floor(bytes × own / total), ratio 0 for an empty table; the
     last row is the sum of the truncated parts.
     """
-    rows = []
-    for label, df, own, total in tables:
-        b = stored_bytes(df)
-        ratio = F.when(total > 0, own.cast("double") / total.cast("double")).otherwise(F.lit(0.0))
-        rows.append(spark.range(1).select(
-            F.lit(label).alias("label"), own.cast("long").alias("own_rows"),
-            total.cast("long").alias("total_rows"), b.alias("table_bytes"),
-            F.floor(b.cast("double") * ratio).cast("long").alias("estimated_bytes")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    total_row = out.agg(F.lit("Total").alias("label"), F.lit(None).cast("long").alias("own_rows"),
-                        F.lit(None).cast("long").alias("total_rows"),
-                        F.sum("table_bytes").cast("long").alias("table_bytes"),
-                        F.sum("estimated_bytes").cast("long").alias("estimated_bytes"))
-    return out.unionByName(total_row)
+    ratio = F.when(F.col("total_rows") > 0, F.col("own_rows").cast("double") / F.col("total_rows")).otherwise(F.lit(0.0))
+    each = tables.select("label", F.col("own_rows").cast("long"), F.col("total_rows").cast("long"),
+                         F.col("table_bytes").cast("long"),
+                         F.floor(F.col("table_bytes").cast("double") * ratio).cast("long").alias("estimated_bytes"))
+    none = F.lit(None).cast("long")
+    total = each.agg(F.lit("Total").alias("label"), none.alias("own_rows"), none.alias("total_rows"),
+                     F.sum("table_bytes").cast("long").alias("table_bytes"),
+                     F.sum("estimated_bytes").cast("long").alias("estimated_bytes"))
+    return each.unionByName(total)

@@ -154,4 +154,54 @@ FROM wide
 @query("pivot_csv_lines", ids="SNK-03 SCL-08 TOP-10", sql=_csv_sql())
 def pivot_csv_lines(spark, sf_dir):
     labels = distinct_values(model.fuels_o(spark, sf_dir), "name")
-    return pv.pivot_csv_lines(_records(spark, sf_dir), ["Region"], ["Fuel"], labels=labels)
+    return pv.pivot_csv_lines(_records(spark, sf_dir), ["Region"], ["Fuel"], keys=[(x,) for x in labels])
+
+
+@query("pivot_label_collision", ids="OP-09 SNK-03 (column tuples with one label, blank levels, a value named like the totals)",
+       sql=RECS_SQL + """
+, tagged AS (
+  SELECT "Region", "Price",
+         CASE "Fuel" WHEN 'ECONOMY' THEN 'a - b' WHEN 'LARGE' THEN 'a' WHEN 'MEDIUM' THEN '' WHEN 'PROMO' THEN NULL ELSE 'Totals' END AS one,
+         CASE "Fuel" WHEN 'ECONOMY' THEN 'c' WHEN 'LARGE' THEN 'b - c' ELSE 'x' END AS two
+  FROM recs)
+SELECT "Region",
+       count(*) FILTER (one = '' AND two = 'x') AS blank, count(*) FILTER (one = 'Totals') AS named_totals,
+       count(*) FILTER (one = 'a' AND two = 'b - c') AS left_pair, count(*) FILTER (one = 'a - b' AND two = 'c') AS right_pair,
+       count(*) FILTER (one IS NULL) AS missing, count(*) AS total
+FROM tagged GROUP BY "Region"
+""")
+def pivot_label_collision(spark, sf_dir):
+    from pyspark.sql import functions as F
+    fuel = F.col("Fuel")
+    recs = _records(spark, sf_dir).select(
+        "Region", "Price",
+        F.when(fuel == "ECONOMY", "a - b").when(fuel == "LARGE", "a").when(fuel == "MEDIUM", "")
+        .when(fuel == "PROMO", F.lit(None)).otherwise("Totals").alias("one"),
+        F.when(fuel == "ECONOMY", "c").when(fuel == "LARGE", "b - c").otherwise("x").alias("two"))
+    wide, labels = pv.pivot_table(recs, ["Region"], ["one", "two"], "Price", "count")
+    assert labels == [" - x", "Totals - x", "a - b - c", "a - b - c", " - x"]
+    names = ["blank", "named_totals", "left_pair", "right_pair", "missing"]
+    return wide.where(~F.col("is_total_row")).select("Region", *[
+        F.coalesce(f"c{i}", F.lit(0)).alias(n) for i, n in enumerate(names)], "total")
+
+
+@query("pivot_by_total", ids="TOP-10 (rows in order of their total)", sql=RECS_SQL + """
+SELECT "City", sum("Price")::DOUBLE AS total, sum("Price")::DOUBLE AS sort_value FROM recs GROUP BY "City"
+""")
+def pivot_by_total(spark, sf_dir):
+    """The CSV lines with the value that orders them; a city's total is read back from its line."""
+    from pyspark.sql import functions as F
+    lines = pv.pivot_csv_lines(_records(spark, sf_dir), ["City"], [], agg="sum", order_by_totals=True)
+    total = F.regexp_replace(F.regexp_extract("line", r'"([^"]*)"$', 1), ",", "").cast("double")
+    return lines.where("section = 1").select(
+        F.col("sort_key").alias("City"), total.alias("total"), "sort_value")
+
+
+@query("pivot_menu_rest", ids="AGG-14 (count_distinct, first, last)", sql=RECS_SQL + """
+SELECT "Region", count(DISTINCT "Price") AS kinds, min("Price")::DOUBLE AS first, max("Price")::DOUBLE AS last,
+       grouping("Region") = 1 AS is_total_row, true AS is_total_col
+FROM recs GROUP BY ROLLUP ("Region")
+""")
+def pivot_menu_rest(spark, sf_dir):
+    return pv.pivot_long(_records(spark, sf_dir), ["Region"], [], "Price",
+                         {"kinds": "count_distinct", "first": "first", "last": "last"})

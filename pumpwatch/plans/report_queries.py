@@ -16,7 +16,7 @@ from pumpwatch.plans.registry import query
 from pumpwatch.plans.snapshot_queries import DATASET, MAX_SNAPSHOTS, O_CTE
 from pumpwatch.session import work_dir
 from pumpwatch.sinks import writers
-from pumpwatch.sources.tables import read_table
+from pumpwatch.sources.tables import read_table, table_path
 
 
 # ------------------------------------------------------------- data quality
@@ -107,62 +107,70 @@ def dataset_profile(spark, sf_dir):
     return qa.dataset_profile(spark, tables)
 
 
-def _storage_tables(spark, sf_dir):
+def _storage_rows(spark, sf_dir):
+    """(label, own_rows, total_rows) of each table: one aggregate a table."""
     snaps = model.snapshots_o(spark, sf_dir)
-    prices = model.prices_o(spark, sf_dir)
-    counted = ct.with_price_counts(snaps, prices)
-    reg = model.datasets_o(spark, sf_dir)
-    own_snaps = counted.where(F.col("dataset") == DATASET)
-    own_ids = own_snaps.select(F.col("id").alias("snapshot_id"))
-    n = lambda df: df.select(F.count(F.lit(1))).scalar()
-    return [
-        ("Analysis", read_table(spark, sf_dir, "orders"), F.lit(1), n(reg)),
-        ("Snapshots", read_table(spark, sf_dir, "orders"), n(own_snaps), n(snaps)),
-        ("Stations", read_table(spark, sf_dir, "supplier"),
-         prices.join(own_ids, "snapshot_id", "left_semi")
-         .select(F.count_distinct("station_id")).scalar(),
-         n(model.stations_o(spark, sf_dir))),
-        ("Prices", read_table(spark, sf_dir, "lineitem"),
-         own_snaps.select(F.coalesce(F.sum("price_count"), F.lit(0))).scalar(),
-         counted.select(F.coalesce(F.sum("price_count"), F.lit(0))).scalar()),
-    ]
-
-
-@query("storage_rows", ids="AGG-15 (own / total rows per table, ratio)", sql=O_CTE + """
-, base0 AS (SELECT * FROM snaps WHERE dataset = '1-URGENT')
-SELECT 'Analysis' AS label, 1 AS own_rows,
-       (SELECT count(DISTINCT o_orderpriority) FROM orders) AS total_rows,
-       1.0 / (SELECT count(DISTINCT o_orderpriority) FROM orders) AS ratio
-UNION ALL SELECT 'Snapshots', (SELECT count(*) FROM base0), (SELECT count(*) FROM snaps),
-       (SELECT count(*) FROM base0) / (SELECT count(*) FROM snaps)
-UNION ALL SELECT 'Stations',
-       (SELECT count(DISTINCT station_id) FROM px WHERE snapshot_id IN (SELECT id FROM base0)),
-       (SELECT count(*) FROM st),
-       (SELECT count(DISTINCT station_id) FROM px WHERE snapshot_id IN (SELECT id FROM base0))
-         / (SELECT count(*) FROM st)
-UNION ALL SELECT 'Prices',
-       (SELECT count(*) FROM px WHERE snapshot_id IN (SELECT id FROM base0)),
-       (SELECT count(*) FROM px),
-       (SELECT count(*) FROM px WHERE snapshot_id IN (SELECT id FROM base0))
-         / (SELECT count(*) FROM px)
+    counted = ct.with_price_counts(snaps, model.prices_o(spark, sf_dir))
+    own = F.col("dataset") == DATASET
+    one = lambda df, label, mine, total: df.agg(
+        F.coalesce(F.sum(mine), F.lit(0)).cast("long").alias("own_rows"),
+        F.coalesce(F.sum(total), F.lit(0)).cast("long").alias("total_rows")).select(F.lit(label).alias("label"), "own_rows", "total_rows")
+    row = lambda cond: F.when(cond, 1).otherwise(0)
+    both = counted.agg(F.count_if(own).alias("s_own"), F.count(F.lit(1)).alias("s_all"),
+                       F.sum(F.when(own, F.col("price_count"))).alias("p_own"), F.sum("price_count").alias("p_all"))
+    facts = both.selectExpr("stack(2, 'Snapshots', s_own, s_all, 'Prices', coalesce(p_own, 0L), coalesce(p_all, 0L)) "
+                            "AS (label, own_rows, total_rows)")
+    return (one(model.datasets_o(spark, sf_dir), "Analysis", row(F.col("name") == DATASET), F.lit(1))
+            .unionByName(one(model.owned_stations_o(spark, sf_dir), "Stations", row(own), F.lit(1)))
+            .unionByName(facts))
+
+
+_ROWS_SQL = O_CTE + """
+, counted AS (
+  SELECT 'Analysis' AS label, count(DISTINCT dataset) FILTER (dataset = '1-URGENT') AS own_rows,
+         count(DISTINCT dataset) AS total_rows FROM snaps
+  UNION ALL SELECT 'Snapshots', count(*) FILTER (dataset = '1-URGENT'), count(*) FROM snaps
+  UNION ALL SELECT 'Stations', count(*) FILTER (s_nationkey % 5 = 0), count(*) FROM supplier
+  UNION ALL SELECT 'Prices', count(*) FILTER (dataset = '1-URGENT'), count(*) FROM px JOIN snaps ON id = snapshot_id)
+"""
+
+
+@query("storage_rows", ids="AGG-15 (own / total rows per table, ratio)", sql=_ROWS_SQL + """
+SELECT label, own_rows, total_rows, own_rows / total_rows AS ratio FROM counted
 """)
 def storage_rows(spark, sf_dir):
-    parts = []
-    for label, _, own, total in _storage_tables(spark, sf_dir):
-        parts.append(spark.range(1).select(
-            F.lit(label).alias("label"), own.cast("long").alias("own_rows"),
-            total.cast("long").alias("total_rows"),
-            F.when(total > 0, own.cast("double") / total.cast("double"))
-            .otherwise(F.lit(0.0)).alias("ratio")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    total = F.col("total_rows")
+    return _storage_rows(spark, sf_dir).withColumn("ratio", F.when(
+        total > 0, F.col("own_rows").cast("double") / total).otherwise(F.lit(0.0)))
+
+
+@query("storage_estimate", ids="OP-10 AGG-15 (bytes × ratio, truncated parts and their total; bytes from a table column)",
+       sql=_ROWS_SQL + """
+, sized AS (
+  SELECT label, own_rows, total_rows,
+         CASE label WHEN 'Prices' THEN (SELECT sum(l_partkey) FROM lineitem) WHEN 'Snapshots' THEN (SELECT sum(o_custkey) FROM orders)
+                    ELSE (SELECT sum(s_suppkey) FROM supplier) END::BIGINT AS table_bytes
+  FROM counted),
+parts AS (SELECT *, trunc(table_bytes::DOUBLE * (own_rows::DOUBLE / total_rows))::BIGINT AS estimated_bytes FROM sized)
+SELECT * FROM parts
+UNION ALL SELECT 'Total', NULL, NULL, sum(table_bytes)::BIGINT, sum(estimated_bytes)::BIGINT FROM parts
+""")
+def storage_estimate(spark, sf_dir):
+    size = lambda table, col: read_table(spark, sf_dir, table).select(F.sum(col)).scalar()
+    label = F.col("label")
+    return qa.attribute(_storage_rows(spark, sf_dir).withColumn("table_bytes", F.when(
+        label == "Prices", size("lineitem", "l_partkey")).when(label == "Snapshots", size("orders", "o_custkey"))
+        .otherwise(size("supplier", "s_suppkey"))))
 
 
 @query("storage_attribution", ids="OP-10 AGG-15 SRC-08 (rows-only: file bytes)")
 def storage_attribution(spark, sf_dir):
-    return qa.storage_attribution(spark, _storage_tables(spark, sf_dir))
+    label = F.col("label")
+    bytes_of = {"Analysis": "orders", "Snapshots": "orders", "Stations": "supplier", "Prices": "lineitem"}
+    size = F.lit(0)
+    for name, table in bytes_of.items():
+        size = F.when(label == name, qa.stored_bytes(spark, table_path(sf_dir, table))).otherwise(size)
+    return qa.attribute(_storage_rows(spark, sf_dir).withColumn("table_bytes", size))
 
 
 # ------------------------------------------------------------- sinks, read back

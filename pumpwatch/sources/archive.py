@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pumpwatch.session import ensure_checkpoint_dir
 from pumpwatch.sources.tables import spread
 
 # fixed values: the only archive version understood
@@ -60,6 +61,12 @@ def check_version(version) -> None:
         raise ArchiveVersionError(f"unsupported archive version {version}")
 
 
+def check_versions(manifest: DataFrame) -> None:
+    """Refuse an archive any of whose manifest rows has another version."""
+    bad = manifest.where(F.col("version") != ARCHIVE_VERSION).select(F.max("version")).first()[0]
+    check_version(bad)
+
+
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(f"{root}/manifest")
 
@@ -70,14 +77,15 @@ def read_section(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def read_document_sections(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Single-document archive: version, analysis and dimension sections."""
-    head = spark.read.schema(DOCUMENT_HEAD).option("multiLine", True).json(path)
-    return {
-        "manifest": head.select("version", "analysis"),
-        "fuels": head.select(F.inline("fuels")),
-        "stations": head.select(F.inline("stations")),
-        "snapshots": head.select(F.inline("snapshots")),
-    }
+    """Single-document archive: version, analysis and dimension sections, read in one pass.
+
+    Null entries of a section are skipped. What is kept of that pass (no prices) is written to the shared folder once.
+    """
+    ensure_checkpoint_dir(spark)
+    head = spark.read.schema(DOCUMENT_HEAD).option("multiLine", True).json(path).checkpoint(eager=True)
+    entries = lambda name: head.select(F.inline(F.filter(name, lambda x: x.isNotNull())))
+    return {"manifest": head.select("version", "analysis")} | {
+        name: entries(name) for name in ("fuels", "stations", "snapshots")}
 
 
 def read_price_fragments(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +95,7 @@ def read_price_fragments(spark: SparkSession, path: str) -> DataFrame:
     object's '{' and parses it with the price schema. Works on a single
     document and on JSON-lines parts alike. A gzip document is one task; it
     only decompresses and splits — the kept fragments are spread over the
-    task slots before the JSON parse (a no-op on an already split scan).
+    shuffle partitions before the JSON parse.
     """
     frags = spark.read.option("lineSep", "}").text(path)
     obj = F.concat(F.regexp_extract(F.col("value"), r"(\{[^{]*)$", 1), F.lit("}"))

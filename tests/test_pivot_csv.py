@@ -18,6 +18,7 @@ def lines_of(spark, rows, rows_attrs, col_attrs):
     return [r.line for r in ordered.collect()]
 
 
+# fixed values: records and expected lines of T1, T2 and T4
 def test_t1_single_column_axis(spark):
     recs = []
     for snap in ("2026-04-11 02:20", "2026-04-11 02:31"):
@@ -77,3 +78,19 @@ def test_write_crlf_file(spark, tmp_path):
     raw = part.read_bytes()
     assert raw.startswith("\ufeff".encode())
     assert b"\r\n" in raw and out
+
+
+def test_equal_labels_blanks_and_totals_are_columns_of_their_own(spark):
+    recs = [("s", "c", "x - y", "z", Decimal("1.00"), "t"), ("s", "c", "x", "y - z", Decimal("2.00"), "t"),
+            ("s", "c", None, "z", Decimal("3.00"), "t"), ("s", "c", "", "z", Decimal("4.00"), "t"),
+            ("s", "c", "Totals", "z", Decimal("5.00"), "t")]
+    lines = lines_of(spark, recs, ["City"], ["Region", "Fuel"])
+    assert lines[0] == '\ufeff"City","- z","Totals - z","x - y - z","x - y - z","- z","Totals"'
+    assert lines[1] == '"c","4.00","5.00","2.00","1.00","3.00","3.00"'
+
+
+def test_rows_in_order_of_their_totals(spark):
+    recs = [("s", c, "r", "A", Decimal(p), "t") for c, p in (("a", "1.00"), ("b", "3.00"), ("c", "2.00"))]
+    out = pv.pivot_csv_lines(spark.createDataFrame(recs, SCHEMA), ["City"], ["Fuel"], order_by_totals=True)
+    ordered = out.where("section = 1").orderBy(F.col("sort_value").desc_nulls_last(), "sort_key")
+    assert [r.sort_key for r in ordered.collect()] == ["b", "c", "a"]

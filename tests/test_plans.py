@@ -13,7 +13,8 @@ import pytest
 
 from conftest import SF_SMALL
 
-STREAMING = {"stream_snapshot_ingest", "stream_error_isolation"}
+STREAMING = {"stream_snapshot_ingest", "stream_error_isolation", "stream_documents",
+             "stream_sequence_errors"}
 # nodes that neither bound nor grow the rows a single-task window sees
 PASS_THROUGH = {"Sort", "Project", "Filter", "Exchange", "Window", "WholeStageCodegen",
                 "InputAdapter", "AQEShuffleRead", "ShuffleQueryStage", "WindowGroupLimit"}
@@ -72,11 +73,11 @@ def _is_bounded(node) -> bool:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    import __spark_entry__ as se
+    from pumpwatch.plans.registry import load_all
     out = {}
-    for name, fn in se.queries().items():
+    for name, entry in load_all().items():
         if name not in STREAMING:
-            out[name] = _plan(fn(spark, SF_SMALL))
+            out[name] = _plan(entry.build(spark, SF_SMALL))
     return out
 
 
@@ -107,6 +108,20 @@ def _scan_of(plan, table):
     return scans
 
 
+@pytest.mark.parametrize("name", ["latest_prices", "changed_since_previous", "vanished_since_previous",
+                                  "snapshot_changes"])
+def test_newest_snapshots_are_read_by_a_pushed_time_filter(plans, name):
+    for scan in _scan_of(plans[name], "events"):
+        pushed = scan.toString().split("PushedFilters: [")[1].split("ReadSchema")[0]
+        assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed, pushed
+
+
+def test_price_moves_join_parts_of_a_key(plans):
+    """The facts meet the moves' origins by (station, fuel, part), not by the key alone."""
+    keys = [n.toString() for n in _all_nodes(plans["price_variations"]) if "Join" in n.nodeName()]
+    assert any("_part" in k for k in keys), keys
+
+
 def test_point_lookups_push_filters_and_prune_columns(plans):
     (scan,) = _scan_of(plans["prices_of_snapshot"], "lineitem")
     meta = scan.metadata()

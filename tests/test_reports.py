@@ -49,9 +49,11 @@ def test_active_dataset_first_by_id_or_empty(spark):
 
 def test_home_kpis_active_and_zeros(spark):
     counted = ct.with_price_counts(_snaps(spark), _prices(spark))
-    k = ct.home_kpis(_registry(spark), counted, _prices(spark)).collect()[0]
+    # station 12 of dataset a has no price and still counts
+    stations = spark.createDataFrame([(10, "a"), (11, "b"), (12, "a")], "id long, dataset string")
+    k = ct.home_kpis(_registry(spark), counted, stations).collect()[0]
     assert (k.station_count, k.snapshot_count, k.price_count) == (2, 2, 2)
-    none = ct.home_kpis(_registry(spark, False, False), counted, _prices(spark)).collect()[0]
+    none = ct.home_kpis(_registry(spark, False, False), counted, stations).collect()[0]
     assert (none.station_count, none.snapshot_count, none.price_count) == (0, 0, 0)
 
 
@@ -89,19 +91,15 @@ def test_missing_timestamps_count_and_three_samples(spark):
 
 def test_storage_attribution_truncates_and_zero_ratio(spark, tmp_path):
     spark.range(100).write.parquet(str(tmp_path / "full"))
-    spark.range(0).write.parquet(str(tmp_path / "empty"))
-    full = spark.read.parquet(str(tmp_path / "full"))
-    empty = spark.read.parquet(str(tmp_path / "empty"))
-    own_full = full.where(F.col("id") < 33).select(F.count(F.lit(1))).scalar()
-    tot_full = full.select(F.count(F.lit(1))).scalar()
-    zero = empty.select(F.count(F.lit(1))).scalar()
-    out = {r.label: r for r in qu.storage_attribution(
-        spark, [("full", full, own_full, tot_full), ("empty", empty, zero, zero)]).collect()}
+    size = sum(p.stat().st_size for p in (tmp_path / "full").glob("*.parquet"))
+    tables = spark.range(1).select(F.lit("full").alias("label"), F.lit(33).alias("own_rows"), F.lit(100).alias("total_rows"),
+                                   qu.stored_bytes(spark, str(tmp_path / "full")).alias("table_bytes")).unionAll(
+        spark.createDataFrame([("empty", 0, 0, 50)], "label string, own_rows int, total_rows int, table_bytes long"))
+    out = {r.label: r for r in qu.attribute(tables).collect()}
     f = out["full"]
-    assert (f.own_rows, f.total_rows) == (33, 100)
-    assert f.estimated_bytes == (f.table_bytes * 33) // 100
+    assert f.table_bytes == size and f.estimated_bytes == size * 33 // 100
     assert out["empty"].estimated_bytes == 0
-    assert out["Total"].estimated_bytes == f.estimated_bytes + out["empty"].estimated_bytes
+    assert (out["Total"].table_bytes, out["Total"].estimated_bytes) == (size + 50, f.estimated_bytes)
 
 
 def test_station_upsert_by_id_last_wins_created_at_kept(spark):
