@@ -110,7 +110,7 @@ class Automaton:
         states: the states above are those of the right parts of ``last``.
         """
         since, left, right, dropped = self.since, self.left, self.right, self.dropped
-        until = len(self.parent)
+        until = 1 << 60
         while True:
             u, before = last, until + 1
             while True:
