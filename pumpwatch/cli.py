@@ -1,4 +1,4 @@
-"""Command-line reports over a price history (the inspector's commands).
+"""Command-line reports over a price history.
 
     python -m pumpwatch --sf-dir /root/testdata/sf0.01 summary
     python -m pumpwatch --prices P --stations S latest --limit 20

@@ -38,13 +38,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def get_session(master: str | None = None, app: str = "pumpwatch",
-                shuffle_partitions: int | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, shared: str | None = None) -> SparkSession:
+    """A session with the library's settings; ``shared``: the folder that all machines share."""
     builder = (SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                # checkpoint files are deleted once nothing references them
                .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if master:
         builder = builder.master(master)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in SESSION_CONF.items():

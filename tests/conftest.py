@@ -10,8 +10,9 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pumpwatch.session import get_session
-    s = get_session("local[*]", shuffle_partitions=8)
+    s = get_session("local[*]", shuffle_partitions=8,
+                    shared=f"file://{tmp_path_factory.mktemp('shared')}")
     yield s
     s.stop()
