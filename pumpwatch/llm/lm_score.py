@@ -22,18 +22,19 @@ over blocks of a bounded size, and each block builds the part of the automaton
 that its own texts can reach. Blocks send a row for each of their words; words
 of several blocks come back with their counts over all. Pairs of words are
 counted the same way, but only those whose words are both in several blocks:
-others can't be anywhere else. Rows are aggregated within a block before they
-are shuffled, so a word or pair in every text gives one row a block.
+others can't be anywhere else. Counts are aggregated within a block before they
+are shuffled, so a word or pair in every text is sent once a block. What a block
+sends is sorted by hash and packed, a row for each range of hashes; the number
+of ranges follows the number of blocks, so ranges don't grow with the corpus.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ from pumpwatch.llm.common import crc_mod, in_blocks, unpacked
 
 BACKOFF = 0.5
 BLOCK_BYTES = 24 << 20
+#: Ranges of hashes that counts meet in, at least; with more blocks as many as these.
+PARTS = 256
 #: The end of a text is counted as a token; no word is empty.
 END = b""
 
@@ -81,58 +84,88 @@ class Block:
     def given(self, back: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the words over all blocks, and whether a word is in several."""
         counts, shared = self.counts(), np.zeros(len(self.words), bool)
+        key, n = unpack(back)
         order = np.argsort(self.words)
-        at = order[np.searchsorted(self.words, back["key"].to_numpy(np.int64), sorter=order)]
-        counts[at], shared[at] = back["n"], True
+        at = order[np.searchsorted(self.words, key, sorter=order)]
+        counts[at], shared[at] = n, True
         return counts, shared
 
 
-COUNTED = "key long, block long, n long"
+def _pack(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending unsigned keys and their counts: differences byte by byte, then compressed."""
+    columns = [np.diff(key, prepend=np.uint64(0)).astype("<u8"), n.astype("<u8")]
+    return zstandard.ZstdCompressor(level=1).compress(
+        b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns))
+
+
+def unpack(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (signed) and counts of all ``rows`` (size, packed), in order."""
+    z, keys, counts = zstandard.ZstdDecompressor(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size, packed in zip(rows["size"], rows["packed"]):
+        raw = np.frombuffer(z.decompress(packed), np.uint8).reshape(2, 8, int(size))
+        difference, n = (np.ascontiguousarray(x.T).view("<u8")[:, 0] for x in raw)
+        keys.append(np.cumsum(difference, dtype=np.uint64).view(np.int64))
+        counts.append(n.astype(np.int64))
+    return np.concatenate(keys), np.concatenate(counts)
+
 
+COUNTED = "part long, block long, size long, packed binary"
+TOTAL = "block long, size long, packed binary, distinct long, tokens long"
 
-def _word_rows(docs: pd.DataFrame) -> pd.DataFrame:
-    b = Block(docs)
-    return pd.DataFrame({"key": b.words, "block": docs["block"].iloc[0], "n": b.counts()})
 
+def _rows(key: np.ndarray, n: np.ndarray, block: int, parts: int) -> pd.DataFrame:
+    """A row for each range of hashes that a block has keys in."""
+    key = key.view(np.uint64)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    stop = np.append(first[1:], len(key))
+    return pd.DataFrame({"part": part[first], "block": block, "size": stop - first,
+                         "packed": [_pack(key[a:b], n[a:b]) for a, b in zip(first, stop)]})
 
-def _pair_rows(docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-    if not len(docs) or not len(back):
-        return pd.DataFrame({"key": [], "block": [], "n": []}, dtype=np.int64)
-    b = Block(docs)
-    _, shared = b.given(back)
-    pair, n, _ = b.pairs()
-    keep = shared[pair // len(shared)] & shared[pair % len(shared)]
-    return pd.DataFrame({"key": b.pair_hash(pair[keep]), "block": docs["block"].iloc[0], "n": n[keep]})
+
+def _word_rows(parts: int):
+    def each(docs: pd.DataFrame) -> pd.DataFrame:
+        b = Block(docs)
+        return _rows(b.words, b.counts(), int(docs["block"].iloc[0]), parts)
+    return each
+
+
+def _pair_rows(parts: int):
+    def each(docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        if not len(docs) or not len(back):
+            return _rows(np.zeros(0, np.int64), np.zeros(0, np.int64), 0, parts)
+        b = Block(docs)
+        _, shared = b.given(back)
+        pair, n, _ = b.pairs()
+        keep = shared[pair // len(shared)] & shared[pair % len(shared)]
+        return _rows(b.pair_hash(pair[keep]), n[keep], int(docs["block"].iloc[0]), parts)
+    return each
 
 
-def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key: the keys of several blocks, with their totals, to each of these blocks.
+def _totals(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one range: the keys of several blocks, with their totals, to each of these blocks.
 
-    A row without a block has the distinct keys (as ``key``) and the total of ``n``
-    of what was read; keys with a total of 0 don't count.
+    A row without a block has how many keys have a total over 0, and the sum of all.
     """
-    def done(rows: pd.DataFrame) -> pd.DataFrame:
-        key, n = rows["key"].to_numpy(), rows["n"].to_numpy()
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(first, len(key)))
-        total = np.add.reduceat(n, first)
-        several = np.repeat(size > 1, size)
-        block = pd.Series(np.append(rows["block"].to_numpy()[several], 0)).astype("Int64")
-        block.iloc[-1] = pd.NA
-        return pd.DataFrame({"key": np.append(key[several], (total > 0).sum()), "block": block,
-                             "n": np.append(np.repeat(total, size)[several], total.sum())})
-    held: list[pd.DataFrame] = []
-    for b in batches:
-        held.append(b)
-        if sum(map(len, held)) < 200_000:
-            continue
-        rows = pd.concat(held, ignore_index=True)
-        cut = int(np.searchsorted(rows["key"].to_numpy(), rows["key"].iloc[-1]))
-        if cut:
-            yield done(rows.iloc[:cut])
-        held = [rows.iloc[cut:]]
-    if held:
-        yield done(pd.concat(held, ignore_index=True))
+    key, n = unpack(rows)
+    order = np.argsort(key, kind="stable")
+    key, n, owner = key[order], n[order], np.repeat(np.arange(len(rows)), rows["size"])[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(first, len(key)))
+    total = np.add.reduceat(n, first)
+    several = np.flatnonzero(np.repeat(size > 1, size))
+    several = several[np.argsort(owner[several], kind="stable")]
+    key, sums, owner = key[several].view(np.uint64), np.repeat(total, size)[several], owner[several]
+    out = []
+    for i in np.unique(owner).tolist():
+        a, b = np.searchsorted(owner, [i, i + 1])
+        by = np.argsort(key[a:b])
+        out.append((rows["block"].iloc[i], b - a, _pack(key[a:b][by], sums[a:b][by]), None, None))
+    out.append((None, None, None, int((total > 0).sum()), int(total.sum())))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in TOTAL.split(", ")]).astype(
+        dict.fromkeys(("block", "size", "distinct", "tokens"), "Int64"))
 
 
 class Automaton:
@@ -172,13 +205,13 @@ def _scores(backoff: float):
             return pd.DataFrame(columns=[c.split()[0] for c in SCORED.split(", ")])
         b = Block(docs)
         totals = back[back["kind"] == 2].iloc[0]
-        distinct, tokens = int(totals["key"]), int(totals["n"])
+        distinct, tokens = int(totals["distinct"]), int(totals["tokens"])
         counts, _ = b.given(back[back["kind"] == 0])
         pair, n, _ = b.pairs()
         hashes = b.pair_hash(pair)
         order = np.argsort(hashes)
-        many = back[back["kind"] == 1]
-        n[order[np.searchsorted(hashes, many["key"].to_numpy(np.int64), sorter=order)]] = many["n"]
+        key, many = unpack(back[back["kind"] == 1])
+        n[order[np.searchsorted(hashes, key, sorter=order)]] = many
         logs = Automaton(counts, pair, n, tokens, distinct, backoff).read(b.ids, b.place)
         first = np.cumsum(b.size) - b.size
         known = counts[b.ids]
@@ -205,14 +238,17 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, backoff: flo
     spark = docs.sparkSession
     dealt, blocks = in_blocks(docs, BLOCK_BYTES, (crc_mod("doc_id", folds) == held).alias("held_out"))
     by_block = dealt.groupBy("block")
-    words = by_block.applyInPandas(_word_rows, COUNTED)
-    word_totals = words.repartition("key").sortWithinPartitions("key").mapInPandas(_totals, COUNTED)
-    shared = word_totals.where("block IS NOT NULL")
-    pairs = by_block.cogroup(shared.groupBy("block")).applyInPandas(_pair_rows, COUNTED)
-    pair_totals = pairs.repartition("key").sortWithinPartitions("key").mapInPandas(_totals, COUNTED)
-    every = word_totals.where("block IS NULL").agg(F.struct(F.sum("key").alias("key"), F.sum("n").alias("n"))).scalar()
-    told = spark.range(blocks).select(F.col("id").alias("block"), F.lit(2).alias("kind"), every.alias("t"))
-    back = (shared.select("block", F.lit(0).alias("kind"), "key", "n")
-            .unionAll(pair_totals.where("block IS NOT NULL").select("block", F.lit(1).alias("kind"), "key", "n"))
-            .unionAll(told.select("block", "kind", "t.key", "t.n")))
+    parts = max(PARTS, blocks)
+    word_totals = by_block.applyInPandas(_word_rows(parts), COUNTED).groupBy("part").applyInPandas(_totals, TOTAL)
+    shared = word_totals.where("block IS NOT NULL").select("block", "size", "packed")
+    pairs = by_block.cogroup(shared.groupBy("block")).applyInPandas(_pair_rows(parts), COUNTED)
+    pair_totals = pairs.groupBy("part").applyInPandas(_totals, TOTAL).where("block IS NOT NULL")
+    every = word_totals.where("block IS NULL").agg(F.struct(
+        F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))).scalar()
+    nothing = [F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("packed")]
+    told = spark.range(blocks).select(F.col("id").alias("block"), F.lit(2).alias("kind"), *nothing, every.alias("t"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("distinct", "tokens")]
+    back = (shared.select("block", F.lit(0).alias("kind"), "size", "packed", *none)
+            .unionAll(pair_totals.select("block", F.lit(1).alias("kind"), "size", "packed", *none))
+            .unionAll(told.select("block", "kind", "size", "packed", "t.distinct", "t.tokens")))
     return by_block.cogroup(back.groupBy("block")).applyInPandas(_scores(backoff), SCORED)
