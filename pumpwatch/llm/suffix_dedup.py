@@ -24,7 +24,7 @@ them spread over blocks of documents of a bounded size:
 4. The covered runs come back to the documents' blocks, where they are joined
    and cut out.
 
-The documents are shuffled once, by block; Spark reuses that exchange.
+The documents are shuffled once, packed, by block; Spark reuses that exchange.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pumpwatch.llm.common import text_bytes
+from pumpwatch.llm.common import in_blocks, unpacked
 
 LENGTH = 100
 ANCHOR = 32
@@ -134,7 +134,7 @@ class Block:
     def __init__(self, docs: pd.DataFrame) -> None:
         docs = docs.drop_duplicates(["order", "copy"]).sort_values(["order", "copy"])
         self.order, self.copy = docs["order"].to_numpy(), docs["copy"].to_numpy()
-        self.bodies = list(docs["body"])
+        self.bodies = unpacked(docs["body"])
 
 
 def _anchor_rows(length: int):
@@ -396,7 +396,8 @@ KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 def _kept(docs: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
     by = {k: list(zip(x["begin"].tolist(), x["end"].tolist())) for k, x in runs.groupby(["order", "copy"])}
     rows = []
-    for doc_id, order, copy, body in zip(docs["doc_id"], docs["order"], docs["copy"], docs["body"]):
+    for doc_id, order, copy, packed in zip(docs["doc_id"], docs["order"], docs["copy"], docs["body"]):
+        body = unpacked([packed])[0]
         gone = _merged([(0, s, e) for s, e in by.get((order, copy), ())])
         at, kept = 0, []
         for _, s, e in gone:
@@ -419,13 +420,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     one doc_id have the same rank, the earlier start counts. An empty table
     gives no rows.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = total // BLOCK_BYTES + 1
     doc_id = F.col("doc_id").cast("long")
-    dealt = docs.select(
-        doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-1 << 63)).alias("order"),
-        F.xxhash64("text").alias("copy"), text_bytes().alias("body"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
+    dealt, _ = in_blocks(docs, BLOCK_BYTES, F.coalesce(doc_id, F.lit(-1 << 63)).alias("order"),
+                         F.xxhash64("text").alias("copy"))
     by_block = dealt.groupBy("block")
     rows = by_block.applyInPandas(_anchor_rows(length), "hash long, block long, n long")
     repeated = rows.repartition("hash").sortWithinPartitions("hash").mapInPandas(
