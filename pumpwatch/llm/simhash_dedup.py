@@ -203,6 +203,13 @@ def close_edges(fps: DataFrame, radius: int = 3, blocks: int = BLOCKS,
     return edges
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """Distinct fingerprints ``fp`` (with other columns) and the ``root`` fingerprint of each one's group."""
+    star = connected_components(close_edges(prints.select("fp"), radius))
+    return prints.join(star.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp"))
+
+
 def components(fps: DataFrame, radius: int = 3) -> DataFrame:
     """(doc_id, fp) to (doc_id, fp, component_id): the smallest doc_id reachable over
     links of at most ``radius`` bits, the document itself included.
@@ -212,9 +219,7 @@ def components(fps: DataFrame, radius: int = 3) -> DataFrame:
     """
     fps = checkpoint(fps)
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    star = connected_components(close_edges(least.select("fp"), radius))
-    rooted = least.join(star.withColumnRenamed("vertex", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(least, radius)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(named, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
@@ -233,12 +238,23 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Da
 def near_duplicates_removed(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one document of each group stays.
 
-    The document with the smallest id of its group stays, with all its columns;
-    of repeated rows with that id one stays. Rows without an id stay if their
-    group has no row with one, one of them.
+    Of each group stays the document with the smallest id, with all its columns;
+    rows without an id come after all ids, and of unlike texts under one id that
+    with the least hash stays. Of repeated rows (equal id and text) one stays.
     """
-    found = simhash_components(docs, shingle, radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    key = [F.col("doc_id").cast("long"), F.md5(text_bytes())]
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fps = np.fromiter((fingerprint(t, shingle) for t in b["body"]), np.uint64, len(b))
+            yield pd.DataFrame({"id": b["id"], "hash": b["hash"], "fp": fps.view(np.int64)})
+    # ids go through pandas as text: a null among them would turn them into floats
+    prints = docs.select(key[0].cast("string").alias("id"), key[1].alias("hash"), text_bytes().alias("body")) \
+        .mapInPandas(each, "id string, hash string, fp long").withColumn("id", F.col("id").cast("long"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first")
+    prints = checkpoint(prints.groupBy("fp").agg(first))
+    kept = _rooted(prints, radius).groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.id").alias("_kept_id"), F.col("first.hash").alias("_kept_hash"))
+    rows = docs.withColumns({"_row_id": key[0], "_row_hash": key[1]})
+    stay = rows.join(kept, F.col("_row_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_hash") == F.col("_kept_hash")),
+                     "left_semi")
+    return stay.dropDuplicates(["_row_id", "_row_hash"]).drop("_row_id", "_row_hash")

@@ -80,3 +80,14 @@ def test_documents_odd_and_empty(spark, odd, empty):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(map(str, ids)) == sorted(map(str, {by[i][1] for i in by}))
     assert sh.simhash_components(empty).count() == 0 and sh.near_duplicates_removed(empty).count() == 0
+
+
+def test_survivors_without_ids_and_unlike_texts_under_one_id(spark):
+    r = random.Random(5)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    far = 2**60 + 1
+    rows = [(None, a), (None, a), (None, b), (None, c), (far, c), (None, d), (5, e), (5, f), (6, f), (5, f), (None, f)]
+    got = sh.near_duplicates_removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [(None, a), (None, b), (far, c), (None, d), (5, e), (5, f)], key=str)
