@@ -8,7 +8,8 @@ differ in at most ``RADIUS // BLOCKS`` bits of some block, so each block's table
 holds an item under all values that near, and no fingerprint within the radius
 is missed. Candidates are verified exactly: the weighted Jaccard similarity of
 the shingles (sum of the smaller counts over sum of the larger) must be
-``SIMILARITY`` or more.
+``SIMILARITY`` or more. A text of fewer words than an item is one window for
+it, where it has enough words for that similarity.
 
 Windows are only fingerprinted where they can pass: a similarity over 0 needs a
 shared shingle, so windows that hold no shingle of any item are skipped, which
@@ -148,32 +149,33 @@ class Index:
         order = np.argsort(near.ravel(), kind="stable")
         return item[order], np.searchsorted(near.ravel()[order], np.arange((1 << width) + 1))
 
-    def candidates(self, prints: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs of as many words each and within the radius."""
+    def candidates(self, prints: np.ndarray, words: np.ndarray, longer: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs within the radius, of as many words each or with ``longer`` items."""
         found = []
         for (shift, width), (items, first) in zip(self.cuts, self.tables):
             value = ((prints >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
             n = first[value + 1] - first[value]
             window = np.repeat(np.arange(len(prints)), n)
             item = items[np.arange(n.sum()) + np.repeat(first[value] - (np.cumsum(n) - n), n)]
-            same = np.flatnonzero(self.length[item] == words[window])
-            window, item = window[same], item[same]
+            length = self.length[item]
+            fits = np.flatnonzero(length > words[window] if longer else length == words[window])
+            window, item = window[fits], item[fits]
             near = np.bitwise_count(prints[window] ^ self.prints[item]) <= self.radius
             found.append(window[near] * len(self.items) + item[near])
         pairs = np.unique(np.concatenate(found))
         return pairs // len(self.items), pairs % len(self.items)
 
     def _verify(self, w: Words, starts: np.ndarray, prints: np.ndarray, words: np.ndarray, size: int,
-                similarity: float, out: dict) -> None:
+                similarity: float, out: dict, longer: bool = False) -> None:
         """Search windows and add what passes the exact check to ``out``."""
         counted: dict[tuple[int, int], Counter] = {}
-        for k, i in zip(*(x.tolist() for x in self.candidates(prints, words))):
+        for k, i in zip(*(x.tolist() for x in self.candidates(prints, words, longer))):
             window = int(starts[k]), int(words[k])
             if window not in counted:
                 counted[window] = w.shingles(*window, size)
             item_id, _, _, want = self.items[i]
             both = (counted[window] & want).total()
-            like = both / (2 * (window[1] - size + 1) - both)
+            like = both / (window[1] - size + 1 + want.total() - both)
             if like >= similarity:
                 best, first, n = out.get(item_id, (0.0, 0, 0))
                 better = like > best or (like == best and window[0] < first)
@@ -209,6 +211,11 @@ class Index:
                 continue
             shared = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
             longest = lengths[-1] - size + 1
+            beyond = next((n for n in lengths if n > len(w)), None)     # the text is one window for longer items
+            if beyond and shared.any() and len(hashes) / (beyond - size + 1) >= similarity:
+                start = np.zeros(1, np.int64)
+                self._verify(w, start, window_fingerprints(bit_sums(hashes), start, len(hashes)),
+                             np.array([len(w)]), size, similarity, out, longer=True)
             for low in range(0, len(hashes), WINDOWS):   # windows that begin in this part
                 part = hashes[low:low + WINDOWS + longest]
                 before = np.concatenate([[0], np.cumsum(shared[low:low + WINDOWS + longest])])
@@ -248,9 +255,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
     Returns doc_id, item_id, the similarity of the best window, its first word,
     and how many windows passed. Null and empty texts or items have no window.
-    Items of fewer than five words are one shingle and must occur whole. Texts
-    shorter than an item aren't compared with it. Repeated rows give repeated
-    rows; empty tables give no rows.
+    Items of fewer than five words are one shingle and must occur whole. A text
+    of fewer words than an item is compared with it as a whole. Repeated rows
+    give repeated rows; empty tables give no rows.
     """
     def search(index) -> DataFrame:
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -88,3 +88,29 @@ def test_odd_and_empty(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
     assert dc.find_leaks(empty, items).count() == 0
     assert dc.find_leaks(odd, items.limit(0)).count() == 0 and dc.without_leaks(odd, items.limit(0)).count() == odd.count()
+
+
+def test_texts_shorter_than_an_item(spark):
+    """Items with words missing at either end are the whole text, held against the definition."""
+    r = random.Random(11)
+    items = [(i, " ".join("".join(r.choice("abcdef") for _ in range(3)) for _ in range(n)))
+             for i, n in enumerate([3, 8, 12, 30, 30, 45])]
+    docs = [(100 * i + 10 * a + z, " ".join(t.split()[a:len(t.split()) - z])) for i, t in items
+            for a in range(6) for z in range(10)]
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            w, whole = text.split(), item.split()
+            if not len(w) < len(whole):
+                continue
+            k = min(5, len(whole))
+            x, y = (Counter(tuple(v[j:j + k]) for j in range(len(v) - k + 1)) for v in (w, whole))
+            like = (x & y).total() / (x | y).total()
+            if like >= 0.8:
+                want[d, i] = (like, 0, 1)
+    got = found(spark, docs, items)
+    assert len(want) > 50 and {k: v for k, v in got.items() if k in want} == want
+    assert set(got) - set(want) == {(100 * i, i) for i, _ in items}
+    kept = dc.without_leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                            spark.createDataFrame(items, "item_id long, text string"))
+    assert {x.doc_id for x in kept.collect()} == {d for d, _ in docs} - {d for d, _ in got}
