@@ -17,10 +17,12 @@ has to be kept.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,10 @@ from pumpwatch.llm.common import text_bytes
 HEADER, RADIX = 4, 50_000
 #: Tokens of a block.
 BLOCK = 1 << 18
-#: Longer pieces of text are encoded apart, at white space where there is some.
+#: Characters of ``pieces``.
 PIECE = 1 << 16
+#: White space that long is too much for the encoder's own split, which keeps a step a character on its stack.
+BLANKS = re.compile(r"\s{65536}")
 _ENCODINGS: dict[str, object] = {}
 
 
@@ -45,7 +49,10 @@ def encoding(path: str, pattern: str):
 
 
 def pieces(text: str, size: int = PIECE) -> list[str]:
-    """The text cut into pieces of about ``size`` characters, before a space if one is near."""
+    """The text cut into pieces of about ``size`` characters, before a space if one is near.
+
+    A piece may end inside a match of the split pattern, so pieces aren't encoded apart.
+    """
     out, at = [], 0
     while len(text) - at > size:
         stop = text.rfind(" ", at + size // 2, at + size)
@@ -55,6 +62,13 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
     return [*out, text[at:]]
 
 
+def token_ids(text: str, enc, pattern: str) -> list[int]:
+    """The tokens of a whole text of any length: those of each match of ``pattern``."""
+    if not BLANKS.search(text):
+        return enc.encode_ordinary(text)
+    return [i for m in regex.finditer(pattern, text) for i in enc._encode_single_piece(m.group())]
+
+
 def header(doc_id: int | None) -> list[int]:
     """The id as HEADER digits in base RADIX, shifted so that a null is all zeros."""
     value = 0 if doc_id is None or pd.isna(doc_id) else int(doc_id) + (1 << 61) + 1
@@ -72,10 +86,8 @@ def write_token_files(docs: DataFrame, path: str, ranks: str, pattern: str, eod:
         for b in batches:
             out = []
             for doc_id, body in zip(b["doc_id"], b["body"]):
-                ids = [*header(doc_id)]
-                for part in pieces(body.decode("utf-8", "replace")):
-                    ids += enc.encode_ordinary(part)
-                out.append(np.array(ids, "<u2").tobytes())
+                ids = token_ids(body.decode("utf-8", "replace"), enc, pattern)
+                out.append(np.array([*header(doc_id), *ids], "<u2").tobytes())
             yield pd.DataFrame({"tokens": out})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")) \
         .mapInPandas(each, "tokens binary")

@@ -51,3 +51,21 @@ def test_headers_and_no_documents(spark, empty, tmp_path):
 def test_pieces():
     text = "ab " * 100 + "x" * 300
     assert "".join(tf.pieces(text, 50)) == text and max(map(len, tf.pieces(text, 50))) <= 50
+
+
+def test_long_texts_count_as_whole_texts(spark, tmp_path):
+    """No cut inside a word, a run of spaces or of newlines, however long the text."""
+    texts = ["hello\nworldly\n" * 20_000, "one\ttwo " * 20_000, "ab" + " " * 65_533 + "  cd" * 9, "\n\nx" * 40_000,
+             "日本語の文" * 20_000, "x" * 65_535 + "  y " * 9, "it's" * 20_000]
+    blank = ["a" + " " * 70_000 + "b\n\nc", "\n" * 1_200_000 + "z"]
+    enc = tf.encoding(RANKS, public.PATTERN)
+    docs = spark.createDataFrame(list(enumerate(texts + blank)), "doc_id long, text string")
+    tf.write_token_files(docs, str(tmp_path / "t"), RANKS, public.PATTERN, EOD)
+    got = tf.count_tokens(spark, str(tmp_path / "t"), EOD, lead=tf.HEADER)
+    rows = dict(got.select(tf.header_id("header"), "n_tokens").collect())
+    newlines = len(enc.encode_ordinary("\n" * 1000)) / 1000           # each newline of a run alike
+    want = [len(enc.encode_ordinary(t)) for t in texts + blank[:1]] + [round(1_199_999 * newlines) + 2]
+    assert [rows[i] for i in range(len(want))] == want
+    for t in texts + blank[:1]:
+        walked = [i for m in tf.regex.finditer(public.PATTERN, t) for i in enc._encode_single_piece(m.group())]
+        assert walked == enc.encode_ordinary(t)
