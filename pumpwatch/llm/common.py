@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Rows handed to a Python worker at a time: documents are a few KB each, with
 #: some of 100 KB and more, and two workers share an executor's memory.
 ARROW_ROWS = "1000"
+#: And so many bytes at most, but for a single row of more.
+ARROW_BYTES = "4m"
 
 #: Words are maximal runs of bytes other than ASCII white space.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -21,6 +23,7 @@ WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators rely on (idempotent)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pumpwatch.llm import (bpe_automaton, decontaminate, fingerprint, language_id, lm_score, pii, quotes,
-                           simhash_dedup, suffix_dedup, token_files)
+                           simhash_dedup, suffix_dedup, token_alignment, token_files)
 from pumpwatch.llm.common import read, work_dir
 
 
@@ -109,6 +109,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(token_files.header_id("header").alias("doc_id"), "n_tokens")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    found = token_alignment.align_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                            piece_vocabulary(), contents=False)
+    return found.drop("groups")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup,
     op2_decontamination,
@@ -120,6 +127,7 @@ QUERIES = {f.__name__: f for f in (
     op8_lm_scoring,
     op9_document_fingerprints,
     op10_token_counts,
+    op11_token_alignment,
 )}
 
 #: DuckDB SQL of the queries that SQL can express.
