@@ -89,6 +89,16 @@ def test_special_strings_are_plain_text():
     assert special not in got.a and len(got.a)
 
 
+def test_both_byte_level_encoders_agree():
+    import pandas as pd
+    a, _ = ta.sides(A, B)
+    assert a.fast
+    texts = [t or "" for t in pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text][:300]
+    texts += ["it's  we'LL \xa0\x85 x", "\r\n\n a1b22 ½²", "".join(map(chr, range(1, ta.PLAIN)))]
+    for t in texts:
+        assert a.fast.encode_ordinary(" " + t) == a.rules.encode(" " + t, add_special_tokens=False).ids
+
+
 def test_overlaps_expand_within_groups():
     import numpy as np
     left, right = ta.overlaps(np.array([2, 5, 6]), np.array([3, 5, 6]))
