@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwatch.llm import (bpe_automaton, decontaminate, fingerprint, language_id, lm_score, pii, quotes,
+from pumpwatch.llm import (bpe_automaton, conversation_trie, decontaminate, fingerprint, language_id, lm_score, pii, quotes,
                            simhash_dedup, suffix_dedup, token_alignment, token_files)
 from pumpwatch.llm.common import read, work_dir
 
@@ -116,6 +116,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("groups")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = conversation_trie.sequences(read(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(conversation_trie.with_shared_heads(own))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup,
     op2_decontamination,
@@ -128,6 +133,7 @@ QUERIES = {f.__name__: f for f in (
     op9_document_fingerprints,
     op10_token_counts,
     op11_token_alignment,
+    op12_conversation_trie,
 )}
 
 #: DuckDB SQL of the queries that SQL can express.
