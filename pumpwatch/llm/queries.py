@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwatch.llm import (bpe_automaton, conversation_trie, decontaminate, fingerprint, language_id, lm_score, pii, quotes,
-                           simhash_dedup, suffix_dedup, token_alignment, token_files)
+from pumpwatch.llm import (bpe_automaton, conversation_trie, decontaminate, fingerprint, language_id, lm_score, page_text, pii,
+                           quotes, simhash_dedup, suffix_dedup, token_alignment, token_files)
 from pumpwatch.llm.common import read, work_dir
 
 
@@ -121,6 +121,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(conversation_trie.with_shared_heads(own))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_text(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup,
     op2_decontamination,
@@ -134,6 +138,7 @@ QUERIES = {f.__name__: f for f in (
     op10_token_counts,
     op11_token_alignment,
     op12_conversation_trie,
+    op13_html_extraction,
 )}
 
 #: DuckDB SQL of the queries that SQL can express.
