@@ -9,8 +9,8 @@ the site's, not the page's.
 
 What the page's markup itself calls the article is only doubted with more
 evidence, as articles quote each other and are copied: there a line must be
-shared with most of the neighbours, and a neighbour that has over half of the
-article is a copy and isn't asked.
+shared with all neighbours, three at least, and a neighbour that has over half of
+the article is a copy and isn't asked.
 
 Lines are aligned by 64-bit hashes, so texts aren't moved to find neighbours.
 Pages are numbered in the order of (host, path) by a range sort, cut into blocks
@@ -295,8 +295,8 @@ class Page:
         """The positions of the lines that are the site's, by what other pages of it share.
 
         Without an article by markup half of the others must share a line, and others
-        that have all lines are copies and aren't asked; in an article two must and
-        more than half, and others that have over half of it are copies.
+        that have all lines are copies and aren't asked; in an article all must, three
+        at least, and others that have over half of it are copies.
         """
         shared, asked = Counter(), 0
         for o in others:
@@ -305,7 +305,7 @@ class Page:
                 continue
             asked += 1
             shared.update(same)
-        return sorted(i for i, n in shared.items() if (2 * n >= asked if self.doubtful else n > 1 and 2 * n > asked))
+        return sorted(i for i, n in shared.items() if (2 * n >= asked if self.doubtful else n == asked > 2))
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -79,6 +79,15 @@ def test_copied_articles_stay(spark):
     assert all(got[i, u].startswith(f"Title {i // 3}\nThe same long story of the group {i // 3}.") for i, u, _ in rows)
 
 
+def test_a_notice_in_every_article_goes_and_a_passage_in_some_stays(spark):
+    def article(i):
+        passage = "<p>A passage of half of them</p>" if i % 4 < 2 else ""
+        return f"<article><p>Title {i}</p>{passage}<p>A long story of its own, number {i}.</p><p>Tell your friends</p></article>"
+    got = extracted(spark, site(16, article))
+    want = lambda i: f"Title {i}\n" + ("A passage of half of them\n" if i % 4 < 2 else "") + f"A long story of its own, number {i}."
+    assert all(text == want(i) for (i, _), text in got.items() if 1 < i < 14)
+
+
 def test_pages_of_the_table(spark):
     rows = pt.extract_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
     html = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
