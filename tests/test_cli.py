@@ -1,6 +1,6 @@
 """The command-line reports run end to end on the smallest test tables."""
 
-from tests.conftest import SF_SMALL
+from paths import SF_SMALL
 
 from pumpwatch import cli
 

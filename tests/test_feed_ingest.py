@@ -131,7 +131,7 @@ def test_feed_files_gzip_and_plain_equal_in_memory_parse(spark):
     import glob
     import os
 
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     from pumpwatch.plans import feed_queries as fq
     from pumpwatch.session import ensure_checkpoint_dir
     files = fq.feed_files_parse(spark, SF_SMALL)

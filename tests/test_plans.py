@@ -11,7 +11,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 STREAMING = {"stream_snapshot_ingest", "stream_error_isolation", "stream_documents",
              "stream_sequence_errors"}
