@@ -67,13 +67,16 @@ def stations_e(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def obs_raw(spark: SparkSession, sf_dir: str, with_event_id: bool = False,
-            days: list | None = None) -> DataFrame:
+            days: list | None = None, since=None) -> DataFrame:
     """events → prices(station_id, fuel_type, fetched_at, price); has duplicates.
 
     ``days``: only snapshots from the first to the last of these days, as a
-    half-open interval on the raw time column, which prunes row groups.
+    half-open interval on the raw time column, which prunes row groups;
+    ``since``: only rows from this time on, in the same way.
     """
     ev = read_table(spark, sf_dir, "events")
+    if since is not None:
+        ev = ev.where(F.col("ts") >= F.lit(since.isoformat(sep=" ")).cast(ev.schema["ts"].dataType))
     if days is not None:
         if not days:
             ev = ev.where(F.lit(False))

@@ -9,10 +9,14 @@ explicit, bounded list of column labels.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pumpwatch.functions.scalars import csv_field
+from pumpwatch.operators.selection import medians
 from pumpwatch.session import ensure_checkpoint_dir
 
 TOTALS = "Totals"
@@ -21,15 +25,13 @@ BOM = "\ufeff"
 
 
 def aggregator(name: str, value: str) -> Column:
-    """AGG-14: the aggregators offered by the pivot menu."""
+    """AGG-14: the aggregators offered by the pivot menu, but for the exact median (``pivot_long``)."""
     v = F.col(f"`{value}`")
     table = {
         "count": F.count(F.lit(1)),
         "count_distinct": F.count_distinct(v),
         "sum": F.sum(v),
         "avg": F.avg(v),
-        # exact by the counts of distinct values; "median_approx" is bounded in memory
-        "median": F.median(v),
         "median_approx": F.percentile_approx(v, 0.5, 10_000),
         "var_samp": F.var_samp(v),
         "stddev_samp": F.stddev_samp(v),
@@ -63,7 +65,8 @@ def pivot_long(df: DataFrame, rows: list[str], cols: list[str], value: str = "Pr
     Output: row attrs, col attrs, one column per aggregator (default
     ``value`` = avg of ``value``; an entry may name its own input column as
     (aggregator, column)), ``is_total_row`` (all row attrs rolled up) and
-    ``is_total_col`` (all col attrs rolled up).
+    ``is_total_col`` (all col attrs rolled up). ``median`` is exact, for finite
+    numbers, and found by counts of value ranges.
     """
     aggs = aggs or {"value": "avg"}
     df = filter_values(df, include, exclude)
@@ -73,19 +76,65 @@ def pivot_long(df: DataFrame, rows: list[str], cols: list[str], value: str = "Pr
             seen.add(tuple(s))
             sets.append([F.col(f"`{c}`") for c in s])
     keys = [F.col(f"`{c}`") for c in rows + cols]
-    exprs = [(aggregator(fn, value) if isinstance(fn, str) else aggregator(*fn)).alias(out)
-             for out, fn in aggs.items()]
+    named = {out: (fn, value) if isinstance(fn, str) else fn for out, fn in aggs.items()}
+    exprs = [aggregator(*fn).alias(out) for out, fn in named.items() if fn[0] != "median"]
     marks = []
     if rows:
         marks.append((F.grouping(F.col(f"`{rows[0]}`")) == 1).alias("is_total_row"))
     if cols:
         marks.append((F.grouping(F.col(f"`{cols[0]}`")) == 1).alias("is_total_col"))
-    g = df.groupingSets(sets, *keys).agg(*exprs, *marks)
+    marks.append(F.grouping_id().alias("_set") if keys else F.lit(0).alias("_set"))
+    g = df.groupingSets(sets, *keys).agg(*exprs, *marks) if keys else df.agg(*exprs, F.count(F.lit(1)).alias("_n"))
     if not rows:
         g = g.withColumn("is_total_row", F.lit(True))
     if not cols:
         g = g.withColumn("is_total_col", F.lit(True))
-    return g
+    for out, (fn, of) in named.items():
+        if fn == "median":
+            g = _with_median(g, df, rows + cols, seen, of, out)
+    return g.select(*keys, *[F.col(f"`{out}`") for out in aggs], "is_total_row", "is_total_col")
+
+
+def _with_median(g: DataFrame, df: DataFrame, keys: list[str], sets: set[tuple], value: str, out: str) -> DataFrame:
+    """The median of every line of the grouping sets: each row counts once in each set."""
+    if not keys:
+        return g.withColumn(out, medians(df, [], value).select("median").scalar())
+    # as grouping_id: one bit for each key, set where the key is rolled up
+    lines = [F.struct(*[(F.col(f"`{c}`") if c in s else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in keys],
+                      F.lit(int("".join("0" if c in s else "1" for c in keys), 2)).cast("long").alias("_set")) for s in sorted(sets)]
+    rows = df.select(F.explode(F.array(*lines)).alias("_line"), F.col(f"`{value}`").alias("_value")).select("_line.*", "_value")
+    found = medians(rows, [*keys, "_set"], "_value")
+    found = found.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate([*keys, "_set"])], F.col("median").alias(out))
+    on = reduce(and_, [g[f"`{c}`"].eqNullSafe(found[f"_k{i}"]) for i, c in enumerate([*keys, "_set"])])
+    return g.join(found, on, "left").drop(*[f"_k{i}" for i in range(len(keys) + 1)])
+
+
+def pivot_shares(df: DataFrame, rows: list[str], cols: list[str], value: str = "Price", agg: str = "sum",
+                 include: dict | None = None, exclude: dict | None = None) -> DataFrame:
+    """AGG-14, shares of totals: the long pivot with what part each line is of its totals.
+
+    ``of_row`` is the line's value over that of all columns of its row, ``of_col``
+    over that of all rows of its column, ``of_total`` over the grand total; null
+    where that is 0 or null. Missing attributes are values like others. All totals
+    come out of the one grouping-sets result, which is materialised once.
+    """
+    long = pivot_long(df, rows, cols, value, {"value": agg}, include, exclude)
+    ensure_checkpoint_dir(long.sparkSession)
+    long = long.checkpoint(eager=True)
+    number = F.col("value").cast("double")
+
+    def with_total(lines: DataFrame, keys: list[str], mark: str, rolled: str, name: str) -> DataFrame:
+        totals = long.where(F.col(rolled)).select(
+            *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keys)], F.col(mark).alias("_m"), number.alias(name))
+        on = reduce(and_, [lines[f"`{c}`"].eqNullSafe(totals[f"_k{i}"]) for i, c in enumerate(keys)], lines[mark] == totals["_m"])
+        return lines.join(totals, on, "left").drop("_m", *[f"_k{i}" for i in range(len(keys))])
+
+    grand = long.where("is_total_row AND is_total_col").select(number).scalar()
+    lines = with_total(long, rows, "is_total_row", "is_total_col", "_row")
+    lines = with_total(lines, cols, "is_total_col", "is_total_row", "_col")
+    part = lambda total: F.try_divide(number, total)
+    return lines.select(*[F.col(f"`{c}`") for c in rows + cols], "value", part(F.col("_row")).alias("of_row"),
+                        part(F.col("_col")).alias("of_col"), part(grand).alias("of_total"), "is_total_row", "is_total_col")
 
 
 def column_keys(long: DataFrame, cols: list[str]) -> list[tuple]:

@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 
 from pumpwatch.functions.scalars import ceil_div, clamp, minute_text
 from pumpwatch.model import STATUS_PROCESSED
+from pumpwatch.operators.observations import MAX_BROADCAST_ROWS
+from pumpwatch.operators.selection import FEW, rows_between
 
 # fixed values: calendar bucket modes; anything else falls back to 'latest'
 BUCKET_MODES = ("minute", "hour", "day", "week", "month", "year")
@@ -90,17 +92,19 @@ def select_snapshots(snapshots: DataFrame, dataset: str | None = None, mode: str
         base = base.where(F.col("dataset") == F.lit(dataset))
     page = max(1, int(page))
 
-    def paged(rows: DataFrame, order, mode_: str, submode_: str) -> Selection:
+    def paged(rows: DataFrame, order: list[str], mode_: str, submode_: str) -> Selection:
         sel = Selection(rows, mode_, submode_, 1, rows, max_snapshots)
         if page > 1:   # only a later page needs the total to be clamped
             sel.page = _clamp_page(page, sel.total, max_snapshots)[0]
-        sel.snapshots = (rows.orderBy(*order).offset((sel.page - 1) * max_snapshots)
-                         .limit(max_snapshots).select("id", "period"))
+        first = (sel.page - 1) * max_snapshots
+        sel.snapshots = (rows.orderBy(*[F.col(c).desc() for c in order]).limit(max_snapshots) if not first else
+                         rows_between(rows, [(c, True) for c in order], first, first + max_snapshots, sel.total)
+                         ).select("id", "period")
         return sel
 
     if mode not in BUCKET_MODES:
         rows = base.select("id", F.col("timestamp").alias("period"))
-        return paged(rows, [F.col("period").desc(), F.col("id").desc()], "latest", "page")
+        return paged(rows, ["period", "id"], "latest", "page")
 
     def buckets(df: DataFrame) -> DataFrame:
         return (df.groupBy(F.date_trunc(mode, F.col("timestamp")).alias("period"))
@@ -118,7 +122,7 @@ def select_snapshots(snapshots: DataFrame, dataset: str | None = None, mode: str
         until = dt.datetime.now(dt.timezone.utc)
     if until is not None:
         base = base.where(F.col("timestamp") <= _lit_ts(until))
-    return paged(buckets(base), [F.col("period").desc()], mode,
+    return paged(buckets(base), ["period"], mode,
                  "until" if until is not None else "page")
 
 
@@ -145,14 +149,16 @@ def latest_snapshots(snapshots: DataFrame, dataset: str | None = None, n: int =
 
 def lookahead_page(snapshots: DataFrame, dataset: str | None = None, page: int = 1,
                    size: int = LIST_PAGE_SIZE) -> DataFrame:
-    """TOP-06: page without a COUNT — fetch size+1 rows, ``has_next`` = more than size.
+    """TOP-06: ``size`` rows of a page; ``has_next`` tells whether there is one more.
 
-    The window below runs on at most size+1 rows (after the limit).
+    The first pages need no COUNT. A page beyond the first FEW rows is sought by
+    counts of value ranges. The window below runs on at most size+1 rows.
     """
     s = snapshots if dataset is None else snapshots.where(F.col("dataset") == F.lit(dataset))
     page = max(1, int(page))
-    rows = (s.orderBy(F.col("timestamp").desc(), F.col("id").desc())
-            .offset((page - 1) * size).limit(size + 1))
+    first = (page - 1) * size
+    rows = rows_between(s, [("timestamp", True), ("id", True)], first, first + size + 1,
+                        total=first + size + 1 if first + size < FEW else None)
     w = Window.orderBy(F.col("timestamp").desc(), F.col("id").desc())
     numbered = rows.select("*", F.row_number().over(w).alias("_rn"),
                            F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"))
@@ -210,7 +216,8 @@ def price_extract(selection: Selection, prices: DataFrame, stations: DataFrame,
         facts = facts.where(F.col("station_id") == F.lit(station_id))
     # too many buckets → the guarded selection is empty → no rows, no extra job
     ids = selection.snapshots.select(F.col("id").alias("snapshot_id"))
-    chosen = facts.join(F.broadcast(ids), "snapshot_id", "left_semi")
+    ids = F.broadcast(ids) if selection.max_snapshots <= MAX_BROADCAST_ROWS else ids
+    chosen = facts.join(ids, "snapshot_id", "left_semi")
     rec = flat_records(star(chosen, stations, fuels, snapshots), price_as_double)
     if not ordered:
         return rec

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pumpwatch import model
 from pumpwatch.operators import observations as ob
 from pumpwatch.plans.registry import query
+from pumpwatch.sources.statistics import footer_range, newest_periods
+from pumpwatch.sources.tables import table_path
 
 # DuckDB side of binding E, shared by the oracles below
 E_CTE = """
@@ -30,8 +34,14 @@ def _e(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _newest(spark: SparkSession, sf_dir: str, n: int) -> list:
-    """The newest snapshot days, so that the facts are read for these days only."""
-    return ob.newest_times(model.obs_raw(spark, sf_dir), n)
+    """The newest snapshot days, so that the facts are read for these days only.
+
+    Footers tell where they are; no job reads the time column of older row groups.
+    """
+    day = timedelta(days=1)
+    return newest_periods(lambda since: ob.newest_times(model.obs_raw(spark, sf_dir, since=since), n),
+                          footer_range(spark, table_path(sf_dir, "events"), "ts"),
+                          lambda t: t.replace(hour=0, minute=0, second=0, microsecond=0), day, n)
 
 
 @query("latest_prices", ids="OP-06 FLT-07 JOIN-01 TOP-01 SRC-05 PRJ-03", sql=E_CTE + """

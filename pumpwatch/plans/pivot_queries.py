@@ -205,3 +205,33 @@ FROM recs GROUP BY ROLLUP ("Region")
 def pivot_menu_rest(spark, sf_dir):
     return pv.pivot_long(_records(spark, sf_dir), ["Region"], [], "Price",
                          {"kinds": "count_distinct", "first": "first", "last": "last"})
+
+
+@query("pivot_median", ids="AGG-14 (exact median of all prices, cells and totals)", sql=O_CTE + """
+SELECT st.region AS "Region", fu.name AS "Fuel", CAST(median(CAST(px.price AS DOUBLE)) AS DOUBLE) AS med, count(*) AS n,
+       grouping(st.region) = 1 AS is_total_row, grouping(fu.name) = 1 AS is_total_col
+FROM px JOIN st ON st.id = px.station_id JOIN fu ON fu.id = px.fuel_id
+GROUP BY GROUPING SETS ((st.region, fu.name), (st.region), (fu.name), ())
+""")
+def pivot_median(spark, sf_dir):
+    st = model.stations_o(spark, sf_dir).select("id", "region")
+    fu = model.fuels_o(spark, sf_dir).select("id", "name")
+    px = model.prices_o(spark, sf_dir)
+    recs = px.join(st, px["station_id"] == st["id"]).select("region", "fuel_id", "price")
+    recs = recs.join(fu, recs["fuel_id"] == fu["id"]).selectExpr("region AS Region", "name AS Fuel", "price AS Price")
+    return pv.pivot_long(recs, ["Region"], ["Fuel"], "Price", {"med": "median", "n": "count"})
+
+
+@query("pivot_shares", ids="AGG-14 (shares of row, column and grand totals)", sql=RECS_SQL + """
+, long AS (
+  SELECT "Region", "Fuel", CAST(sum("Price") AS DOUBLE) AS value,
+         grouping("Region") = 1 AS is_total_row, grouping("Fuel") = 1 AS is_total_col
+  FROM recs GROUP BY GROUPING SETS (("Region", "Fuel"), ("Region"), ("Fuel"), ()))
+SELECT l.*, l.value / r.value AS of_row, l.value / c.value AS of_col, l.value / g.value AS of_total
+FROM long l
+JOIN long r ON r.is_total_col AND r.is_total_row = l.is_total_row AND r."Region" IS NOT DISTINCT FROM l."Region"
+JOIN long c ON c.is_total_row AND c.is_total_col = l.is_total_col AND c."Fuel" IS NOT DISTINCT FROM l."Fuel"
+JOIN long g ON g.is_total_row AND g.is_total_col
+""")
+def pivot_shares(spark, sf_dir):
+    return pv.pivot_shares(_records(spark, sf_dir), ["Region"], ["Fuel"])

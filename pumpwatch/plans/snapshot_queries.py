@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pumpwatch import model
 from pumpwatch.operators import counts as ct
 from pumpwatch.operators import snapshots as sn
+from pumpwatch.operators.selection import rows_between
 from pumpwatch.plans.registry import query
 from pumpwatch.sources.tables import read_table
 
@@ -262,3 +263,20 @@ SELECT id, "timestamp", status, dataset FROM snaps WHERE dataset = '2-HIGH'
 def active_dataset_snapshots(spark, sf_dir):
     reg = ct.activate(model.datasets_o(spark, sf_dir), 2)
     return ct.active_dataset_snapshots(reg, model.snapshots_o(spark, sf_dir))
+
+
+@query("prices_far_page", ids="TOP-05 TOP-06 (fifty prices from the middle of all, sought by counts)", sql="""
+WITH numbered AS (
+  SELECT l_orderkey AS snapshot_id, l_linenumber AS line, l_shipdate AS shipped,
+         CAST(CAST(l_extendedprice AS DECIMAL(10,2)) AS DOUBLE) AS price, count(*) OVER () AS total,
+         row_number() OVER (ORDER BY l_shipdate DESC NULLS LAST, l_orderkey DESC NULLS LAST, l_linenumber NULLS LAST) - 1 AS rn
+  FROM lineitem)
+SELECT snapshot_id, line, shipped, price FROM numbered WHERE rn >= total // 2 AND rn < total // 2 + 50
+""")
+def prices_far_page(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("snapshot_id"), F.col("l_linenumber").alias("line"),
+        model.as_utc_ts(F.col("l_shipdate")).alias("shipped"), model.as_price(F.col("l_extendedprice")).alias("price"))
+    total = rows.count()
+    return rows_between(rows, [("shipped", True), ("snapshot_id", True), ("line", False)],
+                        total // 2, total // 2 + 50, total)
