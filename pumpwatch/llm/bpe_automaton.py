@@ -29,15 +29,16 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pumpwatch.llm.common import text_bytes
+from pumpwatch.llm.common import mapped, text_bytes
 
-#: Words kept with their encoding in a Python worker; twice that at most.
-CACHE_WORDS = 200_000
+#: Words kept with their encoding in a Python worker, and their bytes; twice that at most.
+CACHE_WORDS, CACHE_BYTES = 200_000, 16 << 20
 #: Code points below this have had their category since the first versions of Unicode.
 PLAIN = 0x230  # twice that holds their lower case forms but for a few
 
@@ -195,6 +196,7 @@ class Codec:
         self.symbols = dict(enumerate(byte_symbols()))
         self.new: dict[str, tuple[int, bytes, str]] = {}
         self.old: dict[str, tuple[int, bytes, str]] = {}
+        self.held = 0
 
     def split(self, text: str) -> list[str]:
         """The words of a text; those in byte symbols have a space before them."""
@@ -216,9 +218,11 @@ class Codec:
             ids = self.automaton.encode_word(spelt)
             found = (len(ids), b"".join(i.to_bytes(4, "little") for i in ids),
                      " ".join(self.label[i] for i in ids))
-        if len(self.new) >= CACHE_WORDS:
-            self.old, self.new = self.new, {}
+        size = len(word) + len(found[1]) + len(found[2])
+        if len(self.new) >= CACHE_WORDS or self.held + size > CACHE_BYTES:
+            self.old, self.new, self.held = self.new, {}, 0
         self.new[word] = found
+        self.held += size
         return found
 
     def encode(self, text: str) -> tuple[bytes, str]:
@@ -275,7 +279,7 @@ def encode_documents(docs: DataFrame, path: str, contents: bool = True, doc_id:
                 row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(),
                        hashlib.sha256(decoded.encode()).hexdigest()]
                 if contents:
-                    row[1:1] = [memoryview(ids).cast("I").tolist()]
+                    row[1:1] = [np.frombuffer(ids, "<u4").astype(np.int32)]
                     row[3:3] = [decoded]
                 rows.append(row)
             names = [f.split()[0] for f in schema.split(", ")][1:]
@@ -283,4 +287,4 @@ def encode_documents(docs: DataFrame, path: str, contents: bool = True, doc_id:
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("body")) \
-        .mapInPandas(each, schema)
+        .transform(mapped, each, schema)

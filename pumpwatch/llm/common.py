@@ -9,6 +9,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows handed to a Python worker at a time: documents are a few KB each, with
 #: some of 100 KB and more, and two workers share an executor's memory.
@@ -73,14 +74,24 @@ def crc_mod(doc_id: str, mod: int):
                   F.lit(mod))
 
 
+def mapped(rows: DataFrame, each, schema: str, exact: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``mapInPandas`` whose whole numbers ``exact`` travel as text: pandas would turn them into
+    floating point numbers, not exact beyond 2**53, where one in a batch is null."""
+    kinds = {f.name: f.dataType for f in T.StructType.fromDDL(schema).fields}
+    sent = rows.withColumns({c: F.col(c).cast("string") for c in exact if c in rows.columns})
+    text = T.StructType([T.StructField(c, T.StringType() if c in exact else k) for c, k in kinds.items()])
+    return sent.mapInPandas(each, text).select(*[F.col(c).cast(k) if c in exact else F.col(c) for c, k in kinds.items()])
+
+
 def in_blocks(docs: DataFrame, block_bytes: int, *more) -> tuple[DataFrame, int]:
     """The documents dealt over blocks of about ``block_bytes`` bytes of text: (doc_id, body, block, ...),
     and how many blocks.
 
     ``body`` is the text's UTF-8 bytes, packed (``unpacked`` gives them back), so
     that less is shuffled. The number of blocks follows the size of the table.
-    A block is named by the document's id alone, so a task that is run again
-    gets the same documents.
+    A block is named by the document's id and text, so a task that is run again
+    gets the same documents, and texts without an id or with one id are spread.
+    The id is text, as ``mapped`` sends it.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // block_bytes + 1
@@ -90,8 +101,8 @@ def in_blocks(docs: DataFrame, block_bytes: int, *more) -> tuple[DataFrame, int]
         for b in batches:
             b["body"] = [z.compress(x) for x in b["body"]]
             yield b
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"),
-                        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).alias("block"), *more)
+    dealt = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_bytes().alias("body"),
+                        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(blocks)).alias("block"), *more)
     return dealt.mapInPandas(pack, dealt.schema), blocks
 
 

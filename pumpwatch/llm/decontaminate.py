@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pumpwatch.llm.common import text_bytes
+from pumpwatch.llm.common import mapped, text_bytes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -264,10 +264,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
             ix = index.value
             for b in batches:
                 at = ix.suspects(list(b["body"]))
-                rows = [(d, i, *x) for d, body in zip(b["doc_id"].iloc[at], b["body"].iloc[at])
+                rows = [(d, None if i is None else str(i), *x) for d, body in zip(b["doc_id"].iloc[at], b["body"].iloc[at])
                         for i, x in ix.leaks(body, similarity).items()]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "similarity", "first_word", "windows"])
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).mapInPandas(each, LEAKS)
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).transform(
+            mapped, each, LEAKS, ("doc_id", "item_id"))
 
     sc = docs.sparkSession.sparkContext
     return reduce(DataFrame.unionAll, [search(sc.broadcast(Index(b))) for b in _blocks(benchmark)])

@@ -112,7 +112,7 @@ def with_next(docs: DataFrame, extend: Callable[[DataFrame], DataFrame]) -> Data
     """
     ids = docs.select("doc_id")
     low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, (high - low + 1) * GROUP // n) if n and low is not None else 1
+    width = min(1 << 62, max(1, (high - low + 1) * GROUP // n)) if n and low is not None else 1
     group = F.coalesce(F.floor(F.col("doc_id") / width), F.lit((low or 0) // width - 1))
     w = Window.partitionBy("_group").orderBy(F.desc_nulls_last("doc_id"), "text")
     heads = extend(docs.withColumn("_after", group).withColumn("_group", group).withColumn(

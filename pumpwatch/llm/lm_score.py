@@ -41,9 +41,11 @@ from pyspark.sql import functions as F
 from pumpwatch.llm.common import crc_mod, in_blocks, unpacked
 
 BACKOFF = 0.5
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 20 << 20
 #: Ranges of hashes that counts meet in, at least; with more blocks as many as these.
 PARTS = 256
+#: Tokens that are looked up together.
+READ = 1 << 19
 #: The end of a text is counted as a token; no word is empty.
 END = b""
 
@@ -58,22 +60,30 @@ class Block:
         for packed in docs["body"]:
             words = unpacked([packed])[0].lower().split()
             words.append(END)
-            parts.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+            parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
         self.ids = np.concatenate(parts)
         self.size = np.fromiter(map(len, parts), np.int64, len(parts))
         self.words = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number)).view(np.int64)
         self.train = np.repeat(~docs["held_out"].to_numpy(bool), self.size)
-        self.place = np.flatnonzero(self.ids[:-1] != end)     # of the first word of each pair
+        self.place = np.flatnonzero(self.ids[:-1] != end).astype(np.int32)     # of the first word of each pair
 
     def counts(self) -> np.ndarray:
         """How often each word is in the training documents."""
         return np.bincount(self.ids[self.train], minlength=len(self.words))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs of neighbours (number of the first times words plus that of the second),
-        their counts in training documents, and the pair at each of ``place``."""
-        pair, at = np.unique(self.ids[self.place] * len(self.words) + self.ids[self.place + 1], return_inverse=True)
-        return pair, np.bincount(at[self.train[self.place]], minlength=len(pair)), at
+        and their counts in training documents. Sorted in place, the training flag as last bit."""
+        all_ = self.ids[self.place].astype(np.int64)
+        all_ *= len(self.words)
+        all_ += self.ids[self.place + 1]
+        all_ <<= 1
+        all_ |= self.train[self.place]
+        all_.sort()
+        pair = all_ >> 1
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+        all_ &= 1
+        return pair[first], np.add.reduceat(all_, first) if len(first) else np.zeros(0, np.int64)
 
     def pair_hash(self, pair: np.ndarray) -> np.ndarray:
         words = self.words.view(np.uint64)
@@ -138,7 +148,7 @@ def _pair_rows(parts: int):
             return _rows(np.zeros(0, np.int64), np.zeros(0, np.int64), 0, parts)
         b = Block(docs)
         _, shared = b.given(back)
-        pair, n, _ = b.pairs()
+        pair, n = b.pairs()
         keep = shared[pair // len(shared)] & shared[pair % len(shared)]
         return _rows(b.pair_hash(pair[keep]), n[keep], int(docs["block"].iloc[0]), parts)
     return each
@@ -188,14 +198,16 @@ class Automaton:
         if not len(self.arcs):
             out[place + 1] += self.failure[ids[place]]
             return out
-        asked = ids[place] * self.words + ids[place + 1]
-        at = np.minimum(np.searchsorted(self.arcs, asked), len(self.arcs) - 1)
-        out[place + 1] = np.where(self.arcs[at] == asked, self.weight[at],
-                                  self.failure[ids[place]] + self.empty[ids[place + 1]])
+        for k in range(0, len(place), READ):
+            part = place[k:k + READ]
+            asked = ids[part].astype(np.int64) * self.words + ids[part + 1]
+            at = np.minimum(np.searchsorted(self.arcs, asked), len(self.arcs) - 1)
+            out[part + 1] = np.where(self.arcs[at] == asked, self.weight[at],
+                                     self.failure[ids[part]] + self.empty[ids[part + 1]])
         return out
 
 
-SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+SCORED = ("doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double")
 
 
@@ -207,7 +219,7 @@ def _scores(backoff: float):
         totals = back[back["kind"] == 2].iloc[0]
         distinct, tokens = int(totals["distinct"]), int(totals["tokens"])
         counts, _ = b.given(back[back["kind"] == 0])
-        pair, n, _ = b.pairs()
+        pair, n = b.pairs()
         hashes = b.pair_hash(pair)
         order = np.argsort(hashes)
         key, many = unpack(back[back["kind"] == 1])
@@ -216,7 +228,7 @@ def _scores(backoff: float):
         first = np.cumsum(b.size) - b.size
         known = counts[b.ids]
         return pd.DataFrame({
-            "doc_id": docs["doc_id"].astype("Int64").to_numpy(), "held_out": docs["held_out"].to_numpy(bool),
+            "doc_id": docs["doc_id"].to_numpy(), "held_out": docs["held_out"].to_numpy(bool),
             "n_tokens": b.size, "n_known": np.add.reduceat(known > 0, first, dtype=np.int64),
             "train_tokens": tokens,
             "base_score": np.add.reduceat(np.log10((known + 1) / (tokens + distinct + 1)), first),
@@ -251,4 +263,5 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, backoff: flo
     back = (shared.select("block", F.lit(0).alias("kind"), "size", "packed", *none)
             .unionAll(pair_totals.select("block", F.lit(1).alias("kind"), "size", "packed", *none))
             .unionAll(told.select("block", "kind", "size", "packed", "t.distinct", "t.tokens")))
-    return by_block.cogroup(back.groupBy("block")).applyInPandas(_scores(backoff), SCORED)
+    scored = by_block.cogroup(back.groupBy("block")).applyInPandas(_scores(backoff), SCORED)
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))

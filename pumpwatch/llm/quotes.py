@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pumpwatch.llm.common import checkpoint, text_bytes
+from pumpwatch.llm.common import checkpoint, mapped, text_bytes
 
 MARKS = re.compile(r"[ \t]*((?:>[ \t]?)*)(.*)", re.S)
 BLANK_LINES = re.compile(r"\n(?:[^\S\n]*\n)+")
@@ -94,7 +94,7 @@ def parse(messages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"conv_id": b["conv_id"], "turn": b["turn"], "role": b["role"],
                                 "text": own, "said": said, "quoted": quoted})
     return messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-                           "role", text_bytes().alias("body")).mapInPandas(each, PARSED)
+                           "role", text_bytes().alias("body")).transform(mapped, each, PARSED, ("conv_id", "turn"))
 
 
 def answers(parsed: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pumpwatch.llm.common import checkpoint, text_bytes
+from pumpwatch.llm.common import checkpoint, mapped, text_bytes
 from pumpwatch.llm.components import connected_components
 
 SEED = 42
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id",
             fps = np.fromiter((fingerprint(t, shingle) for t in b["body"]), np.uint64, len(b))
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("body")) \
-        .mapInPandas(each, "doc_id long, fp long")
+        .transform(mapped, each, "doc_id long, fp long")
 
 
 def _signed(mask: int) -> int:

@@ -390,7 +390,7 @@ def _parts(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         at = stop
 
 
-KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+KEPT = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _kept(docs: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
@@ -406,8 +406,7 @@ def _kept(docs: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         kept.append(body[at:])
         rows.append((doc_id, len(body), sum(e - s for _, s, e in gone), len(gone),
                      hashlib.sha256(b"".join(kept)).hexdigest(), [[s, e] for _, s, e in gone]))
-    out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-    return out.astype({"doc_id": "Int64"})
+    return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -429,4 +428,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         _repeated, "hash long, block long, hot boolean")
     contexts = by_block.cogroup(repeated.groupBy("block")).applyInPandas(_contexts(length), CONTEXT)
     runs = contexts.repartition("key").sortWithinPartitions("key").mapInPandas(_runs(length), RUN)
-    return by_block.cogroup(runs.groupBy("block")).applyInPandas(_kept, f"{KEPT}, spans array<array<long>>")
+    kept = by_block.cogroup(runs.groupBy("block")).applyInPandas(_kept, f"{KEPT}, spans array<array<long>>")
+    return kept.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pumpwatch.llm.common import text_bytes
 
-HEADER, RADIX = 4, 50_000
+HEADER, RADIX = 5, 50_000
 #: Tokens of a block.
 BLOCK = 1 << 18
 #: Characters of ``pieces``.
@@ -71,7 +71,7 @@ def token_ids(text: str, enc, pattern: str) -> list[int]:
 
 def header(doc_id: int | None) -> list[int]:
     """The id as HEADER digits in base RADIX, shifted so that a null is all zeros."""
-    value = 0 if doc_id is None or pd.isna(doc_id) else int(doc_id) + (1 << 61) + 1
+    value = 0 if doc_id is None or pd.isna(doc_id) else int(doc_id) + (1 << 63) + 1
     return [value // RADIX ** k % RADIX for k in range(HEADER)]
 
 
@@ -79,7 +79,7 @@ def write_token_files(docs: DataFrame, path: str, ranks: str, pattern: str, eod:
     """Encode every text of ``docs`` (doc_id, text) and write flat files of 16-bit identifiers.
 
     Each partition makes a file, without a shuffle. A null text has no tokens.
-    Ids must be within 2**61 of zero.
+    All 64-bit ids have a header.
     """
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(ranks, pattern)
@@ -89,7 +89,7 @@ def write_token_files(docs: DataFrame, path: str, ranks: str, pattern: str, eod:
                 ids = token_ids(body.decode("utf-8", "replace"), enc, pattern)
                 out.append(np.array([*header(doc_id), *ids], "<u2").tobytes())
             yield pd.DataFrame({"tokens": out})
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")) \
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_bytes().alias("body")) \
         .mapInPandas(each, "tokens binary")
     # the text writer puts a row's bytes as they are and the separator after them
     separator = np.array([eod], "<u2").tobytes().decode("latin-1")
@@ -152,5 +152,7 @@ def count_tokens(spark: SparkSession, path: str, eod: int, kind: str = "<u2", le
 
 def header_id(column: str):
     """The id that a header stands for, null for all zeros."""
-    value = sum((F.element_at(column, k + 1) * RADIX ** k for k in range(1, HEADER)), F.element_at(column, 1))
-    return F.when(value != 0, value - (1 << 61) - 1)
+    value = F.lit(0).cast("decimal(25,0)")
+    for k in range(HEADER, 0, -1):      # up to 25 digits, more than a long has
+        value = (value * F.lit(RADIX) + F.element_at(column, k)).cast("decimal(25,0)")
+    return F.when(value != 0, (value - F.lit(str((1 << 63) + 1)).cast("decimal(25,0)")).cast("long"))
