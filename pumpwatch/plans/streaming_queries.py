@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pumpwatch.plans.feed_queries import (FEED_DATASET, FEED_CTE, _existing_feed_stations,
                                           _existing_fuels, feature_lines)
+from pumpwatch import model
+from pumpwatch.operators.counts import with_price_counts
 from pumpwatch.plans.registry import query
 from pumpwatch.session import work_dir
 from pumpwatch.sources.tables import read_table
@@ -146,3 +148,26 @@ def stream_documents(spark, sf_dir):
     return (snaps.join(store.sources(), "id").withColumn("poll", polls)
             .groupBy((F.col("poll") % 7).alias("kind"), "status")
             .agg(F.count_distinct("poll").alias("polls"), F.sum("price_count").alias("price_count")))
+
+
+#: Parts that the facts of the range query are stored in.
+STORED_BATCHES = 3
+
+
+@query("store_range_prices", ids="SNK-04 FLT-03 STR-03 (date-partitioned facts in batches, one of them replayed, read by a range)", sql="""
+SELECT o_orderkey AS snapshot_id, l_suppkey AS station_id, count(*) AS prices,
+       CAST(sum(CAST(l_extendedprice AS DECIMAL(10,2))) AS DOUBLE) AS amount
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+WHERE o_orderstatus = 'F' AND o_orderdate BETWEEN TIMESTAMP '1996-03-15 00:00:00' AND TIMESTAMP '1997-02-10 00:00:00'
+GROUP BY ALL
+""")
+def store_range_prices(spark, sf_dir):
+    store = PriceStore(spark, f"{work_dir(spark, 'stream-range')}/store", period="month")
+    snaps, prices = model.snapshots_o(spark, sf_dir), model.prices_o(spark, sf_dir)
+    for batch in [*range(STORED_BATCHES), 1]:        # the second batch comes again, as after a failure
+        part = F.pmod("id", F.lit(STORED_BATCHES)) == batch
+        own = snaps.where(part)
+        store.append_facts(prices.where(F.pmod("snapshot_id", F.lit(STORED_BATCHES)) == batch), own, batch)
+        store.append("snapshots", with_price_counts(own, store.read_facts(batch)), batch)
+    return (store.published_prices("1996-03-15 00:00:00", "1997-02-10 00:00:00").groupBy("snapshot_id", "station_id")
+            .agg(F.count(F.lit(1)).alias("prices"), F.sum("price").alias("amount")))

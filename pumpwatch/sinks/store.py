@@ -2,7 +2,7 @@
 
     <root>/stations/v=<n>/   dimension versions; readers take the newest
     <root>/fuels/v=<n>/
-    <root>/prices/batch=<id>/   facts, one folder per ingest batch
+    <root>/prices/day=<d>/batch=<id>/   facts by their snapshot's date, then by ingest batch
     <root>/snapshots/batch=<id>/  snapshot rows, written LAST
 
     <root>/sources/batch=<id>/  the files of each snapshot
@@ -11,25 +11,31 @@
 All-or-nothing snapshots (STR-03): a batch writes its facts and dimension
 versions first and publishes its snapshot rows last; readers only see facts of
 snapshots all of whose rows have the status 'processed'. Replaying a batch
-overwrites its own folders, so a retried micro-batch never duplicates rows.
+overwrites its own folders (of the facts: its folder under each day it has, by
+dynamic partition overwrite), so a retried micro-batch never duplicates rows.
+Facts of a range of snapshot times are read from the folders of their days only.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pumpwatch.model import STATUS_ERROR, STATUS_PROCESSED
 
+FACTS = "snapshot_id long, station_id long, fuel_id long, price decimal(10,2)"
 _VERSION_DIR = re.compile(r"/v=(\d+)/")
 
 
 class PriceStore:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, period: str = "day"):
+        """``period``: how long a date partition is (day, week, month, year); it is named by its first day."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.period = period
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -62,9 +68,32 @@ class PriceStore:
     def append(self, name: str, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self._path(name)}/batch={batch_id}")
 
-    def read_batch(self, name: str, batch_id: int) -> DataFrame:
-        """One batch folder only: its listing does not grow with the stream's age."""
-        return self.spark.read.parquet(f"{self._path(name)}/batch={batch_id}")
+    def day_of(self, timestamp: Column) -> Column:
+        """The date partition of a snapshot's time; a missing time has one of its own."""
+        return F.to_date(F.date_trunc(self.period, timestamp))
+
+    def append_facts(self, facts: DataFrame, snaps: DataFrame, batch_id: int) -> None:
+        """Facts (snapshot_id, ...) of the snapshots ``snaps`` (id, timestamp) into their date partitions.
+
+        Rows are rebalanced by day, a day of very many rows over several files.
+        """
+        days = snaps.select(F.col("id").alias("snapshot_id"), self.day_of(F.col("timestamp")).alias("day"))
+        dated = facts.join(days, "snapshot_id").withColumn("batch", F.lit(batch_id).cast("long"))
+        (dated.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("day", "batch").parquet(self._path("prices")))
+
+    def read_facts(self, batch_id: int | None = None) -> DataFrame:
+        """Facts with their partition columns; of one batch: the listing is of its folders alone."""
+        path = self._path("prices")
+        reader = self.spark.read.schema(f"{FACTS}, day date, batch long").option("basePath", path)
+        if batch_id is None:
+            return reader.parquet(path)
+        try:
+            return reader.parquet(f"{path}/day=*/batch={batch_id}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], f"{FACTS}, day date, batch long")    # a batch without facts
 
     def read_all(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._path(name))
@@ -83,8 +112,20 @@ class PriceStore:
         """(id, source_file): the files that each snapshot came from."""
         return self.read_all("sources").select("id", "source_file").distinct()
 
-    def published_prices(self) -> DataFrame:
-        """Facts of processed (published) snapshots only."""
-        done = (self.snapshots().where(F.col("status") == STATUS_PROCESSED)
-                .select(F.col("id").alias("snapshot_id")))
-        return self.read_all("prices").drop("batch").join(done, "snapshot_id", "left_semi")
+    def published_prices(self, start=None, end=None) -> DataFrame:
+        """Facts of processed (published) snapshots only, those from ``start`` to ``end`` inclusive.
+
+        A snapshot that came in several batches has its rows under the day of each,
+        so the first and last such day of the chosen snapshots bound the partitions
+        that are read.
+        """
+        done = self.snapshots().where(F.col("status") == STATUS_PROCESSED)
+        facts = self.read_facts()
+        if start is not None or end is not None:
+            for value, inside in ((start, F.col("timestamp").__ge__), (end, F.col("timestamp").__le__)):
+                if value is not None:
+                    done = done.where(inside(F.lit(value).cast("timestamp")))
+            parts = self.read_all("snapshots").join(done.select("id"), "id", "left_semi")
+            first, last = parts.agg(*[f(self.day_of(F.col("timestamp"))) for f in (F.min, F.max)]).first()
+            facts = facts.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+        return facts.drop("day", "batch").join(done.select(F.col("id").alias("snapshot_id")), "snapshot_id", "left_semi")

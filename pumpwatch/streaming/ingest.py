@@ -16,7 +16,7 @@ its snapshot by its raw text; lines whose snapshot can't be read go to the
 ``rejects`` table with their file, so none is lost without a trace.
 
 Per micro-batch: dimension upserts written as a new version → facts appended
-to ``prices/batch=<id>`` → snapshot rows published last (STR-03). The batch
+to ``prices/day=<d>/batch=<id>`` → snapshot rows published last (STR-03). The batch
 id makes a replay overwrite its own output (idempotent). A poll whose files
 arrive in several batches has a row in each; the store reads them as one
 snapshot, an error if any of its parts is. The stream's checkpoint and the
@@ -118,8 +118,8 @@ class FeedBatch:
             stations = self.store.write_dim("stations", stations, version)
             fuels = self.store.write_dim("fuels", fuels, version)
             prices = ig.resolve_prices(flat, self.dataset, stations, fuels)
-            self.store.append("prices", prices, batch_id)
-            published = self.store.read_batch("prices", batch_id)
+            self.store.append_facts(prices, snaps, batch_id)
+            published = self.store.read_facts(batch_id).drop("day", "batch")
             self.store.append("sources", sources, batch_id)
             self.store.append("rejects", self.rejects(batch), batch_id)
             self.store.append("snapshots", with_price_counts(snaps, published), batch_id)

@@ -159,3 +159,38 @@ def test_last_record_of_a_poll_wins_in_every_layout(spark, tmp_path):
     store = ingest(spark, tmp_path, "sequence", {
         "a.json": "\n".join([line(1, "S1", f"R{i}") for i in (3, 1, 2)])})
     assert [r.region for r in store.read_dim("stations").collect()] == ["R2"]
+
+
+def _files(root):
+    import os
+    return sorted(os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if f.endswith(".parquet"))
+
+
+def test_facts_by_date_replay_and_range(spark, tmp_path):
+    import datetime as dt
+    store = PriceStore(spark, str(tmp_path / "store"))
+    days = [dt.datetime(2024, 1, d, 23, 59) for d in (1, 2, 3)] + [None]
+    snaps = spark.createDataFrame([(i, t, "processed", "d", 2) for i, t in enumerate(days)],
+                                  "id long, timestamp timestamp, status string, dataset string, price_count long")
+    facts = spark.createDataFrame([(i, s, 7, 1.5) for i in range(4) for s in (1, 2)], "snapshot_id long, station_id long, fuel_id long, price double") \
+        .withColumn("price", F.col("price").cast("decimal(10,2)"))
+    store.append_facts(facts, snaps, 0)
+    store.append("snapshots", snaps, 0)
+    # a part of snapshot 2 arrived the day before, in another batch
+    early = spark.createDataFrame([(2, days[1], "processed", "d", 1)], snaps.schema)
+    store.append_facts(facts.where("snapshot_id = 2 AND station_id = 1"), early, 1)
+    store.append("snapshots", early, 1)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    before = rows(store.published_prices())
+    assert len(before) == 9
+    store.append_facts(facts, snaps, 0)     # replayed: the same rows, nothing of the other batch lost
+    assert rows(store.published_prices()) == before
+    assert {p.split("day=")[1].split("/")[0] for p in _files(tmp_path / "store/prices")} == {
+        "2024-01-01", "2024-01-02", "2024-01-03", "__HIVE_DEFAULT_PARTITION__"}
+    third = store.published_prices(start="2024-01-03 00:00:00", end="2024-01-03 23:59:59")
+    assert rows(third) == [x for x in before if x[0] == 2] and len(rows(third)) == 3
+    plan = third._jdf.queryExecution().executedPlan().toString()
+    (filters,) = [x for x in plan.split("PartitionFilters: [")[1:] if "2024-01-0" in x or "day#" in x.split("]")[0]][:1]
+    assert "day#" in filters.split("]")[0], plan
+    assert store.published_prices(start="2025-01-01 00:00:00").count() == 0
+    assert store.read_facts(5).count() == 0
