@@ -11,7 +11,7 @@ from pumpwatch import model
 from pumpwatch.operators import observations as ob
 from pumpwatch.plans.registry import query
 from pumpwatch.sources.statistics import footer_range, newest_periods
-from pumpwatch.sources.tables import table_path
+from pumpwatch.sources.tables import SCHEMAS, table_path
 
 # DuckDB side of binding E, shared by the oracles below
 E_CTE = """
@@ -40,7 +40,7 @@ def _newest(spark: SparkSession, sf_dir: str, n: int) -> list:
     """
     day = timedelta(days=1)
     return newest_periods(lambda since: ob.newest_times(model.obs_raw(spark, sf_dir, since=since), n),
-                          footer_range(spark, table_path(sf_dir, "events"), "ts"),
+                          footer_range(spark, table_path(sf_dir, "events"), "ts", SCHEMAS["events"]),
                           lambda t: t.replace(hour=0, minute=0, second=0, microsecond=0), day, n)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,26 +21,38 @@ from pyspark.sql import types as T
 EPOCH = dt.datetime(1970, 1, 1)
 
 
-def footer_aggregate(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """MIN and MAX of a time column in microseconds, answered from footers.
+#: The session with the settings below beside each session; making one takes as long as a small query.
+_BESIDE: WeakKeyDictionary = WeakKeyDictionary()
 
-    Spark finds a column's statistics by its place, so the schema is that of the
-    files, all columns of it. The settings hold in a session of its own.
-    """
-    own = spark.newSession()
+
+def _beside(spark: SparkSession) -> SparkSession:
+    own = _BESIDE.get(spark)
+    if own is not None:
+        return own
+    own = _BESIDE[spark] = spark.newSession()
     v1 = spark.conf.get("spark.sql.sources.useV1SourceList")
     own.conf.set("spark.sql.sources.useV1SourceList", ",".join(x for x in v1.split(",") if x.strip() != "parquet"))
     own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
-    fields = [T.StructField(f.name, T.LongType() if f.name == column else f.dataType)
-              for f in own.read.parquet(path).schema.fields]
+    return own
+
+
+def footer_aggregate(spark: SparkSession, path: str, column: str, schema: str | None = None) -> DataFrame:
+    """MIN and MAX of a time column in microseconds, answered from footers.
+
+    Spark finds a column's statistics by its place, so ``schema`` has all columns
+    of the files in their order; it is read from them if not given.
+    """
+    own = _beside(spark)
+    known = T.StructType.fromDDL(schema) if schema else own.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.LongType() if f.name == column else f.dataType) for f in known.fields]
     return own.read.schema(T.StructType(fields)).parquet(path).select(
         F.min(column).alias("low"), F.max(column).alias("high"))
 
 
-def footer_range(spark: SparkSession, path: str, column: str) -> tuple[dt.datetime, dt.datetime] | None:
+def footer_range(spark: SparkSession, path: str, column: str, schema: str | None = None) -> tuple[dt.datetime, dt.datetime] | None:
     """First and last time by the footers, None for an empty table or files without statistics."""
     try:
-        low, high = footer_aggregate(spark, path, column).first()
+        low, high = footer_aggregate(spark, path, column, schema).first()
     except PySparkException:        # no statistics in some file
         return None
     try:
