@@ -63,6 +63,9 @@ def feed_rejects(flat: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count_if(avail & priced & named).alias("kept"))
 
 
+STATION_ATTRS = ["city", "region", "longitude", "latitude"]
+
+
 def _latest(df: DataFrame, key: list[str], order: Column, cols: list[str]) -> DataFrame:
     """Per key, the values of the row with the greatest ``order``."""
     packed = df.select(*key, order.alias("_ord"), F.struct(*cols).alias("_v"))
@@ -102,12 +105,18 @@ def upsert_stations(existing: DataFrame, incoming: DataFrame, order: Column,
     is NOT part of the key). Existing ids are kept; new keys get ids after
     the current maximum (distributed numbering, no single-task window).
     """
+    latest = _latest(incoming, list(key), order, STATION_ATTRS)
+    next_id = existing.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
+    return merge_stations(existing, latest, next_id, key)
+
+
+def merge_stations(existing: DataFrame, latest: DataFrame, next_id: int | Column,
+                   key: tuple[str, ...] = ("dataset", "name", "adress")) -> DataFrame:
+    """UPS-02 for one record a key: ``existing`` with ``latest`` merged in, new ids from ``next_id`` on."""
     key = list(key)
-    attrs = ["city", "region", "longitude", "latitude"]
-    latest = _latest(incoming, key, order, attrs)
-    old = existing.select("id", *key, *[F.col(c).alias(f"_o_{c}") for c in attrs])
+    old = existing.select("id", *key, *[F.col(c).alias(f"_o_{c}") for c in STATION_ATTRS])
     merged = old.join(latest.withColumn("_new", F.lit(True)), key, "full_outer")
-    vals = [F.when(F.col("_new"), F.col(c)).otherwise(F.col(f"_o_{c}")).alias(c) for c in attrs]
+    vals = [F.when(F.col("_new"), F.col(c)).otherwise(F.col(f"_o_{c}")).alias(c) for c in STATION_ATTRS]
     # the "latest record per key" aggregate is the only pass over the incoming
     # (fact-sized) records: its merged, dimension-sized result is checkpointed
     # once, so numbering the new keys and emitting the kept ones reuse it
@@ -115,17 +124,16 @@ def upsert_stations(existing: DataFrame, incoming: DataFrame, order: Column,
     rows = merged.select("id", *key, *vals).checkpoint(eager=True)
     kept = rows.where(F.col("id").isNotNull())
     fresh = rows.where(F.col("id").isNull()).drop("id")
-    next_id = existing.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
-    return kept.unionByName(assign_ids(fresh, key, start_col=next_id).select(*kept.columns))
+    return kept.unionByName(assign_ids(fresh, key, start_col=F.lit(next_id)).select(*kept.columns))
 
 
-def get_or_create_fuels(existing: DataFrame, names: DataFrame) -> DataFrame:
-    """UPS-03: global fuel dimension; unseen names get new ids."""
+def get_or_create_fuels(existing: DataFrame, names: DataFrame, next_id: int | None = None) -> DataFrame:
+    """UPS-03: global fuel dimension; unseen names get new ids (from ``next_id`` on, else after the greatest)."""
     new = (names.select(F.col("fuel").alias("name")).distinct()
            .join(existing.select("name"), "name", "left_anti"))
-    next_id = existing.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
+    first = existing.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar() if next_id is None else F.lit(next_id)
     return existing.select("id", "name").unionByName(
-        assign_ids(new, ["name"], start_col=next_id).select("id", "name"))
+        assign_ids(new, ["name"], start_col=first).select("id", "name"))
 
 
 def _station_rows(flat: DataFrame, dataset: str) -> DataFrame:
@@ -137,11 +145,24 @@ def _station_rows(flat: DataFrame, dataset: str) -> DataFrame:
                        F.coalesce(F.col("Region"), F.lit("")).alias("region"))
 
 
+def _poll_order(flat: DataFrame) -> Column:
+    return F.struct(F.col("snapshot"), *([F.col("pos")] if "pos" in flat.columns else []))
+
+
+def station_updates(flat: DataFrame, dataset: str) -> DataFrame:
+    """The latest record of each station key of one or many polls."""
+    return _latest(_station_rows(flat, dataset), ["dataset", "name", "adress"], _poll_order(flat), STATION_ATTRS)
+
+
+def fuel_names(flat: DataFrame) -> DataFrame:
+    """The fuels of the valid price entries."""
+    return valid_entries(feed_entries(flat)).select(F.col("fuel").alias("name")).distinct()
+
+
 def upsert_dimensions(flat: DataFrame, dataset: str, stations: DataFrame, fuels: DataFrame
                       ) -> tuple[DataFrame, DataFrame]:
     """Stations (UPS-02) and fuels (UPS-03) after one or many polls."""
-    order_cols = [F.col("snapshot")] + ([F.col("pos")] if "pos" in flat.columns else [])
-    stations2 = upsert_stations(stations, _station_rows(flat, dataset), F.struct(*order_cols))
+    stations2 = upsert_stations(stations, _station_rows(flat, dataset), _poll_order(flat))
     fuels2 = get_or_create_fuels(fuels, valid_entries(feed_entries(flat)))
     return stations2, fuels2
 

@@ -15,7 +15,7 @@ document without ``features`` is an empty poll. A corrupt line is matched with
 its snapshot by its raw text; lines whose snapshot can't be read go to the
 ``rejects`` table with their file, so none is lost without a trace.
 
-Per micro-batch: dimension upserts written as a new version → facts appended
+Per micro-batch: dimension upserts written as a new version of the buckets they touch → facts appended
 to ``prices/day=<d>/batch=<id>`` → snapshot rows published last (STR-03). The batch
 id makes a replay overwrite its own output (idempotent). A poll whose files
 arrive in several batches has a row in each; the store reads them as one
@@ -34,6 +34,7 @@ from pumpwatch.functions.keys import assign_ids
 from pumpwatch.model import STATUS_ERROR, STATUS_PROCESSED
 from pumpwatch.operators import ingest as ig
 from pumpwatch.operators.counts import with_price_counts
+from pumpwatch.session import ensure_checkpoint_dir
 from pumpwatch.sinks.store import PriceStore
 from pumpwatch.sources import feed as fd
 
@@ -112,11 +113,13 @@ class FeedBatch:
         try:
             snaps, flat, sources = self.snapshots_and_features(batch, batch_id)
             version = batch_id + 1
-            stations, fuels = ig.upsert_dimensions(
-                flat, self.dataset, self.store.read_dim("stations", before=version),
-                self.store.read_dim("fuels", before=version))
-            stations = self.store.write_dim("stations", stations, version)
-            fuels = self.store.write_dim("fuels", fuels, version)
+            # only the buckets of this batch's keys are read and rewritten; they hold all it resolves to
+            ensure_checkpoint_dir(batch.sparkSession)
+            stations = self.store.upsert_dim(
+                "stations", ig.station_updates(flat, self.dataset).checkpoint(eager=True), ig.merge_stations, version)
+            fuels = self.store.upsert_dim(
+                "fuels", ig.fuel_names(flat).checkpoint(eager=True),
+                lambda old, names, first: ig.get_or_create_fuels(old, names.withColumnRenamed("name", "fuel"), first), version)
             prices = ig.resolve_prices(flat, self.dataset, stations, fuels)
             self.store.append_facts(prices, snaps, batch_id)
             published = self.store.read_facts(batch_id).drop("day", "batch")

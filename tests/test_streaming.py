@@ -194,3 +194,55 @@ def test_facts_by_date_replay_and_range(spark, tmp_path):
     assert "day#" in filters.split("]")[0], plan
     assert store.published_prices(start="2025-01-01 00:00:00").count() == 0
     assert store.read_facts(5).count() == 0
+
+
+STATION = "id long, dataset string, name string, adress string, city string, region string, longitude double, latitude double"
+
+
+def put(spark, store, names, version, city):
+    from pumpwatch.operators.ingest import merge_stations
+    rows = spark.createDataFrame([("d", n, "street", city, "R", 1.0, 2.0) for n in names],
+                                 STATION.removeprefix("id long, "))
+    return store.upsert_dim("stations", rows, merge_stations, version)
+
+
+def test_upsert_rewrites_only_the_buckets_of_its_keys(spark, tmp_path):
+    store = PriceStore(spark, str(tmp_path / "store"), buckets=64)
+    store.write_dim("stations", spark.createDataFrame(
+        [(i, "d", f"s{i}", "street", "c0", "R", 1.0, 2.0) for i in range(1, 1001)], STATION), 0)
+    names = [f"s{i}" for i in range(500, 505)] + [f"n{i}" for i in range(5)]
+    out = put(spark, store, names, 1, "c1")
+    assert {n for n in names} <= {r.name for r in out.collect()}
+    assert 0 < len(list((tmp_path / "store/stations/v=1").glob("bucket=*"))) <= 10
+    now = {r.name: r for r in store.read_dim("stations").collect()}
+    assert len(now) == 1005 and sorted(r.id for r in now.values()) == list(range(1, 1006))
+    assert {n for n, r in now.items() if r.city == "c1"} == set(names) and now["s500"].id == 500
+    assert store.read_dim("stations", before=1).count() == 1000
+
+
+def test_a_replayed_or_failed_upsert_gives_equal_ids_and_old_versions_are_not_read(spark, tmp_path):
+    store = PriceStore(spark, str(tmp_path / "store"), buckets=8)
+    store.write_dim("stations", spark.createDataFrame([], STATION), 0)
+    for version, names in ((1, ["a", "b"]), (2, ["b", "c"]), (3, []), (5, ["d"])):
+        put(spark, store, names, version, f"c{version}")
+        first = sorted(tuple(r) for r in store.read_dim("stations").collect())
+        put(spark, store, names, version, f"c{version}")
+        assert sorted(tuple(r) for r in store.read_dim("stations").collect()) == first
+    assert [(r[0], r[2], r[4]) for r in first] == [(1, "a", "c1"), (2, "b", "c2"), (3, "c", "c2"), (4, "d", "c5")]
+    assert sorted(store._slots("stations").values()) == [3, 5]
+    files = store.read_dim("stations").inputFiles()      # a folder a bucket, of the version that wrote it last
+    assert len({f.split("bucket=")[1].split("/")[0] for f in files}) == len({f.rsplit("/", 1)[0] for f in files})
+    assert store.read_dim("stations", before=2).count() == 2
+    # a pointer slot lost half-way through being overwritten: the other one stands
+    slot = next(k for k, v in store._slots("stations").items() if v == 3)
+    store._write_row([], "v long", f"{store.root}/stations/current/slot={slot}")
+    assert sorted(tuple(r) for r in store.read_dim("stations").collect()) == first
+
+
+def test_a_store_without_a_dimension_says_so(spark, tmp_path):
+    import pytest
+    store = PriceStore(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError):
+        store.read_dim("fuels")
+    with pytest.raises(ValueError):
+        put(spark, store, ["a"], 1, "c")
