@@ -240,43 +240,60 @@ def vanished_since_previous(prices: DataFrame, times: list | None = None) -> Dat
 
 
 # ---------------------------------------------------------------- OP-03
-#: Parts that the rows of a key are dealt over in the second pass of price_moves.
-SALTS = 16
+#: A key with more than one in so many of all rows is dealt over parts in the second pass of newest_moves.
+HOT_SHARES = 256
 
 
-def price_moves(prices: DataFrame, stations: DataFrame, tie: str | None = None) -> DataFrame:
-    """Newest price move of each (station, fuel) (WIN-01..03, PRJ-04).
+def places(prices: DataFrame, tie: str | None = None) -> DataFrame:
+    """(key, price, place) of each row; places are in order of (time, ``tie``), without ``tie`` of (time, price)."""
+    place = F.struct(F.col(TS).alias("at"), F.col(tie or "price").alias("tie"))
+    return prices.select(*KEY, "price", place.alias("place"))
 
-    The rows of a key are in order of (time, ``tie``); a move is a row whose
-    price differs from that of the row before it. ``tie`` names a column that
-    orders rows of one snapshot; without one they are ordered by price, so
-    duplicate rows always have a defined order. No key with a move is missed.
+
+def hot_parts(counts: DataFrame, keys: list[str], rows: str = "_n", shares: int = HOT_SHARES) -> DataFrame:
+    """(keys, _parts) of the keys with over 1/``shares`` of all rows: into how many parts to deal
+    their rows so that each is as large as the smallest hot key.
+
+    ``counts``: a row a key with its number of ``rows``. Fewer than ``shares`` keys
+    can be that frequent, so the result has a proven bound and may be broadcast.
+    """
+    total = counts.agg(F.sum(rows)).scalar()
+    share = F.col(rows).cast("double") * shares / total
+    return counts.where(share > 1).select(*keys, F.ceil(share).cast("int").alias("_parts"))
+
+
+def newest_moves(p: DataFrame) -> DataFrame:
+    """(key, origin, old, place, now) of each key's newest move, from (key, price, place).
 
     No window is partitioned by key. Pass 1 keeps the last place of each (key,
     price): the price at the key's last place is the current one, the last place
     of any other price is where the move began. Pass 2 finds the first row after
-    that place; the rows of a key are dealt over SALTS parts there, joined and
-    aggregated part by part and then together, so a hot key isn't one task.
-    Rounding follows SQL ROUND (HALF_UP on DECIMAL), the delta is taken from the
-    unrounded prices.
+    that place. Pass 1 has also counted the rows of each key: those of the few hot
+    keys are dealt over parts by their share, joined and aggregated part by part
+    and then together; the rows of all other keys stay one part.
     """
-    place = F.struct(F.col(TS).alias("at"), F.col(tie or "price").alias("tie"))
-    p = prices.select(*KEY, "price", place.alias("place"))
-    per_price = p.groupBy(*KEY, "price").agg(F.max("place").alias("place"))
-    current = per_price.groupBy(*KEY).agg(F.max_by("price", "place").alias("now"))
-    origin = (per_price.join(current, KEY).where(F.col("price") != F.col("now"))
+    per_price = p.groupBy(*KEY, "price").agg(F.max("place").alias("place"), F.count(F.lit(1)).alias("_n"))
+    per_key = per_price.groupBy(*KEY).agg(F.max_by("price", "place").alias("now"), F.sum("_n").alias("_n"))
+    hot = F.broadcast(hot_parts(per_key, KEY))
+    last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
+    origin = (per_price.drop("_n").join(per_key, KEY).where(F.col("price") != F.col("now"))
               .groupBy(*KEY).agg(F.max("place").alias("origin"), F.max_by("price", "place").alias("old"),
                                  F.max("now").alias("now")))
-    dealt = origin.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
-    rows = p.withColumn("_part", F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int"))
+    dealt = origin.join(hot, KEY, "left").select(*KEY, "origin", "old", "now", F.explode(F.sequence(F.lit(0), last)).alias("_part"))
+    rows = p.join(hot, KEY, "left").select(*KEY, "place", F.pmod(F.xxhash64("place"), last + 1).cast("int").alias("_part"))
     part = (rows.join(dealt, [*KEY, "_part"]).where(F.col("place") > F.col("origin"))
             .groupBy(*KEY, "_part").agg(F.min("place").alias("place"), F.max("origin").alias("origin"),
                                         F.max("old").alias("old"), F.max("now").alias("now")))
-    move = part.groupBy(*KEY).agg(F.min("place").alias("place"), F.max("origin").alias("origin"),
-                                  F.max("old").alias("old"), F.max("now").alias("now"))
+    return part.groupBy(*KEY).agg(F.max("origin").alias("origin"), F.max("old").alias("old"),
+                                  F.min("place").alias("place"), F.max("now").alias("now"))
+
+
+def move_report(moves: DataFrame, stations: DataFrame) -> DataFrame:
+    """Moves with their stations; rounding follows SQL ROUND (HALF_UP on DECIMAL), the delta is
+    taken from the unrounded prices."""
     st = stations.select(F.col("id").alias("station_id"),
                          F.col("name").alias("station_name"), "city")
-    return (move.join(st, "station_id")
+    return (moves.join(st, "station_id")
             .select("station_id", "station_name", "city", "fuel_type",
                     F.col("origin.at").alias("prev_fetched_at"), F.col("place.at").alias(TS),
                     F.round("old", 1).cast("double").alias("prev_price"),
@@ -284,6 +301,17 @@ def price_moves(prices: DataFrame, stations: DataFrame, tie: str | None = None)
                     F.round(F.col("now") - F.col("old"), 1).cast("double").alias("delta")))
 
 
+def price_moves(prices: DataFrame, stations: DataFrame, tie: str | None = None) -> DataFrame:
+    """Newest price move of each (station, fuel) (WIN-01..03, PRJ-04).
+
+    The rows of a key are in order of (time, ``tie``); a move is a row whose
+    price differs from that of the row before it. ``tie`` names a column that
+    orders rows of one snapshot; without one they are ordered by price, so
+    duplicate rows always have a defined order. No key with a move is missed.
+    """
+    return move_report(newest_moves(places(prices, tie)), stations)
+
+
 def top_rises(moves: DataFrame, n: int = 10) -> DataFrame:
     """TOP-02: biggest rises on the rounded delta (a change rounding to 0.0 is in neither list)."""
     return (moves.where(F.col("delta") > 0)

@@ -10,11 +10,14 @@ from pumpwatch.plans.feed_queries import (FEED_DATASET, FEED_CTE, _existing_feed
                                           _existing_fuels, feature_lines)
 from pumpwatch import model
 from pumpwatch.operators.counts import with_price_counts
+from pumpwatch.operators.ingest import merge_stations
+from pumpwatch.plans.history_queries import E_CTE, MOVES_SQL
 from pumpwatch.plans.registry import query
 from pumpwatch.session import work_dir
 from pumpwatch.sources.tables import read_table
 from pumpwatch.sinks.store import PriceStore
 from pumpwatch.streaming.ingest import start_ingest
+from pumpwatch.streaming.moves import MoveState
 
 LANDING_FILES = 8
 
@@ -171,3 +174,40 @@ def store_range_prices(spark, sf_dir):
         store.append("snapshots", with_price_counts(own, store.read_facts(batch)), batch)
     return (store.published_prices("1996-03-15 00:00:00", "1997-02-10 00:00:00").groupBy("snapshot_id", "station_id")
             .agg(F.count(F.lit(1)).alias("prices"), F.sum("price").alias("amount")))
+
+
+@query("store_dimension_upserts", ids="UPS-02 STR-01 STR-03 (upserts into hash buckets of a dimension, the last one replayed)", sql="""
+WITH st AS (
+  SELECT s_suppkey AS id, s_name AS name, s_suppkey || ' Main St' AS adress, n_name AS city, r_name AS region
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+first AS (SELECT id, name, CASE id % 4 WHEN 0 THEN 'b1' ELSE city END AS city, region FROM st WHERE id % 2 = 0),
+second AS (SELECT (SELECT max(id) FROM first) + row_number() OVER (ORDER BY name, adress) AS id, name, 'b2' AS city, region
+           FROM st WHERE id % 4 = 1),
+third AS (SELECT (SELECT max(id) FROM second) + row_number() OVER (ORDER BY name, adress) AS id, name, 'b2' AS city, region
+          FROM st WHERE id % 4 = 3)
+SELECT * FROM first UNION ALL SELECT * FROM second UNION ALL SELECT * FROM third
+""")
+def store_dimension_upserts(spark, sf_dir):
+    store = PriceStore(spark, f"{work_dir(spark, 'stream-dims')}/store")
+    stations = model.stations_o(spark, sf_dir).withColumn("dataset", F.lit(FEED_DATASET)).select(
+        "id", "dataset", "name", "adress", "city", "region", "longitude", "latitude")
+    store.write_dim("stations", stations.where("id % 2 = 0"), 0)
+    for version, some in ((1, (0, 1)), (2, (1, 3)), (2, (1, 3))):
+        polled = stations.where((F.col("id") % 4).isin(*some)).drop("id").withColumn("city", F.lit(f"b{version}"))
+        store.upsert_dim("stations", polled, merge_stations, version)
+    return store.read_dim("stations").select("id", "name", "city", "region")
+
+
+@query("stream_price_moves", ids="OP-03 WIN-01 WIN-02 WIN-03 STR-01 STR-03 (newest moves carried from batch to batch, "
+       "late rows in the last one)", sql=E_CTE + MOVES_SQL.format(src="obs_raw", tie="event_id") + "SELECT * FROM report")
+def stream_price_moves(spark, sf_dir):
+    base = work_dir(spark, "stream-moves")
+    raw = model.obs_raw(spark, sf_dir, with_event_id=True)
+    middle = raw.agg(F.percentile_approx(F.unix_seconds("fetched_at"), 0.5)).scalar()
+    late, old = F.col("event_id") % 20 == 0, F.unix_seconds("fetched_at") < middle
+    state = MoveState(PriceStore(spark, f"{base}/store"), tie="event_id")
+    for part in (old & ~late, ~old & ~late, late):
+        raw.where(part).write.mode("append").parquet(f"{base}/landing")
+        (spark.readStream.schema(raw.schema).parquet(f"{base}/landing").writeStream.foreachBatch(state)
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    return state.report(model.stations_e(spark, sf_dir))

@@ -37,7 +37,7 @@ from pumpwatch.model import STATUS_ERROR, STATUS_PROCESSED
 
 FACTS = "snapshot_id long, station_id long, fuel_id long, price decimal(10,2)"
 #: The columns that a dimension's buckets are told by.
-DIM_KEYS = {"stations": ("dataset", "name", "adress"), "fuels": ("name",)}
+DIM_KEYS = {"stations": ("dataset", "name", "adress"), "fuels": ("name",), "moves": ("station_id", "fuel_type")}
 MANIFEST = "version long, previous long, buckets int, schema string, entries array<struct<bucket int, v long, top long>>"
 
 
@@ -97,7 +97,8 @@ class PriceStore:
         (rows.select("*", self._bucket(name, buckets)).hint("rebalance", "bucket")
          .write.mode("overwrite").partitionBy("bucket").parquet(path))
         written = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(path)
-        tops = written.groupBy("bucket").agg(F.max("id").alias("top")).collect()     # a row a bucket
+        top = F.max("id") if "id" in schema.names else F.lit(None).cast("long")
+        tops = written.groupBy("bucket").agg(top.alias("top")).collect()     # a row a bucket
         entries = {e.bucket: (e.bucket, e.v, e.top) for e in base.entries} if keep and base else {}
         entries |= {r.bucket: (r.bucket, version, r.top) for r in tops}
         row = (version, base.version if base else None, buckets, schema.json(), sorted(entries.values()))
@@ -111,6 +112,9 @@ class PriceStore:
     def _write_row(self, rows: list[tuple], schema: str, path: str) -> None:
         self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
 
+    def has_dim(self, name: str) -> bool:
+        return bool(self._slots(name))
+
     def write_dim(self, name: str, df: DataFrame, version: int) -> DataFrame:
         """Write a whole dimension as a new version and return it read back (lineage cut)."""
         return self._write_version(name, df, version, self._manifest(name, before=version), keep=False)

@@ -76,6 +76,24 @@ def test_hot_key_is_dealt_over_parts(spark):
     assert [(r.prev_fetched_at, r.fetched_at) for r in var] == [(t(20), t(21))]
 
 
+def test_only_hot_keys_are_dealt_and_evenly(spark):
+    counts = spark.createDataFrame([(0, 3000)] + [(i, 10) for i in range(1, 601)], "k long, _n long")
+    got = {r.k: r._parts for r in ob.hot_parts(counts, ["k"]).collect()}
+    assert got == {0: 86}                                   # a third of all rows: 86 of 256 parts
+    assert 3000 / got[0] <= 9000 / ob.HOT_SHARES
+    assert ob.hot_parts(counts.where("k < 0"), ["k"]).count() == 0
+
+
+def test_a_hot_key_beside_many_gives_the_moves_of_brute_force(spark):
+    import random
+    r = random.Random(7)
+    rows = [(1, "d", r.randint(1, 28), f"{r.randint(1, 3)}.00") for _ in range(400)]
+    rows += [(2, f"f{i}", r.randint(1, 28), f"{r.randint(1, 3)}.00") for i in range(300) for _ in range(3)]
+    got = {(x.station_id, x.fuel_type): (x.prev_fetched_at, x.fetched_at, x.prev_price, x.price)
+           for x in ob.price_moves(prices(spark, rows), stations(spark)).collect()}
+    assert got == {k: (t(a[0]), t(b[0]), float(a[1]), float(b[1])) for k, (a, b) in brute_last_change(rows).items()}
+
+
 def test_gap_lag_vs_snapshot_report(spark):
     # key present at t1 and t3, absent at t2
     rows = [(1, "d", 1, "1.00"), (1, "d", 3, "2.00"), (2, "d", 1, "1.00"), (2, "d", 2, "1.00"),
