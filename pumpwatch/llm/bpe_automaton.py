@@ -14,11 +14,17 @@ as (parent, arc taken away, time) and tokens as (state they lead to, parts,
 time): arrays of the size of the vocabulary. The states above the one that a
 token leads to are the copies made for the token itself, then those made for
 its right part until the token came to be, and so on; so whether a state has an
-arc is found by looking up the few merges of such parts, and each answer is
-kept as an entry of the transition table. Encoding walks a word from left to
-right, long arcs first, and steps back where no arc goes on; as each prefix has
-one path only, a place left that way is never tried again. Decoding emits the
-labels of the arcs.
+arc is found by looking up the few merges of such parts.
+
+Encoding reads symbols, not tokens, so the arcs are spelt out and the result is
+made deterministic: a state of this second automaton is the set of places in it
+at once, each the arc before and the part of the next arc that is read already.
+Every prefix of a word has one path only, so at most one of the places is at the
+end of an arc, and the transition says which arc that is. Transitions are made
+when first asked for and kept in a table (state, symbol) -> (state, arc). A word
+is encoded by one step a symbol, without stepping back; at its end the arcs of
+its path are picked from the last to the first, each telling where it began.
+Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -38,7 +44,12 @@ from tokenizers import Tokenizer
 from pumpwatch.llm.common import mapped, text_bytes
 
 #: Words kept with their encoding in a Python worker, and their bytes; twice that at most.
-CACHE_WORDS, CACHE_BYTES = 200_000, 16 << 20
+CACHE_WORDS, CACHE_BYTES = 160_000, 16 << 20
+#: States, transitions and answers kept in a Python worker; beyond that the table begins anew, with equal results.
+STATES, TRANSITIONS, PAIRS = 20_000, 100_000, 200_000
+#: Bits of a token and of a symbol in the keys of the tables; the highest bit of a symbol marks the end of a word.
+TOKEN_BITS, SYMBOL_BITS = 20, 22
+TOKEN_MASK, END_BIT = (1 << TOKEN_BITS) - 1, 1 << (SYMBOL_BITS - 1)
 #: Code points below this have had their category since the first versions of Unicode.
 PLAIN = 0x230  # twice that holds their lower case forms but for a few
 
@@ -72,11 +83,38 @@ class Automaton:
         self.known = {i for t, i in vocab.items() if t not in merged}
         for time, (a, b) in enumerate(merges):
             self._gadget(vocab[a], vocab[b], vocab[a + b], time)
-        self.table: dict[int, bool] = {}
-        reachable = {t: i for t, i in vocab.items() if i in self.known}
-        self.inner = {t: i for t, i in reachable.items() if not (end and t.endswith(end))}
-        self.final = {t[:len(t) - len(end)]: i for t, i in reachable.items() if t.endswith(end)}
-        self.longest = max(map(len, [*self.inner, *self.final]), default=0)
+        self._spell(end)
+
+    def _spell(self, end: str) -> None:
+        """The symbols of all arcs as a trie: (node, symbol) -> node, and the arcs that end at a node."""
+        self.child: dict[int, int] = {}
+        self.arc: dict[int, int] = {}      # arcs within a word
+        self.final: dict[int, int] = {}    # arcs at its end
+        self.length: dict[int, int] = {}
+        nodes = 1
+        for token in self.known:
+            label = self.label[token]
+            last = label.endswith(end)
+            symbols, node = label[:len(label) - len(end)] if last else label, 0
+            for c in symbols:
+                key = node << SYMBOL_BITS | ord(c)
+                node = self.child.get(key, nodes)
+                if node == nodes:
+                    self.child[key] = nodes
+                    nodes += 1
+            self.length[token] = len(symbols)
+            if last:
+                self.final[node] = token
+            if not (end and last):
+                self.arc[node] = token
+        self._begin()
+
+    def _begin(self) -> None:
+        """An empty table; state 0 is the beginning of a word: no arc before, nothing of the next one read."""
+        self.places: list[tuple[tuple[int, int], ...]] = [((0, -1),)]   # of a state: (node, arc before)
+        self.number = {self.places[0]: 0}
+        self.table: dict[int, int] = {}
+        self.pairs: dict[int, bool] = {}
 
     def _gadget(self, a: int, b: int, ab: int, time: int) -> None:
         state = self.leads[a]
@@ -127,40 +165,72 @@ class Automaton:
             until = since[token]
             token = left[token]
 
-    def encode_word(self, symbols: str) -> list[int]:
-        """Token ids of the only path that spells ``symbols`` (without the end mark)."""
-        n, longest = len(symbols), self.longest
-        whole = self.final.get(symbols)
-        if whole is not None:
-            return [whole]
-        inner, out, begins, dead = self.inner.get, [], [], set()
-        at, size = 0, min(longest, n)
-        while at < n:
-            while size:
-                stop = at + size
-                token = inner(symbols[at:stop]) if stop < n else self.final.get(symbols[at:])
-                if token is not None and stop not in dead and (not out or self._arc(out[-1], token)):
-                    out.append(token)
-                    begins.append(at)
-                    at, size = stop, min(longest, n - stop)
-                    break
-                size -= 1
-            else:   # no arc from here: the path to this prefix isn't part of the word's path
-                dead.add(at)
-                out.pop()
-                size, at = at - begins[-1] - 1, begins.pop()
-        return out
-
-    def _arc(self, last: int, token: int) -> bool:
-        """An entry of the transition table, filled in when first asked for."""
-        table, key = self.table, last << 20 | token
-        ok = table.get(key)
+    def _after(self, before: int, arc: int) -> bool:
+        """Whether ``arc`` may come after ``before`` (-1: at the beginning); answers are kept, there are few."""
+        key = before << TOKEN_BITS | arc
+        ok = self.pairs.get(key)
         if ok is None:
-            if len(table) >= 4 * CACHE_WORDS:
-                table.clear()
-            ok = table[key] = self.follows(last, token)
+            ok = self.pairs[key] = before < 0 or self.follows(before, arc)
         return ok
 
+    def _step(self, state: int, symbol: int) -> int:
+        """A transition, made when first asked for: the next state and the arc that ends there."""
+        went, ended, child, after = [], None, self.child.get, self._after
+        for node, before in self.places[state]:
+            node = child(node << SYMBOL_BITS | symbol)
+            if node is not None:
+                went.append((node, before))
+                arc = self.arc.get(node)
+                if ended is None and arc is not None and after(before, arc):
+                    ended = arc
+        if ended is None:
+            raise ValueError(f"no path spells the symbol {chr(symbol)!r}")
+        places = (*went, (0, ended))
+        to = self.number.setdefault(places, len(self.places))
+        if to == len(self.places):
+            self.places.append(places)
+        made = self.table[state << SYMBOL_BITS | symbol] = to << TOKEN_BITS | ended
+        return made
+
+    def _final(self, state: int, symbol: int) -> int:
+        """The arc that ends the word with its last symbol, which carries the end mark; kept in the table too."""
+        key = state << SYMBOL_BITS | symbol | END_BIT
+        arc = self.table.get(key)
+        if arc is None:
+            for node, before in self.places[state]:
+                arc = self.final.get(self.child.get(node << SYMBOL_BITS | symbol))
+                if arc is not None and self._after(before, arc):
+                    break
+            else:
+                raise ValueError(f"no path ends with the symbol {chr(symbol)!r}")
+            self.table[key] = arc
+        return arc
+
+    def encode_word(self, symbols: str) -> list[int]:
+        """Token ids of the only path that spells ``symbols`` (without the end mark)."""
+        if len(self.places) > STATES or len(self.table) > TRANSITIONS:
+            pairs = self.pairs
+            self._begin()
+            if len(pairs) <= PAIRS:
+                self.pairs = pairs
+        if not symbols:
+            return []
+        state, ended, step = 0, [], self.table.get
+        stop = len(symbols) - 1 if self.end else len(symbols)
+        for c in map(ord, symbols[:stop]):
+            found = step(state << SYMBOL_BITS | c)
+            if found is None:
+                found = self._step(state, c)
+            state = found >> TOKEN_BITS
+            ended.append(found & TOKEN_MASK)
+        if self.end:
+            ended.append(self._final(state, ord(symbols[-1])))
+        out, at = [], len(symbols)
+        while at:
+            out.append(ended[at - 1])
+            at -= self.length[out[-1]]
+        return out[::-1]
+
 
 def plain_words() -> re.Pattern:
     """The split pattern for texts of characters below ``PLAIN``, as explicit classes.

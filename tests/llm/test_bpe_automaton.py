@@ -80,6 +80,33 @@ def test_gadgets_on_small_vocabularies():
                     assert auto.follows(last, token) == auto.allows(auto.leads[last], token)
 
 
+def test_a_table_begun_anew_gives_equal_words(monkeypatch):
+    r = random.Random(6)
+    known = list("abc")
+    merges = []
+    for a, b in (("a", "b"), ("b", "c"), ("ab", "ab"), ("c", "ab"), ("a", "a"), ("aa", "bc")):
+        merges.append((a, b))
+        known.append(a + b)
+    auto = bpe.Automaton({t: i for i, t in enumerate(known)}, merges, "")     # without an end mark
+    rank = {m: i for i, m in enumerate(merges)}
+    words = ["".join(r.choice("abc") for _ in range(r.randint(0, 20))) for _ in range(300)]
+    want = [plain_bpe([*w], rank) for w in words]
+    assert [[auto.label[i] for i in auto.encode_word(w)] for w in words] == want
+    made = len(auto.table)
+    assert [[auto.label[i] for i in auto.encode_word(w)] for w in words] == want and len(auto.table) == made
+    monkeypatch.setattr(bpe, "STATES", 3)
+    assert [[auto.label[i] for i in auto.encode_word(w)] for w in words] == want
+    with pytest.raises(ValueError):
+        auto.encode_word("abx")
+
+
+def test_one_step_a_symbol(both):
+    auto = both[0].automaton
+    auto._begin()
+    auto.encode_word("ab" * 2000)
+    assert len(auto.places) < 100      # a long word goes round in the states of its period
+
+
 def test_documents(spark, both, odd, empty):
     rows = bpe.encode_documents(odd, PATH).collect()
     texts = sorted((r.text or "" for r in odd.collect()))
