@@ -44,9 +44,9 @@ from tokenizers import Tokenizer
 from pumpwatch.llm.common import mapped, text_bytes
 
 #: Words kept with their encoding in a Python worker, and their bytes; twice that at most.
-CACHE_WORDS, CACHE_BYTES = 160_000, 16 << 20
+CACHE_WORDS, CACHE_BYTES = 200_000, 16 << 20
 #: States, transitions and answers kept in a Python worker; beyond that the table begins anew, with equal results.
-STATES, TRANSITIONS, PAIRS = 20_000, 100_000, 200_000
+STATES, TRANSITIONS, PAIRS = 100_000, 400_000, 200_000
 #: Bits of a token and of a symbol in the keys of the tables; the highest bit of a symbol marks the end of a word.
 TOKEN_BITS, SYMBOL_BITS = 20, 22
 TOKEN_MASK, END_BIT = (1 << TOKEN_BITS) - 1, 1 << (SYMBOL_BITS - 1)
@@ -111,7 +111,8 @@ class Automaton:
 
     def _begin(self) -> None:
         """An empty table; state 0 is the beginning of a word: no arc before, nothing of the next one read."""
-        self.places: list[tuple[tuple[int, int], ...]] = [((0, -1),)]   # of a state: (node, arc before)
+        # of a state: its places, each a node and 1 + the arc before (0: none)
+        self.places: list[tuple[int, ...]] = [(0,)]
         self.number = {self.places[0]: 0}
         self.table: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
@@ -166,26 +167,31 @@ class Automaton:
             token = left[token]
 
     def _after(self, before: int, arc: int) -> bool:
-        """Whether ``arc`` may come after ``before`` (-1: at the beginning); answers are kept, there are few."""
+        """Whether ``arc`` may come after the arc ``before - 1`` (0: at the beginning); answers are kept, there are few."""
         key = before << TOKEN_BITS | arc
         ok = self.pairs.get(key)
         if ok is None:
-            ok = self.pairs[key] = before < 0 or self.follows(before, arc)
+            ok = self.pairs[key] = before == 0 or self.follows(before - 1, arc)
         return ok
 
     def _step(self, state: int, symbol: int) -> int:
         """A transition, made when first asked for: the next state and the arc that ends there."""
-        went, ended, child, after = [], None, self.child.get, self._after
-        for node, before in self.places[state]:
-            node = child(node << SYMBOL_BITS | symbol)
+        went, ended, child, arcs, pairs = [], None, self.child.get, self.arc.get, self.pairs.get
+        for place in self.places[state]:
+            node = child(place >> TOKEN_BITS << SYMBOL_BITS | symbol)
             if node is not None:
-                went.append((node, before))
-                arc = self.arc.get(node)
-                if ended is None and arc is not None and after(before, arc):
-                    ended = arc
+                before = place & TOKEN_MASK
+                went.append(node << TOKEN_BITS | before)
+                if ended is None:
+                    arc = arcs(node)
+                    if arc is not None:
+                        ok = pairs(before << TOKEN_BITS | arc)
+                        if self._after(before, arc) if ok is None else ok:
+                            ended = arc
         if ended is None:
             raise ValueError(f"no path spells the symbol {chr(symbol)!r}")
-        places = (*went, (0, ended))
+        went.append(ended + 1)
+        places = tuple(went)
         to = self.number.setdefault(places, len(self.places))
         if to == len(self.places):
             self.places.append(places)
@@ -197,9 +203,9 @@ class Automaton:
         key = state << SYMBOL_BITS | symbol | END_BIT
         arc = self.table.get(key)
         if arc is None:
-            for node, before in self.places[state]:
-                arc = self.final.get(self.child.get(node << SYMBOL_BITS | symbol))
-                if arc is not None and self._after(before, arc):
+            for place in self.places[state]:
+                arc = self.final.get(self.child.get(place >> TOKEN_BITS << SYMBOL_BITS | symbol))
+                if arc is not None and self._after(place & TOKEN_MASK, arc):
                     break
             else:
                 raise ValueError(f"no path ends with the symbol {chr(symbol)!r}")
