@@ -36,9 +36,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with what they decode to."""
+    """Token ids of every document, with what they decode to.
+
+    Tables are kept small: the workers also hold what the stages before have left in them.
+    """
     configure(spark)
-    return bpe_automaton.encode_documents(docs, word_bpe())
+    return bpe_automaton.encode_documents(docs, word_bpe(), memory=0.25)
 
 
 STAGES = [

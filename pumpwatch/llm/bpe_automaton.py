@@ -83,8 +83,13 @@ class Automaton:
         self.known = {i for t, i in vocab.items() if t not in merged}
         for time, (a, b) in enumerate(merges):
             self._gadget(vocab[a], vocab[b], vocab[a + b], time)
+        self.limit()
         self._spell(end)
 
+    def limit(self, share: float = 1.0) -> None:
+        """How much of the bounds above the tables may take; results are equal."""
+        self.states, self.transitions, self.answers = (int(share * n) for n in (STATES, TRANSITIONS, PAIRS))
+
     def _spell(self, end: str) -> None:
         """The symbols of all arcs as a trie: (node, symbol) -> node, and the arcs that end at a node."""
         self.child: dict[int, int] = {}
@@ -214,10 +219,10 @@ class Automaton:
 
     def encode_word(self, symbols: str) -> list[int]:
         """Token ids of the only path that spells ``symbols`` (without the end mark)."""
-        if len(self.places) > STATES or len(self.table) > TRANSITIONS:
+        if len(self.places) > self.states or len(self.table) > self.transitions:
             pairs = self.pairs
             self._begin()
-            if len(pairs) <= PAIRS:
+            if len(pairs) <= self.answers:
                 self.pairs = pairs
         if not symbols:
             return []
@@ -273,6 +278,12 @@ class Codec:
         self.new: dict[str, tuple[int, bytes, str]] = {}
         self.old: dict[str, tuple[int, bytes, str]] = {}
         self.held = 0
+        self.limit()
+
+    def limit(self, share: float = 1.0) -> None:
+        """How much of their bounds words and tables may take in this worker; results are equal."""
+        self.words, self.bytes = int(share * CACHE_WORDS), int(share * CACHE_BYTES)
+        self.automaton.limit(share)
 
     def split(self, text: str) -> list[str]:
         """The words of a text; those in byte symbols have a space before them."""
@@ -295,7 +306,7 @@ class Codec:
             found = (len(ids), b"".join(i.to_bytes(4, "little") for i in ids),
                      " ".join(self.label[i] for i in ids))
         size = len(word) + len(found[1]) + len(found[2])
-        if len(self.new) >= CACHE_WORDS or self.held + size > CACHE_BYTES:
+        if len(self.new) >= self.words or self.held + size > self.bytes:
             self.old, self.new, self.held = self.new, {}, 0
         self.new[word] = found
         self.held += size
@@ -336,9 +347,11 @@ ENCODED = ("doc_id long, n_tokens long, ids array<int>, ids_sha256 string, "
 
 
 def encode_documents(docs: DataFrame, path: str, contents: bool = True, doc_id: str = "doc_id",
-                     text: str = "text") -> DataFrame:
+                     text: str = "text", memory: float = 1.0) -> DataFrame:
     """Encode and decode every text with the tokenizer file at ``path`` (on every machine).
 
+    ``memory`` is the share of the bounds that words and tables kept in a worker may
+    take: less memory, more time, equal results.
     Returns doc_id, n_tokens, ids, their SHA-256 (as little-endian unsigned
     32-bit integers), the decoded text and its SHA-256; ``contents`` False
     leaves out ids and decoded. A null text counts as empty and has no tokens;
@@ -348,6 +361,7 @@ def encode_documents(docs: DataFrame, path: str, contents: bool = True, doc_id:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
+        c.limit(memory)
         for b in batches:
             rows = []
             for body in b["body"]:
