@@ -13,7 +13,9 @@ them spread over blocks of documents of a bounded size:
 2. Contexts. A repeated anchor goes on with the bytes of the strings that it
    stands for. Equal contexts in a block are settled there: all but the first
    are covered. Anchors with more than ``HOT`` places send each string under a
-   key of its own, so that no group grows with the corpus.
+   key of its own, dealt over ``SALTS`` parts by block: there is nothing to sort
+   in such a group, its earliest place is found part by part, then over the
+   parts, a row at a time. Groups that are sorted have ``HOT`` contexts at most.
 3. Suffix sort. The suffixes that begin at the anchors, and the reversed ones
    that end there, are sorted by merging runs; two suffixes are compared by
    searching the length of their common extension by bisection over prefix
@@ -30,7 +32,7 @@ The documents are shuffled once, packed, by block; Spark reuses that exchange.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,6 +47,8 @@ BLOCK_BYTES = 8 << 20
 #: Bytes that are hashed at a time; positions in them fit in PLACE bits.
 PLACE = 20
 HOT = 2000
+#: Parts of a string's places under a hot anchor: one row a block comes in, one a part goes on.
+SALTS = 256
 #: Contexts that are sorted together; a group of equal anchors is never cut.
 TOGETHER = 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -145,40 +149,72 @@ def _anchor_rows(length: int):
     return each
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame], key: str, rows: int) -> Iterator[pd.DataFrame]:
-    """Sorted batches put together so that no group of equal ``key`` is cut."""
+def _joined(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches put together to ``rows`` rows or more, but for the last; none is empty."""
     held: list[pd.DataFrame] = []
     for b in batches:
-        held.append(b)
-        if sum(map(len, held)) < rows:
-            continue
-        all_ = pd.concat(held, ignore_index=True)
-        cut = int(np.searchsorted(all_[key].to_numpy(), all_[key].iloc[-1]))
-        if cut:
-            yield all_.iloc[:cut]
-        held = [all_.iloc[cut:]]
+        if len(b):
+            held.append(b)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
     if held:
         yield pd.concat(held, ignore_index=True)
 
 
-def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in _whole_groups(batches, "hash", 100_000):
-        h = b["hash"].to_numpy()
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        size = np.diff(np.append(first, len(h)))
-        n = np.repeat(np.add.reduceat(b["n"].to_numpy(), first), size)
-        yield pd.DataFrame({"hash": h, "block": b["block"], "hot": n > HOT})[n > 1]
+class Groups:
+    """Rows sorted by key, handed on when there are enough, no group of equal keys cut."""
+
+    def __init__(self, rows: int) -> None:
+        self.rows, self.held = rows, []
+
+    def add(self, b: pd.DataFrame) -> pd.DataFrame:
+        self.held.append(b)
+        if sum(map(len, self.held)) < self.rows:
+            return b.iloc[:0]
+        all_ = pd.concat(self.held, ignore_index=True)
+        cut = int(np.searchsorted(all_["key"].to_numpy(), all_["key"].iloc[-1]))
+        self.held = [all_.iloc[cut:]]
+        return all_.iloc[:cut]
+
+    def rest(self) -> pd.DataFrame:
+        return pd.concat(self.held, ignore_index=True)
+
+
+def _repeated(most: int):
+    """Of rows sorted by hash, those of hashes in several places, and whether in over ``most``.
+
+    A hash is hot as soon as ``most`` places are passed; its rows then go on as
+    they come, so at most that many are held back for the next ones.
+    """
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, hot = None, None
+        for b in _joined(batches, 100_000):
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            h = b["hash"].to_numpy()
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            total = np.add.reduceat(b["n"].to_numpy(), first)
+            if h[0] == hot:
+                total[0] += most
+            told = len(h) if total[-1] > most else int(first[-1])
+            n = np.repeat(total, np.diff(np.append(first, len(h))))
+            hot, held = (h[-1] if told == len(h) else None), b.iloc[told:]
+            yield pd.DataFrame({"hash": h, "block": b["block"], "hot": n > most})[(n > 1) & (np.arange(len(h)) < told)]
+        if held is not None and held["n"].sum() > 1:
+            yield pd.DataFrame({"hash": held["hash"], "block": held["block"], "hot": False})
+    return each
 
 
-CONTEXT = "key long, block long, order long, copy long, place long, low int, high int, context binary"
+CONTEXT = ("key long, salt int, block long, order long, copy long, place long, low int, high int, "
+           "context binary")
 
 
-def _contexts(length: int):
+def _contexts(length: int, salts: int):
     """Cogrouped function: a block's documents and repeated anchors to contexts.
 
     A row with a context: an anchor at ``place``, strings that begin ``low`` to
     ``high`` bytes before it; the context begins ``high`` bytes before it. Without
-    one: a covered run from ``place`` to ``key``.
+    one: a covered run from ``place`` to ``key``. Strings of hot anchors have a salt.
     """
     def each(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         rows, seen = [], {}
@@ -205,13 +241,13 @@ def _contexts(length: int):
                             if not _is_first(seen, (key, 0, part), (int(block.order[d]), s)):
                                 cover.append((d, s, s + length))
                                 continue
-                            rows.append((key, number, int(block.order[d]), int(block.copy[d]), s, 0, 0, part))
+                            rows.append((key, number % salts, number, int(block.order[d]), int(block.copy[d]), s, 0, 0, part))
                         else:
-                            rows.append((k, number, int(block.order[d]), int(block.copy[d]), int(own[p]), p - b, p - a, part))
+                            rows.append((k, None, number, int(block.order[d]), int(block.copy[d]), int(own[p]), p - b, p - a, part))
                 for d, s, e in _merged(cover):
-                    rows.append((e, number, int(block.order[d]), int(block.copy[d]), s, None, None, None))
+                    rows.append((e, None, number, int(block.order[d]), int(block.copy[d]), s, None, None, None))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in CONTEXT.split(", ")]).astype(
-            {"low": "Int32", "high": "Int32"})
+            {"salt": "Int32", "low": "Int32", "high": "Int32"})
     return each
 
 
@@ -351,27 +387,71 @@ def earlier(rows: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
     return farthest, nearest
 
 
-RUN = "block long, order long, copy long, begin long, end long"
+RUN = "key long, block long, order long, copy long, begin long, end long, context binary"
 
 
 def _runs(length: int):
-    """Sorted contexts to covered runs of documents."""
+    """Contexts sorted by key, salt and place to covered runs of documents; and, with key and
+    context, the strings of hot anchors that are the earliest of their part."""
+    def cold(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        done = b["context"].isna()
+        yield _run_rows(b[done], b["place"][done], b["key"][done])
+        for part in _parts(b[~done]):
+            far, near = earlier(part, length)
+            hit = part[far >= 0]
+            yield _run_rows(hit, hit["place"] - far[far >= 0], hit["place"] - near[far >= 0] + length)
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _whole_groups(batches, "key", TOGETHER):
-            done = b["context"].isna()
-            settled = b[done]
-            yield pd.DataFrame({"block": settled["block"], "order": settled["order"], "copy": settled["copy"],
-                                "begin": settled["place"], "end": settled["key"]})
-            rows = b[~done]
-            for part in _parts(rows):
-                far, near = earlier(part, length)
-                hit = part[far >= 0]
-                yield pd.DataFrame({"block": hit["block"], "order": hit["order"], "copy": hit["copy"],
-                                    "begin": hit["place"] - far[far >= 0],
-                                    "end": hit["place"] - near[far >= 0] + length})
+        firsts, groups = Firsts(), Groups(TOGETHER)
+        for b in batches:
+            salted = b["salt"].notna()
+            hot = b[salted]
+            if len(hot):
+                out = _run_rows(hot, hot["place"], hot["place"] + length)
+                late = firsts.covered(zip(hot["key"], hot["salt"]), hot["context"], hot["order"], hot["place"])
+                out["key"], out["context"] = hot["key"].where(~late, hot["block"]), hot["context"].mask(late, None)
+                yield out
+            ready = groups.add(b[~salted])
+            if len(ready):
+                yield from cold(ready)
+        if groups.held:
+            yield from cold(groups.rest())
     return each
 
 
+def _run_rows(rows: pd.DataFrame, begin: pd.Series, end: pd.Series) -> pd.DataFrame:
+    """Settled runs; the key is the block, where they are wanted."""
+    return pd.DataFrame({"key": rows["block"], "block": rows["block"], "order": rows["order"], "copy": rows["copy"],
+                         "begin": begin, "end": end, "context": None})
+
+
+class Firsts:
+    """The earliest place of each string, of rows sorted by key and place, read one at a time:
+    only the strings of one key are held, one but where hashes are equal."""
+
+    def __init__(self) -> None:
+        self.key, self.seen = None, {}
+
+    def covered(self, keys: Iterable, contexts: pd.Series, order: pd.Series, place: pd.Series) -> np.ndarray:
+        """Which rows have an earlier one of the same string."""
+        late = np.zeros(len(contexts), bool)
+        for k, (key, context, at) in enumerate(zip(keys, contexts, zip(order, place))):
+            if key != self.key:
+                self.key, self.seen = key, {}
+            late[k] = not _is_first(self.seen, context, at)
+        return late
+
+
+def _over_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs, and the earliest strings of all parts sorted by key and place: all runs."""
+    firsts = Firsts()
+    for b in batches:
+        told = b["context"].isna().to_numpy()
+        rows = b[~told]
+        told[~told] = firsts.covered(rows["key"], rows["context"], rows["order"], rows["begin"])
+        yield b[told].drop(columns=["key", "context"])
+
+
 def _parts(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """Whole groups whose contexts fit in 2**PLACE bytes together, groups of one left out."""
     key = rows["key"].to_numpy()
@@ -425,8 +505,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     by_block = dealt.groupBy("block")
     rows = by_block.applyInPandas(_anchor_rows(length), "hash long, block long, n long")
     repeated = rows.repartition("hash").sortWithinPartitions("hash").mapInPandas(
-        _repeated, "hash long, block long, hot boolean")
-    contexts = by_block.cogroup(repeated.groupBy("block")).applyInPandas(_contexts(length), CONTEXT)
-    runs = contexts.repartition("key").sortWithinPartitions("key").mapInPandas(_runs(length), RUN)
+        _repeated(HOT), "hash long, block long, hot boolean")
+    contexts = by_block.cogroup(repeated.groupBy("block")).applyInPandas(_contexts(length, SALTS), CONTEXT)
+    by_part = contexts.repartition("key", "salt").sortWithinPartitions("key", "salt", "order", "place")
+    found = by_part.mapInPandas(_runs(length), RUN)
+    by_key = found.repartition("key").sortWithinPartitions("key", "order", "begin")
+    runs = by_key.mapInPandas(_over_parts, "block long, order long, copy long, begin long, end long")
     kept = by_block.cogroup(runs.groupBy("block")).applyInPandas(_kept, f"{KEPT}, spans array<array<long>>")
     return kept.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pumpwatch.llm import suffix_dedup as sd
@@ -50,6 +51,34 @@ def test_equals_brute_force(spark, monkeypatch, length, hot, block):
     assert rows(sd.remove_repeats(df, length)) == brute(docs, length)
 
 
+@pytest.mark.parametrize("salts", [1, 3])
+def test_a_string_in_every_block(spark, monkeypatch, salts):
+    """Its places are found part by part, ids missing in a third of the rows, and no group of it is sorted."""
+    monkeypatch.setattr(sd, "HOT", 4)
+    monkeypatch.setattr(sd, "SALTS", salts)
+    monkeypatch.setattr(sd, "BLOCK_BYTES", 400)
+    r = random.Random(salts)
+    licence, other = ("".join(r.choice("abcdefg ") for _ in range(n)) for n in (70, 45))
+    docs = [(None if i % 3 == 0 else (i * 37) % 100,
+             "".join(r.choice("xyz") for _ in range(i % 5)) + licence + str(i) + (other if i % 7 == 0 else "")) for i in range(90)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(sd.remove_repeats(df, 40)) == brute(docs, 40)
+
+
+@pytest.mark.parametrize("joined", [1, 3, 1000])
+def test_rows_of_a_hash_are_told_as_soon_as_it_is_hot(monkeypatch, joined):
+    true = sd._joined
+    monkeypatch.setattr(sd, "_joined", lambda batches, n: true(batches, joined))
+    r = np.random.default_rng(joined)
+    h = np.sort(np.concatenate([r.integers(0, 60, 80), np.full(50, 30), np.full(9, 99)]))
+    all_ = pd.DataFrame({"hash": h, "block": np.arange(len(h)), "n": r.integers(1, 3, len(h))})
+    sent = [all_.iloc[a:a + 4] for a in range(0, len(h), 4)]
+    got = pd.concat(list(sd._repeated(6)(iter(sent))))
+    total = all_.groupby("hash")["n"].transform("sum")
+    want = all_[total > 1]
+    assert got["block"].tolist() == want["block"].tolist() and got["hot"].tolist() == (total[total > 1] > 6).tolist()
+
+
 def test_odd_and_empty(spark, odd, empty):
     docs = [(r.doc_id, r.text) for r in odd.collect()]
     got = rows(sd.remove_repeats(odd))
