@@ -14,12 +14,16 @@ the document's id. Shares are counted over all training documents. The model
 is as large as the vocabulary times the languages, whatever the input.
 
 Words are maximal runs of letters, lower-cased, with the vocabulary's mark of a
-word's beginning before them; runs of over ``PIECE_RUN`` letters are cut there.
+word's beginning before them. Many words of one length are summed together, from
+arrays of their length; those of over ``SHORT`` characters from left to right with
+the sums of the last ``LONGEST`` places, scaled to 1 at each, so that no length is
+too long for memory or for floating point numbers. Both give the same sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,11 +36,12 @@ from pumpwatch.llm.common import checkpoint, crc_mod, text_bytes
 #: Bound of the training sample: documents of each language, on average.
 SAMPLE_DOCS = 1500
 EM_STEPS = 3
-PIECE_RUN = 32
 #: Longest piece that is used, in characters.
 LONGEST = 16
 #: Probability of a letter that no piece covers, and the count added to each piece.
 UNKNOWN, ADDED = 1e-7, 0.05
+#: Words of more characters are summed from left to right, so many characters of them at a time.
+SHORT, CELLS = 32, 1 << 13
 LETTERS = regex.compile(r"\p{L}+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Letters are found in slices of this many characters of a text, so that a very long one needs no list of all its words.
@@ -44,16 +49,13 @@ SLICE = 1 << 20
 
 
 def words_of(text: str) -> Iterator[list[str]]:
-    """The words of a text, some at a time."""
+    """The words of a text, some at a time; none is cut."""
     at = 0
     while at < len(text):
         stop = min(at + SLICE, len(text))
-        while stop < len(text) and text[stop].isalpha() and stop - at < 2 * SLICE:
-            stop += 1
-        found = LETTERS.findall(text[at:stop].lower())
-        if any(len(w) > PIECE_RUN for w in found):
-            found = [w[i:i + PIECE_RUN] for w in found for i in range(0, len(w), PIECE_RUN)]
-        yield found
+        more = LETTERS.match(text, stop)
+        stop = more.end() if more else stop
+        yield LETTERS.findall(text[at:stop].lower())
         at = stop
 
 
@@ -79,7 +81,7 @@ class Pieces:
     def arcs(self, words: np.ndarray, size: int) -> list[tuple[int, int, np.ndarray]]:
         """(begin, end, piece of each word) for words of ``size`` characters; ``count`` is no
         piece, ``count + 1`` a single letter that is none."""
-        codes = words.astype(f"<U{size}").view("<u4").reshape(-1, size)
+        codes = _codes(words, size)
         prefix = [np.zeros(len(words), np.uint64)]
         for j in range(size):
             prefix.append(prefix[-1] * BASE + codes[:, j] + np.uint64(1))
@@ -87,18 +89,77 @@ class Pieces:
         for end in range(1, size + 1):
             for begin in range(max(0, end - LONGEST), end):
                 h = prefix[end] - prefix[begin] * self.power[end - begin]
-                at = np.minimum(np.searchsorted(self.hashes, h), self.count - 1)
-                none = self.count + 1 if end - begin == 1 else self.count
-                found.append((begin, end, np.where(self.hashes[at] == h, at, none)))
+                found.append((begin, end, self._look(h, end - begin)))
         return found
 
+    def _look(self, h: np.ndarray, size: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, h), self.count - 1)
+        return np.where(self.hashes[at] == h, at, self.count + 1 if size == 1 else self.count)
+
+    def ends(self, codes: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """The pieces of 1, 2, ... LONGEST characters that end at the places ``begin`` to ``end`` of
+        words, given as rows of character codes: (LONGEST, words, places)."""
+        low = max(0, begin - LONGEST + 1)
+        c = codes[:, low:end].astype(np.uint64) + np.uint64(1)
+        found = np.full((LONGEST, *c.shape), self.count)
+        h = c
+        for k in range(min(LONGEST, c.shape[1])):
+            h = h[:, :-1] * BASE + c[:, k:] if k else h
+            found[k, :, k:] = self._look(h, k + 1)
+        return found[:, :, begin - low:]
+
 
 def _by_size(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     size = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(size).tolist():
         at = np.flatnonzero(size == n)
-        for k in range(0, len(at), 1 << 14):
-            yield n, at[k:k + (1 << 14)]
+        step = 1 << 12 if n <= SHORT else 1 << 7
+        for k in range(0, len(at), step):
+            yield n, at[k:k + step]
+
+
+def _codes(words: np.ndarray, size: int) -> np.ndarray:
+    return words.astype(f"<U{size}").view("<u4").reshape(-1, size)
+
+
+def _scales(codes: np.ndarray, pieces: Pieces, p: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(begin, by what the sums over all segmentations grow at each place from there on) of words of
+    one length: (words, places, languages). The product of all is the probability of the word."""
+    last = np.zeros((LONGEST, len(codes), p.shape[1]))     # sums of the last places, that of the newest is 1
+    last[0] = 1
+    room = max(1, CELLS // len(codes))
+    for begin in range(0, codes.shape[1], room):
+        q = p[pieces.ends(codes, begin, begin + room)]
+        grown = np.empty(q.shape[1:])
+        for j in range(q.shape[2]):
+            grown[:, j] = now = np.einsum("kwl,kwl->wl", last, q[:, :, j])
+            last[1:] = last[:-1].copy()
+            last[0] = now
+            last /= now
+        yield begin, grown
+
+
+def _long_counts(codes: np.ndarray, weight: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in ``weight`` times each word of one length, for one language."""
+    n = codes.shape[1]
+    grown = np.concatenate([g[:, :, 0] for _, g in _scales(codes, pieces, p)], axis=1)
+    at = np.zeros((len(codes), n + 1))      # how often a piece ends at each place
+    at[:, n] = weight
+    counts, room = np.zeros(pieces.count + 2), max(1, CELLS // len(codes))
+    for begin in range((n - 1) // room * room, -1, -room):
+        found = pieces.ends(codes, begin, begin + room)
+        place, use = np.arange(begin, begin + found.shape[2]), p[found, 0]
+        share = np.ones(found.shape[1:])
+        for k in range(LONGEST):            # of the sum at a place, what comes by a piece of k + 1 characters
+            share = share / grown[:, np.maximum(place - k, 0)]
+            use[k] *= share
+        for j in range(found.shape[2] - 1, -1, -1):
+            end = begin + j + 1
+            use[:, :, j] *= at[:, end]
+            k = min(LONGEST, end)
+            at[:, end - k:end] += use[:k, :, j][::-1].T
+        counts += np.bincount(found.ravel(), use.ravel(), pieces.count + 2)
+    return counts
 
 
 def _forward(arcs: list, size: int, p: np.ndarray) -> np.ndarray:
@@ -114,7 +175,10 @@ def log_probability(words: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndar
     """log P(word | language), a row for each word."""
     out = np.zeros((len(words), p.shape[1]))
     for n, at in _by_size(words):
-        out[at] = np.log(_forward(pieces.arcs(words[at], n), n, p)[n])
+        if n <= SHORT:
+            out[at] = np.log(_forward(pieces.arcs(words[at], n), n, p)[n])
+        else:
+            out[at] = sum(np.log(g).sum(axis=1) for _, g in _scales(_codes(words[at], n), pieces, p))
     return out
 
 
@@ -122,6 +186,9 @@ def expected_counts(words: np.ndarray, weight: np.ndarray, pieces: Pieces, p: np
     """Expected uses of each piece in ``weight`` times each word, for one language."""
     counts = np.zeros(pieces.count + 2)
     for n, at in _by_size(words):
+        if n > SHORT:
+            counts += _long_counts(_codes(words[at], n), weight[at], pieces, p)
+            continue
         arcs = pieces.arcs(words[at], n)
         ahead = _forward(arcs, n, p)[:, :, 0]
         behind = np.zeros_like(ahead)
@@ -139,18 +206,24 @@ def _table(counts: np.ndarray) -> np.ndarray:
     return np.vstack([p, np.zeros((1, p.shape[1])), np.full((1, p.shape[1]), UNKNOWN)])
 
 
-def _together(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """Batches of about ``rows`` rows: the vectorised sums are slow on few words of each size."""
+def _together(batches: Iterator[pd.DataFrame], rows: int, chars: int) -> Iterator[pd.DataFrame]:
+    """Batches of about ``rows`` rows, or ``chars`` characters of words: the vectorised sums are slow
+    on few words of each size."""
     held: list[pd.DataFrame] = []
     for b in batches:
         held.append(b)
-        if sum(map(len, held)) >= rows:
+        if sum(map(len, held)) >= rows or sum(b["word"].map(len).sum() for b in held) >= chars:
             yield pd.concat(held, ignore_index=True)
             held = []
     if held:
         yield pd.concat(held, ignore_index=True)
 
 
+def _marked(mark: str, words: Iterable[str]) -> np.ndarray:
+    """The words as objects: one array of text would give each as much room as the longest."""
+    return np.array([mark + w for w in words], object)
+
+
 def load_pieces(path: str) -> tuple[list[str], str]:
     """The pieces of a public SentencePiece model and its mark of a word's beginning."""
     import sentencepiece
@@ -177,27 +250,33 @@ class Model:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not self.langs:
             return langs, scores
-        words, doc = [], []
         sums = np.zeros((len(texts), len(self.langs)))
         seen = np.zeros(len(texts), np.int64)
+        number: dict[str, int] = defaultdict()      # of the different words
+        number.default_factory = number.__len__
+        codes, docs, held = [], [], 0
 
         def flush() -> None:
-            code, unique = pd.factorize(np.array(words, object))
-            lp = log_probability(np.char.add(self.mark, unique.astype(str)), self.pieces, self.p)
-            at = np.array(doc)
+            lp = log_probability(_marked(self.mark, number), self.pieces, self.p)
+            code = np.concatenate(codes)
+            at = np.repeat(docs, [len(c) for c in codes])
             for k in range(lp.shape[1]):
                 sums[:, k] += np.bincount(at, lp[code, k], len(texts))
             seen[:] += np.bincount(at, minlength=len(texts))
-            words.clear()
-            doc.clear()
+            number.clear()
+            codes.clear()
+            docs.clear()
 
         for i, t in enumerate(texts):
             for some in words_of(t):
-                words += some
-                doc += [i] * len(some)
-                if len(words) > 1_000_000:
+                if some:
+                    codes.append(np.fromiter(map(number.__getitem__, some), np.int32, len(some)))
+                    docs.append(i)
+                    held += len(some)
+                if held > 1_000_000:
                     flush()
-        if words:
+                    held = 0
+        if codes:
             flush()
         sums += self.prior
         best = sums.argmax(axis=1)
@@ -241,9 +320,9 @@ def fit(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS, steps:
 
         def expect(batches: Iterator[pd.DataFrame], p=p, column=column) -> Iterator[pd.DataFrame]:
             own = Pieces(names)
-            for b in _together(batches, 100_000):
+            for b in _together(batches, 100_000, 1 << 22):
                 for lang, rows in b.groupby("lang"):
-                    c = expected_counts(np.char.add(mark, rows["word"].to_numpy().astype(str)),
+                    c = expected_counts(_marked(mark, rows["word"]),
                                         rows["n"].to_numpy(float), own, p[:, [column[lang]]])
                     used = np.flatnonzero(c)
                     yield pd.DataFrame({"lang": lang, "piece": used, "n": c[used]})

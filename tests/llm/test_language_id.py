@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -41,6 +42,32 @@ def test_forward_sums_all_segmentations_and_expected_counts():
                 assert math.isclose(counts[i], want, rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_words_of_any_length_are_summed_whole(monkeypatch):
+    """From left to right in parts of any size, as by arrays of the whole length, and by exact fractions."""
+    pieces = li.Pieces(["a", "b", "ab", "ba", "aba", "bb", "abababababababab"])
+    r = np.random.default_rng(1)
+    p = li._table(r.random((pieces.count, 3)))
+    words = np.array(["".join(r.choice(list("abc"), n)) for n in (1, 2, 15, 16, 17, 30, 30, 30, 31)] + ["ab" * 15], object)
+    weight = r.random(len(words))
+    want = li.log_probability(words, pieces, p), li.expected_counts(words, weight, pieces, p[:, [1]])
+    monkeypatch.setattr(li, "SHORT", 0)
+    for cells in (1, 7, 40, 1 << 13):
+        monkeypatch.setattr(li, "CELLS", cells)
+        got = li.log_probability(words, pieces, p), li.expected_counts(words, weight, pieces, p[:, [1]])
+        assert np.allclose(got[0], want[0], rtol=1e-12) and np.allclose(got[1], want[1], rtol=1e-9, atol=1e-12)
+    monkeypatch.undo()
+    long = "".join(r.choice(list("abc"), 400))
+    at = {n: i for i, n in enumerate(pieces.names)}
+    sums = [Fraction(1)]
+    for end in range(1, len(long) + 1):
+        cuts = [(b, long[b:end]) for b in range(max(0, end - li.LONGEST), end)]
+        sums.append(sum(sums[b] * Fraction(p[at[x], 0] if x in at else li.UNKNOWN)
+                        for b, x in cuts if x in at or len(x) == 1))
+    got = li.log_probability(np.array([long], object), pieces, p)[0, 0]
+    exact = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+    assert math.isclose(got, exact, rel_tol=1e-9)
+
+
 def test_held_out_accuracy_and_folds(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = li.identify(docs, VOCABULARY).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -73,3 +100,4 @@ def test_long_texts_are_read_in_slices(monkeypatch):
     whole = [w for part in li.words_of(text) for w in part]
     monkeypatch.setattr(li, "SLICE", 64)
     assert [w for part in li.words_of(text) for w in part] == whole
+    assert [w for part in li.words_of("x" * 1000 + " y") for w in part] == ["x" * 1000, "y"]
