@@ -33,7 +33,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -275,8 +275,8 @@ class Codec:
         self.rules = Tokenizer.from_file(path)
         self.plain, self.odd = plain_words(), re.compile(f"[^\\x00-{chr(PLAIN - 1)}]")
         self.symbols = dict(enumerate(byte_symbols()))
-        self.new: dict[str, tuple[int, bytes, str]] = {}
-        self.old: dict[str, tuple[int, bytes, str]] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
         self.limit()
 
@@ -294,42 +294,41 @@ class Codec:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.plain.findall(text.lower())
 
-    def word(self, word: str) -> tuple[int, bytes, str]:
-        """(number of ids, ids as little-endian unsigned 32-bit integers, labels) of a word.
+    def word(self, word: str) -> bytes:
+        """The ids of a word as little-endian unsigned 32-bit integers.
 
         A word that is in byte symbols already has a space before it.
         """
         found = self.old.get(word)
         if found is None:
             spelt = word[1:] if word[0] == " " else word.encode().decode("latin-1").translate(self.symbols)
-            ids = self.automaton.encode_word(spelt)
-            found = (len(ids), b"".join(i.to_bytes(4, "little") for i in ids),
-                     " ".join(self.label[i] for i in ids))
-        size = len(word) + len(found[1]) + len(found[2])
+            found = b"".join(i.to_bytes(4, "little") for i in self.automaton.encode_word(spelt))
+        size = len(word) + len(found)
         if len(self.new) >= self.words or self.held + size > self.bytes:
             self.old, self.new, self.held = self.new, {}, 0
         self.new[word] = found
         self.held += size
         return found
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """The ids of a text as bytes, and the text that they decode to."""
-        ids, labels = [], []
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        ids = []
         for part in self.cut.split(text) if self.special else [text]:
             if part in self.special:
                 ids.append(self.special[part].to_bytes(4, "little"))
-                labels.append(part)
                 continue
-            slow = self.word
+            known, slow = self.new.get, self.word
             for w in self.split(part):
-                found = self.new.get(w) or slow(w)
-                ids.append(found[1])
-                labels.append(found[2])
-        return b"".join(ids), " ".join(labels)
-
-    def decode(self, ids: list[int]) -> str:
+                found = known(w)
+                if found is None:
+                    found = slow(w)
+                    known = self.new.get    # words kept may have begun anew
+                ids.append(found)
+        return b"".join(ids)
+
+    def decode(self, ids: Iterable[int]) -> str:
         """Emit the labels of the arcs."""
-        return " ".join(self.label[i] for i in ids)
+        return " ".join(map(self.label.__getitem__, ids))
 
 
 _CODECS: dict[str, Codec] = {}
@@ -365,11 +364,13 @@ def encode_documents(docs: DataFrame, path: str, contents: bool = True, doc_id:
         for b in batches:
             rows = []
             for body in b["body"]:
-                ids, decoded = c.encode(body.decode("utf-8", "replace"))
-                row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(),
+                ids = c.encode(body.decode("utf-8", "replace"))
+                numbers = np.frombuffer(ids, "<u4")
+                decoded = c.decode(numbers.tolist())
+                row = [len(numbers), hashlib.sha256(ids).hexdigest(),
                        hashlib.sha256(decoded.encode()).hexdigest()]
                 if contents:
-                    row[1:1] = [np.frombuffer(ids, "<u4").astype(np.int32)]
+                    row[1:1] = [numbers.astype(np.int32)]
                     row[3:3] = [decoded]
                 rows.append(row)
             names = [f.split()[0] for f in schema.split(", ")][1:]

@@ -20,7 +20,8 @@ def both():
 
 def same(both, text):
     ours, theirs = both[0].encode(text), both[1].encode(text, add_special_tokens=False)
-    return np.frombuffer(ours[0], "<u4").tolist() == theirs.ids and ours[1] == both[1].decode(theirs.ids, skip_special_tokens=False)
+    ids = np.frombuffer(ours, "<u4").tolist()
+    return ids == theirs.ids and both[0].decode(ids) == both[1].decode(theirs.ids, skip_special_tokens=False)
 
 
 def test_equals_the_library_on_made_up_texts(both):
