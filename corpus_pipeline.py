@@ -41,7 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Tables are kept small: the workers also hold what the stages before have left in them.
     """
     configure(spark)
-    return bpe_automaton.encode_documents(docs, word_bpe(), memory=0.25)
+    return bpe_automaton.encode_documents(docs, word_bpe(), memory=0.5)
 
 
 STAGES = [
