@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pumpwatch.functions.scalars import csv_field
 from pumpwatch.operators.selection import medians
-from pumpwatch.session import ensure_checkpoint_dir
+from pumpwatch.session import ensure_checkpoint_dir, work_dir
 
 TOTALS = "Totals"
 LABEL_SEP = " - "
@@ -78,6 +78,8 @@ def pivot_long(df: DataFrame, rows: list[str], cols: list[str], value: str = "Pr
     keys = [F.col(f"`{c}`") for c in rows + cols]
     named = {out: (fn, value) if isinstance(fn, str) else fn for out, fn in aggs.items()}
     exprs = [aggregator(*fn).alias(out) for out, fn in named.items() if fn[0] != "median"]
+    if any(fn == "median" for fn, _ in named.values()):
+        df = _written(df, list(dict.fromkeys([*rows, *cols, *[of for fn, of in named.values() if fn != "count"]])))
     marks = []
     if rows:
         marks.append((F.grouping(F.col(f"`{rows[0]}`")) == 1).alias("is_total_row"))
@@ -95,6 +97,14 @@ def pivot_long(df: DataFrame, rows: list[str], cols: list[str], value: str = "Pr
     return g.select(*keys, *[F.col(f"`{out}`") for out in aggs], "is_total_row", "is_total_col")
 
 
+def _written(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``df``, written once to the shared folder: a median takes several passes over its rows."""
+    path = work_dir(df.sparkSession, "pivot")
+    kept = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)])
+    kept.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(kept.schema).parquet(path).toDF(*columns)
+
+
 def _with_median(g: DataFrame, df: DataFrame, keys: list[str], sets: set[tuple], value: str, out: str) -> DataFrame:
     """The median of every line of the grouping sets: each row counts once in each set."""
     if not keys:

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pumpwatch.session import ensure_checkpoint_dir
+from pumpwatch.sources.tables import broadcast_few
 
 #: Parts that a range is counted in.
 PARTS = 256
@@ -53,7 +54,7 @@ def medians(df: DataFrame, keys: list[str], value: str, few: int | None = None)
         s = state.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keys)], *[c for c in state.columns if c not in keys])
         on = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(s[f"_{i}"]) for i, c in enumerate(keys)], F.lit(True)) \
             if keys else F.lit(True)
-        return rows.join(s, on).where((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
+        return rows.join(broadcast_few(s), on).where((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
 
     settled, few_left = [], []
     while True:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from pumpwatch import model
 from pumpwatch.operators import pivot as pv
 from pumpwatch.operators import snapshots as sn
 from pumpwatch.operators.observations import distinct_values
 from pumpwatch.plans.registry import query
 from pumpwatch.plans.snapshot_queries import DATASET, MAX_SNAPSHOTS, O_CTE
+from pumpwatch.sources.tables import broadcast_few
 
 RANGE = ("1996-01-01 00:00:00", "1997-12-31 00:00:00")
 
@@ -110,7 +113,6 @@ SELECT "Region", "Fuel", count(*) AS n, CAST(sum("Price") AS DOUBLE) AS total,
 FROM recs GROUP BY GROUPING SETS (("Region", "Fuel"), ("Region"), ("Fuel"), ())
 """)
 def pivot_aggregators(spark, sf_dir):
-    from pyspark.sql import functions as F
     recs = _records(spark, sf_dir).withColumn("PriceD", F.col("Price").cast("double"))
     long = pv.pivot_long(recs, ["Region"], ["Fuel"], "Price",
                          {"n": "count", "total": "sum", "mean": "avg",
@@ -171,7 +173,6 @@ SELECT "Region",
 FROM tagged GROUP BY "Region"
 """)
 def pivot_label_collision(spark, sf_dir):
-    from pyspark.sql import functions as F
     fuel = F.col("Fuel")
     recs = _records(spark, sf_dir).select(
         "Region", "Price",
@@ -190,7 +191,6 @@ SELECT "City", sum("Price")::DOUBLE AS total, sum("Price")::DOUBLE AS sort_value
 """)
 def pivot_by_total(spark, sf_dir):
     """The CSV lines with the value that orders them; a city's total is read back from its line."""
-    from pyspark.sql import functions as F
     lines = pv.pivot_csv_lines(_records(spark, sf_dir), ["City"], [], agg="sum", order_by_totals=True)
     total = F.regexp_replace(F.regexp_extract("line", r'"([^"]*)"$', 1), ",", "").cast("double")
     return lines.where("section = 1").select(
@@ -217,8 +217,9 @@ def pivot_median(spark, sf_dir):
     st = model.stations_o(spark, sf_dir).select("id", "region")
     fu = model.fuels_o(spark, sf_dir).select("id", "name")
     px = model.prices_o(spark, sf_dir)
-    recs = px.join(st, px["station_id"] == st["id"]).select("region", "fuel_id", "price")
-    recs = recs.join(fu, recs["fuel_id"] == fu["id"]).selectExpr("region AS Region", "name AS Fuel", "price AS Price")
+    # the rows are shuffled while they are narrow
+    recs = px.join(fu, px["fuel_id"] == fu["id"]).select("station_id", F.col("name").alias("Fuel"), F.col("price").alias("Price"))
+    recs = recs.join(broadcast_few(st), recs["station_id"] == st["id"]).select(F.col("region").alias("Region"), "Fuel", "Price")
     return pv.pivot_long(recs, ["Region"], ["Fuel"], "Price", {"med": "median", "n": "count"})
 
 

@@ -52,6 +52,19 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartition(n)
 
 
+#: Rows of a dimension (ids and short texts, about 150 bytes each) that are broadcast at most.
+MAX_BROADCAST_ROWS = 500_000
+
+
+def broadcast_few(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has few rows, so that the other side of a join stays where it is.
+
+    AQE learns the size of a side by shuffling both, which for a fact table is a
+    pass over the disk. The count reads the dimension only.
+    """
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
 def dataset_extract(facts: DataFrame, snapshots: DataFrame, dataset: str,
                     dataset_col: str = "dataset") -> DataFrame:
     """Prices whose snapshot belongs to one dataset (SRC-06, JOIN-07).
