@@ -15,6 +15,7 @@ from pumpwatch.functions.keys import assign_ids
 from pumpwatch.session import ensure_checkpoint_dir
 from pumpwatch.functions.scalars import (address_city, address_street, clean_fuel_name,
                                          parse_price_text)
+from pumpwatch.sources.tables import broadcast_few
 
 # fixed values: defaults of a V1 record without fuel type
 DEFAULT_FUEL = "regular"
@@ -136,8 +137,8 @@ def get_or_create_fuels(existing: DataFrame, names: DataFrame, next_id: int | No
         assign_ids(new, ["name"], start_col=first).select("id", "name"))
 
 
-def _station_rows(flat: DataFrame, dataset: str) -> DataFrame:
-    return flat.select(*[c for c in ("snapshot", "pos") if c in flat.columns],
+def _station_rows(flat: DataFrame, dataset: str, keep: list[str]) -> DataFrame:
+    return flat.select(*keep,
                        "longitude", "latitude", F.lit(dataset).alias("dataset"),
                        F.coalesce(F.col("Name"), F.lit("")).alias("name"),
                        address_street(F.col("Address")).alias("adress"),
@@ -150,8 +151,15 @@ def _poll_order(flat: DataFrame) -> Column:
 
 
 def station_updates(flat: DataFrame, dataset: str) -> DataFrame:
-    """The latest record of each station key of one or many polls."""
-    return _latest(_station_rows(flat, dataset), ["dataset", "name", "adress"], _poll_order(flat), STATION_ATTRS)
+    """The latest record of each station key of one or many polls.
+
+    Names and addresses as they are come together first, so that the parsing of
+    addresses is one for each of them, not for each feature.
+    """
+    order = F.struct(_poll_order(flat), "Region", "longitude", "latitude")
+    raw = flat.groupBy("Name", "Address").agg(F.max(order).alias("_ord"))
+    rows = _station_rows(raw.select("Name", "Address", "_ord.Region", "_ord.longitude", "_ord.latitude", "_ord"), dataset, ["_ord"])
+    return _latest(rows, ["dataset", "name", "adress"], F.col("_ord"), STATION_ATTRS)
 
 
 def fuel_names(flat: DataFrame) -> DataFrame:
@@ -162,7 +170,8 @@ def fuel_names(flat: DataFrame) -> DataFrame:
 def upsert_dimensions(flat: DataFrame, dataset: str, stations: DataFrame, fuels: DataFrame
                       ) -> tuple[DataFrame, DataFrame]:
     """Stations (UPS-02) and fuels (UPS-03) after one or many polls."""
-    stations2 = upsert_stations(stations, _station_rows(flat, dataset), _poll_order(flat))
+    next_id = stations.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
+    stations2 = merge_stations(stations, station_updates(flat, dataset), next_id)
     fuels2 = get_or_create_fuels(fuels, valid_entries(feed_entries(flat)))
     return stations2, fuels2
 
@@ -170,12 +179,12 @@ def upsert_dimensions(flat: DataFrame, dataset: str, stations: DataFrame, fuels:
 def resolve_prices(flat: DataFrame, dataset: str, stations: DataFrame, fuels: DataFrame
                    ) -> DataFrame:
     """Valid price entries → (snapshot_id, station_id, fuel_id, price) by the
-    natural keys (name, street) and fuel name."""
+    natural keys (name, street) and fuel name; few stations and fuels are broadcast."""
     entries = valid_entries(feed_entries(flat))
     st = stations.where(F.col("dataset") == F.lit(dataset)).select(
         F.col("id").alias("station_id"), "name", F.col("adress").alias("street"))
     fu = fuels.select(F.col("id").alias("fuel_id"), F.col("name").alias("fuel"))
-    return (entries.join(st, ["name", "street"]).join(fu, "fuel")
+    return (entries.join(broadcast_few(st), ["name", "street"]).join(broadcast_few(fu), "fuel")
             .select(F.col("snapshot").alias("snapshot_id"), "station_id", "fuel_id", "price"))
 
 
