@@ -17,25 +17,35 @@ from pumpwatch.functions.keys import assign_ids
 from pumpwatch.operators import ingest as ig
 from pumpwatch.plans.registry import query
 from pumpwatch.sources import feed as fd
-from pumpwatch.session import ensure_checkpoint_dir, work_dir
+from pumpwatch.session import work_dir
 from pumpwatch.sinks import writers
-from pumpwatch.sources.tables import read_table, spread
+from pumpwatch.sources.tables import broadcast_few, read_table, spread
 
 FEED_DATASET = "feed"
 
 
-def feature_lines(spark, sf_dir, keep_snapshot: bool = False):
-    """lineitem ⋈ supplier/nation/region ⋈ part → one Feature JSON line per row.
+def feature_rows(spark, sf_dir, stations=None):
+    """lineitem ⋈ part ⋈ supplier/nation/region: what the features are made of, not yet encoded.
 
-    The round-robin ``spread()`` stays although a shuffle join follows: AQE
-    coalesces that hash shuffle by BYTES, which for few, narrow rows means a
-    handful of tasks for the CPU-heavy JSON encode (measured: 2× slower
-    without it at sf0.1). The explicit partition count keeps it parallel.
+    Rows are shuffled while they are narrow: the stations, few, come last. A scan
+    of fewer tasks than there are cores is dealt over the shuffle partitions,
+    for the CPU-heavy JSON encode (measured: 2× slower without it at sf0.1); a
+    larger one is parallel by itself. ``stations``: a condition on them.
     """
-    li = spread(read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag"))
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    if li.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        li = spread(li)
     st = model.stations_o(spark, sf_dir)
+    if stations is not None:
+        st = st.where(stations)
+        li = li.join(broadcast_few(st.select("id")), F.col("l_suppkey") == F.col("id"), "left_semi")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return li.join(part, li.l_partkey == part.p_partkey).join(broadcast_few(st), li.l_suppkey == st.id)
+
+
+def feature_value():
+    """The Feature JSON of a row of ``feature_rows``."""
     k = F.col("l_suppkey")
     street = F.concat(k.cast("string"),
                       F.when(k % 2 == 0, F.lit(", Main St")).otherwise(F.lit(" Main St")))
@@ -49,24 +59,26 @@ def feature_lines(spark, sf_dir, keep_snapshot: bool = False):
         price_text.alias("Price"),
         (F.col("l_linenumber") != 3).alias("IsAvailable"))
     prices = F.when(F.col("l_linenumber") == 7, F.lit(None)).otherwise(F.array(entry))
-    rows = (li.join(st, li.l_suppkey == st.id).join(part, li.l_partkey == part.p_partkey))
-    value = fd.feature_json(F.col("name"), address, F.col("region"), F.col("longitude"),
-                            F.col("latitude"), prices, F.col("l_orderkey")).alias("value")
-    if keep_snapshot:
-        return rows.select(value, F.col("l_orderkey").alias("snapshot"))
-    return rows.select(value)
+    return fd.feature_json(F.col("name"), address, F.col("region"), F.col("longitude"),
+                           F.col("latitude"), prices, F.col("l_orderkey"))
+
+
+def feature_lines(spark, sf_dir, stations=None):
+    """One Feature JSON line per row of lineitem with its station and part."""
+    return feature_rows(spark, sf_dir, stations).select(feature_value().alias("value"))
 
 
 def parsed_features(spark, sf_dir, shared: bool = False):
     """The derived feed, parsed. When a job evaluates it more than once
     (``shared``: upserts read it in the id-numbering job and in the final
-    plan; populate in three branches), the parsed features are checkpointed
+    plan; populate in three branches), the parsed features are written as parquet
     to the shared folder once instead of being re-encoded and re-parsed."""
     flat = fd.flatten_features(fd.parse_feature_text(feature_lines(spark, sf_dir)))
     if not shared:
         return flat
-    ensure_checkpoint_dir(spark)
-    return flat.checkpoint(eager=True)
+    path = work_dir(spark, "features")
+    flat.write.mode("overwrite").parquet(path)
+    return spark.read.schema(flat.schema).parquet(path)
 
 
 # DuckDB: the expected outcome of parsing, written case by case
@@ -118,10 +130,9 @@ def feed_files_parse(spark, sf_dir):
     line reader: the codec is picked per file by its suffix, and the text
     sequence splits across tasks like any other line-oriented file."""
     root = work_dir(spark, "feed-files")
-    lines = feature_lines(spark, sf_dir)
-    gz = F.get_json_object("value", "$.properties.Region") < F.lit("E")
-    lines.where(gz).write.mode("overwrite").option("compression", "gzip").text(f"{root}/gz")
-    lines.where(~gz).write.mode("overwrite").text(f"{root}/plain")
+    gz = F.col("region") < F.lit("E")
+    feature_lines(spark, sf_dir, gz).write.mode("overwrite").option("compression", "gzip").text(f"{root}/gz")
+    feature_lines(spark, sf_dir, ~gz).write.mode("overwrite").text(f"{root}/plain")
     return _kept_entries(fd.flatten_features(fd.read_feature_lines(spark, f"{root}/*")))
 
 
@@ -244,8 +255,8 @@ def feed_populate(spark, sf_dir):
     stations, fuels, prices = ig.populate(flat, FEED_DATASET,
                                           _existing_feed_stations(spark, sf_dir),
                                           _existing_fuels(spark, sf_dir))
-    st = stations.select(F.col("id").alias("station_id"), "name", "adress")
-    fu = fuels.select(F.col("id").alias("fuel_id"), F.col("name").alias("fuel"))
+    st = broadcast_few(stations.select(F.col("id").alias("station_id"), "name", "adress"))
+    fu = broadcast_few(fuels.select(F.col("id").alias("fuel_id"), F.col("name").alias("fuel")))
     return (prices.join(st, "station_id").join(fu, "fuel_id")
             .groupBy("snapshot_id", "name", "adress", "fuel")
             .agg(F.count(F.lit(1)).alias("prices"), F.sum("price").alias("amount")))

@@ -5,21 +5,50 @@ must equal the batch ingest (``feed_populate``)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pumpwatch.plans.feed_queries import (FEED_DATASET, FEED_CTE, _existing_feed_stations,
-                                          _existing_fuels, feature_lines)
+                                          _existing_fuels, feature_rows, feature_value)
 from pumpwatch import model
 from pumpwatch.operators.counts import with_price_counts
 from pumpwatch.operators.ingest import merge_stations
 from pumpwatch.plans.history_queries import E_CTE, MOVES_SQL
 from pumpwatch.plans.registry import query
 from pumpwatch.session import work_dir
-from pumpwatch.sources.tables import read_table
+from pumpwatch.sources.tables import broadcast_few, read_table
 from pumpwatch.sinks.store import PriceStore
 from pumpwatch.streaming.ingest import start_ingest
 from pumpwatch.streaming.moves import MoveState
 
+#: Landing files at least, and lines of one of them at about.
 LANDING_FILES = 8
+LANDING_LINES = 500_000
+
+
+def landing_files(spark, lines: int) -> int:
+    """As many as shuffle partitions at least: a join by the same key then keeps the partitioning."""
+    return max(LANDING_FILES, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines // LANDING_LINES))
+
+
+def land(spark, sf_dir, rows, path: str, line) -> int:
+    """Write the lines ``line`` of ``rows`` (snapshot, ...) as gzip files; returns their number.
+
+    Every poll lands in exactly one file (hash of its snapshot id). The rows are
+    shuffled as they are and encoded after it; the more lines, the more files.
+    """
+    files = landing_files(spark, read_table(spark, sf_dir, "lineitem").count())
+    (line(rows.repartition(files, "snapshot")).select("value")
+     .write.mode("overwrite").option("compression", "gzip").text(path))
+    return files
+
+
+def snapshot_rows(spark, sf_dir):
+    return feature_rows(spark, sf_dir).withColumnRenamed("l_orderkey", "snapshot")
+
+
+def with_value(rows):
+    return rows.withColumnRenamed("snapshot", "l_orderkey").select(
+        F.col("l_orderkey").alias("snapshot"), feature_value().alias("value"), *[c for c in rows.columns if c.startswith("_")])
 
 
 @query("stream_snapshot_ingest", ids="STR-01 STR-03 STR-04 SNK-04 (availableNow == batch)",
@@ -31,34 +60,30 @@ FROM addr WHERE ln NOT IN (3, 6, 7) AND rf <> 'R' GROUP BY ALL
 def stream_snapshot_ingest(spark, sf_dir):
     base = work_dir(spark, "stream")
     landing, store = f"{base}/landing", PriceStore(spark, f"{base}/store")
-    # every poll lands in exactly one file (hash of its snapshot id)
-    lines = feature_lines(spark, sf_dir)
-    (lines.repartition(LANDING_FILES, F.get_json_object("value", "$.snapshot"))
-     .write.mode("overwrite").text(landing))
+    files = land(spark, sf_dir, snapshot_rows(spark, sf_dir), landing, with_value)
     store.write_dim("stations", _existing_feed_stations(spark, sf_dir), 0)
     store.write_dim("fuels", _existing_fuels(spark, sf_dir), 0)
     q = start_ingest(spark, landing, store, FEED_DATASET, f"{base}/checkpoint",
-                     layout="sequence", available_now=True, max_files_per_trigger=4)
+                     layout="sequence", available_now=True, max_files_per_trigger=-(-files // 2))
     q.awaitTermination()
-    st = store.read_dim("stations").select(F.col("id").alias("station_id"), "name", "adress")
-    fu = store.read_dim("fuels").select(F.col("id").alias("fuel_id"), F.col("name").alias("fuel"))
+    st = broadcast_few(store.read_dim("stations").select(F.col("id").alias("station_id"), "name", "adress"))
+    fu = broadcast_few(store.read_dim("fuels").select(F.col("id").alias("fuel_id"), F.col("name").alias("fuel")))
     return (store.published_prices().join(st, "station_id").join(fu, "fuel_id")
             .groupBy("snapshot_id", "name", "adress", "fuel")
             .agg(F.count(F.lit(1)).alias("prices"), F.sum("price").alias("amount")))
 
 
-def collection_lines(spark, sf_dir):
-    """One poll document per lineitem line (``{"snapshot": id, ...}`` first);
-    every document of a low-priority 'P' order is cut in half (corrupt)."""
-    lines = feature_lines(spark, sf_dir, keep_snapshot=True)
-    o = read_table(spark, sf_dir, "orders").select(
+def collection_lines(rows, orders):
+    """One poll document per row (``{"snapshot": id, ...}`` first); every document
+    of a low-priority 'P' order is cut in half (corrupt)."""
+    o = orders.select(
         F.col("o_orderkey").alias("snapshot"),
-        ((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P")).alias("bad"))
+        ((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P")).alias("_bad"))
     doc = F.concat(F.lit('{"snapshot":'), F.col("snapshot").cast("string"),
                    F.lit(',"type":"FeatureCollection","features":['), F.col("value"), F.lit("]}"))
     cut = F.expr("substring(_doc, 1, CAST(length(_doc) / 2 AS INT))")
-    return (lines.join(o, "snapshot").withColumn("_doc", doc)
-            .select("snapshot", F.when(F.col("bad"), cut).otherwise(F.col("_doc")).alias("value")))
+    return (with_value(rows.join(o, "snapshot")).withColumn("_doc", doc)
+            .select("snapshot", F.when(F.col("_bad"), cut).otherwise(F.col("_doc")).alias("value")))
 
 
 @query("stream_error_isolation", ids="STR-02 STR-03 AGG-17 (corrupt poll → error snapshot, "
@@ -74,12 +99,12 @@ GROUP BY a.snapshot
 def stream_error_isolation(spark, sf_dir):
     base = work_dir(spark, "stream-errors")
     landing, store = f"{base}/landing", PriceStore(spark, f"{base}/store")
-    (collection_lines(spark, sf_dir).repartition(LANDING_FILES, "snapshot").select("value")
-     .write.mode("overwrite").text(landing))
+    orders = read_table(spark, sf_dir, "orders")
+    files = land(spark, sf_dir, snapshot_rows(spark, sf_dir), landing, lambda rows: collection_lines(rows, orders))
     store.write_dim("stations", _existing_feed_stations(spark, sf_dir), 0)
     store.write_dim("fuels", _existing_fuels(spark, sf_dir), 0)
     q = start_ingest(spark, landing, store, FEED_DATASET, f"{base}/checkpoint",
-                     layout="collections", available_now=True, max_files_per_trigger=4)
+                     layout="collections", available_now=True, max_files_per_trigger=-(-files // 2))
     q.awaitTermination()
     return store.snapshots().select("id", "status", "price_count")
 
@@ -101,23 +126,28 @@ FROM addr JOIN o ON o_orderkey = snapshot GROUP BY snapshot
 def stream_sequence_errors(spark, sf_dir):
     """The first line of each low-priority 'P' order has a coordinate list that is no list."""
     base = work_dir(spark, "stream-sequence")
-    lines = feature_lines(spark, sf_dir, keep_snapshot=True)
     bad = read_table(spark, sf_dir, "orders").where(
-        "o_orderpriority = '5-LOW' AND o_orderstatus = 'P'").select(F.col("o_orderkey").alias("snapshot"), F.lit(True).alias("bad"))
+        "o_orderpriority = '5-LOW' AND o_orderstatus = 'P'").select(F.col("o_orderkey").alias("snapshot"), F.lit(True).alias("_bad"))
     broken = F.regexp_replace("value", r'"coordinates":\[[^\]]*\]', '"coordinates":"lost"')
-    first = F.get_json_object("value", "$.properties.Name") == F.col("_least")
-    least = lines.groupBy("snapshot").agg(F.min(F.get_json_object("value", "$.properties.Name")).alias("_least"))
-    (lines.join(bad, "snapshot", "left").join(least, "snapshot")
-     .select("snapshot", F.when(F.col("bad") & first, broken).otherwise(F.col("value")).alias("value"))
-     .repartition(LANDING_FILES, "snapshot").select("value").write.mode("overwrite").text(f"{base}/landing"))
+    rows = snapshot_rows(spark, sf_dir).where(F.col("snapshot").isNotNull())
+
+    def lines(rows):
+        rows = rows.join(bad, "snapshot", "left")
+        # the least name is looked for in the bad polls only
+        least = F.min(F.when(F.col("_bad"), F.col("name"))).over(Window.partitionBy("snapshot"))
+        return with_value(rows.withColumn("_first", F.col("name") == least)).select(
+            F.when(F.col("_bad") & F.col("_first"), broken).otherwise(F.col("value")).alias("value"))
+    files = land(spark, sf_dir, rows, f"{base}/landing", lines)
     store = _store(spark, sf_dir, base)
     start_ingest(spark, f"{base}/landing", store, FEED_DATASET, f"{base}/checkpoint", layout="sequence",
-                 available_now=True, max_files_per_trigger=3).awaitTermination()
+                 available_now=True, max_files_per_trigger=-(-3 * files // 8)).awaitTermination()
     return store.snapshots().select("id", "status", "price_count")
 
 
 #: Orders whose lines make one polled document.
 POLL_ORDERS = 2048
+#: Micro-batches that the documents come in, of ten files each at least.
+POLL_BATCHES = 4
 
 
 @query("stream_documents", ids="SRC-01 SRC-02 STR-02 STR-03 (one FeatureCollection file a poll, gzip and plain, "
@@ -133,18 +163,22 @@ def stream_documents(spark, sf_dir):
     base = work_dir(spark, "stream-documents")
     poll = F.floor(F.col("snapshot") / POLL_ORDERS)
     kind = F.col("poll") % 7
-    docs = (feature_lines(spark, sf_dir, keep_snapshot=True).withColumn("poll", poll)
-            .groupBy("poll").agg(F.concat_ws(",", F.collect_list("value")).alias("features")))
+    lines, polls = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("snapshot")).agg(
+        F.count(F.lit(1)), F.count_distinct(poll)).first()
+    # the rows of a poll come to one task as they are; they are encoded, gathered and written there
+    rows = snapshot_rows(spark, sf_dir).withColumn("_poll", poll).repartition(landing_files(spark, lines), "_poll")
+    docs = (with_value(rows).groupBy(F.col("_poll").alias("poll"))
+            .agg(F.concat_ws(",", F.collect_list("value")).alias("features")))
     whole = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("features"), F.lit("]}"))
     docs = docs.select("poll", F.when(kind == 3, F.left(whole, F.floor(F.length(whole) / 2).cast("int")))
                        .when(kind == 5, F.lit('{"type":"FeatureCollection"}')).otherwise(whole).alias("value"))
     for name, some in (("gz", F.col("poll") % 2 == 0), ("plain", F.col("poll") % 2 == 1)):
-        (docs.where(some).repartition("poll").write.mode("overwrite").partitionBy("poll")
+        (docs.where(some).write.mode("overwrite").partitionBy("poll")
          .option("compression", "gzip" if name == "gz" else "none").text(f"{base}/landing/{name}"))
     store = _store(spark, sf_dir, base)
     landing = f"{base}/landing"
     start_ingest(spark, landing, store, FEED_DATASET, f"{base}/checkpoint", layout="documents",
-                 available_now=True, max_files_per_trigger=10).awaitTermination()
+                 available_now=True, max_files_per_trigger=max(10, -(-polls // POLL_BATCHES))).awaitTermination()
     # a document's snapshot id is its file's rank; the polls' kinds come back through the store's file names
     snaps = store.snapshots()
     polls = F.regexp_extract("source_file", r"poll=(\d+)", 1).cast("long")
