@@ -37,6 +37,7 @@ from pumpwatch.operators.counts import with_price_counts
 from pumpwatch.session import ensure_checkpoint_dir
 from pumpwatch.sinks.store import PriceStore
 from pumpwatch.sources import feed as fd
+from pumpwatch.sources.tables import broadcast_few
 
 # snapshot ids of document polls: batch id in the high 32 bits, then the file's rank
 BATCH_BITS = 32
@@ -76,12 +77,13 @@ class FeedBatch:
     def snapshots_and_features(self, batch: DataFrame, batch_id: int
                                ) -> tuple[DataFrame, DataFrame, DataFrame]:
         # the place of a record in its split; a batch is a plain DataFrame, so rows can be numbered
+        ensure_checkpoint_dir(batch.sparkSession)
         batch = batch.withColumn("_line", F.monotonically_increasing_id())
         if self.layout == "documents":
             # one snapshot per file, ranked by name: distributed numbering, any number of files
             ranks = assign_ids(batch.select("source_file").distinct(), ["source_file"],
                                start=(batch_id << BATCH_BITS) + 1, id_col="snapshot")
-            batch = batch.join(ranks, "source_file")
+            batch = batch.join(broadcast_few(ranks), "source_file")
         known = batch.where(F.col("snapshot").isNotNull())
         snaps = (known.groupBy(F.col("snapshot").alias("id"))
                  .agg(F.max("polled_at").alias("timestamp"),
@@ -89,9 +91,10 @@ class FeedBatch:
                  .select("id", "timestamp",
                          F.when(F.col("_bad"), F.lit(STATUS_ERROR))
                          .otherwise(F.lit(STATUS_PROCESSED)).alias("status"),
-                         F.lit(self.dataset).alias("dataset")))
+                         F.lit(self.dataset).alias("dataset")).checkpoint(eager=True))
+        # the features go past the ids of the bad polls, few as a rule, and stay where they are
         bad = snaps.where(F.col("status") == STATUS_ERROR).select(F.col("id").alias("snapshot"))
-        good = known.join(bad, "snapshot", "left_anti")
+        good = known if bad.isEmpty() else known.join(broadcast_few(bad), "snapshot", "left_anti")
         place = [F.col(c) for c in ("source_file", "_block", "_line")]
         if self.layout == "sequence":
             feats = good.select("snapshot", F.struct(*place).alias("pos"), "geometry", "properties")
@@ -114,7 +117,6 @@ class FeedBatch:
             snaps, flat, sources = self.snapshots_and_features(batch, batch_id)
             version = batch_id + 1
             # only the buckets of this batch's keys are read and rewritten; they hold all it resolves to
-            ensure_checkpoint_dir(batch.sparkSession)
             stations = self.store.upsert_dim(
                 "stations", ig.station_updates(flat, self.dataset).checkpoint(eager=True), ig.merge_stations, version)
             fuels = self.store.upsert_dim(
