@@ -118,3 +118,67 @@ def test_assign_ids_dense_and_ordered(spark):
     out = assign_ids(df, ["k"], start=101, partitions=7).collect()
     ids = sorted((r.k, r.id) for r in out)
     assert [i for _, i in ids] == list(range(101, 1101))
+
+
+def odd_document(braces="}"):
+    """Names with braces, quotes, backslashes and key names in them, nested and null entries, prices first."""
+    names = ["Chez {A}", "B} C", '"stations": [{', "D\\", "\\\\}", "}}{{", 'E"}', "é}", "snapshots", "", ", {", "]}"]
+    names = [n.replace("}", braces) for n in names]
+    return {"note": {"deep": [{"fuels": [{"id": 77, "name": "}"}]}]},
+            "prices": [{"station_id": i % 12, "fuel_id": i % 3, "price": 100.5 + i, "snapshot_id": i % 40} for i in range(300)],
+            "fuels": [None, *({"id": i, "name": f"F}}{i}"} for i in range(3)), {}],
+            'x}fuels': [{"id": 88, "name": "no fuel"}],
+            "stations": [{"id": i, "name": n, "city": n, "more": {"a}": [{"id": 99, "city": "}"}], "b": {}},
+                          "region": "R", "adress": n + n, "longitude": -70.5, "latitude": 45.0} for i, n in enumerate(names)],
+            "analysis": {"update_frequency": 9, "data_source_url": "http://a/{b}", "extra": {"version": 3}, "max_snapshots": 4},
+            "snapshots": [{"id": i, "timestamp": "2026-01-01T00:00:00+00:00", "status": "a}b" if i % 2 else None} for i in range(40)],
+            "version": 1}
+
+
+def check_sections(spark, path, doc):
+    secs = src.read_document_sections(spark, path)
+    for name, kind in src.DIMENSIONS.items():
+        got = sorted((tuple(r) for r in secs[name].collect()), key=repr)
+        want = sorted((tuple(x.get(c) for c in kind.names) for x in doc[name] if x is not None), key=repr)
+        assert got == want, name
+    head, = secs["manifest"].collect()
+    assert head.version == doc["version"]
+    assert head.analysis.asDict() == {c: doc["analysis"].get(c) for c in src.ANALYSIS.names}
+
+
+@pytest.mark.parametrize("split", ["64", "997", "1000000"])
+@pytest.mark.parametrize("indent", [None, 1])
+def test_document_sections_whole_wherever_it_is_split(spark, tmp_path, split, indent):
+    doc = odd_document()
+    if split == "64":       # one split for a few fragments is slow: the strings and nests are what matters
+        doc["prices"], doc["snapshots"] = doc["prices"][:5], doc["snapshots"][:8]
+    path = tmp_path / "export.json"
+    path.write_text(json.dumps(doc, indent=indent, ensure_ascii=False), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    if split != "1000000":
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert (src._fragments(spark, str(path)).rdd.getNumPartitions() > 1) == (split != "1000000")
+        check_sections(spark, str(path), doc)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_document_sections_of_parts(spark, tmp_path, packed):
+    """Parts end at line ends, in the order of their numbers; also within an entry."""
+    doc = odd_document()
+    lines = json.dumps(doc, indent=1, ensure_ascii=False).splitlines(keepends=True)
+    for k, i in enumerate(range(0, len(lines), 150)):
+        part = "".join(lines[i:i + 150]).encode()
+        (tmp_path / (f"part-{k}.json" + ".gz" * packed)).write_bytes(gzip.compress(part) if packed else part)
+    assert k >= 10                       # 10 comes after 9
+    check_sections(spark, str(tmp_path), doc)
+
+
+def test_document_cut_short_is_refused(spark, tmp_path):
+    path = tmp_path / "export.json"
+    path.write_text(json.dumps(odd_document())[:-200])
+    with pytest.raises(ValueError, match="cut short"):
+        src.read_document_sections(spark, str(path))
