@@ -145,24 +145,21 @@ def purge_stations(spark, sf_dir):
 
 def write_document(spark, root: str, path: str, analysis: str, compression: str,
                    snapshot_fields=("id", "timestamp", "status")) -> str:
-    """The sections of an exported archive as one JSON document.
+    """The sections of an exported archive as one JSON document, in parts.
 
-    One document is one file, so its lines go through one task in order; they
-    stay rows there, nothing is gathered in memory.
+    The parts, put together in the order of their names, are the document (and, if gzip, one gzip
+    file). A union keeps the order of its inputs and each task writes one part, so no task sees
+    more of the document than its part.
     """
-    lines = spark.createDataFrame([(0, 0, 0, '{"version": 1, "analysis": ' + analysis)],
-                                  "section int, part int, id long, value string")
-    for k, name in enumerate(("fuels", "stations", "snapshots", "prices"), 1):
+    line = lambda text: spark.range(0, 1, 1, 1).select(F.lit(text).alias("value"))
+    lines = line('{"version": 1, "analysis": ' + analysis)
+    for name in ("fuels", "stations", "snapshots", "prices"):
         rows = src.read_section(spark, root, name)
         if name == "snapshots":
             rows = rows.select(*snapshot_fields)
-        edge = spark.createDataFrame([(k, 0, 0, f', "{name}": [null'), (k, 2, 0, "]")], lines.schema)
-        body = rows.select(F.lit(k).alias("section"), F.lit(1).alias("part"), F.xxhash64(*rows.columns).alias("id"),
-                           F.concat(F.lit(", "), F.to_json(F.struct(*rows.columns))).alias("value"))
-        lines = lines.unionAll(edge).unionAll(body)
-    end = spark.createDataFrame([(9, 0, 0, "}")], lines.schema)
-    (lines.unionAll(end).repartition(1).sortWithinPartitions("section", "part", "id").select("value")
-     .write.mode("overwrite").option("compression", compression).text(path))
+        body = rows.select(F.concat(F.lit(", "), F.to_json(F.struct(*rows.columns))).alias("value"))
+        lines = lines.unionAll(line(f', "{name}": [null')).unionAll(body).unionAll(line("]"))
+    lines.unionAll(line("}")).write.mode("overwrite").option("compression", compression).text(path)
     return path
 
 

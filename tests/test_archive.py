@@ -182,3 +182,26 @@ def test_document_cut_short_is_refused(spark, tmp_path):
     path.write_text(json.dumps(odd_document())[:-200])
     with pytest.raises(ValueError, match="cut short"):
         src.read_document_sections(spark, str(path))
+
+
+def test_document_is_written_and_read_by_many_tasks(spark, tmp_path):
+    """No task writes the whole document, and the sections are rows, not arrays of one row."""
+    from pumpwatch.plans.archive_queries import write_document
+    reg, stations, snaps, prices, fuels = small_dataset(spark)
+    many = prices.crossJoin(spark.range(3000)).drop("id").repartition(6)
+    root = ar.export_archive(spark, str(tmp_path / "a"), reg, stations, snaps, many, fuels)
+    for compression, ending in (("gzip", ".gz"), ("none", ".txt")):
+        path = write_document(spark, root, str(tmp_path / compression), '{"active": true}', compression)
+        parts = sorted((tmp_path / compression).glob(f"part-*{ending}"))
+        opened = gzip.decompress if ending == ".gz" else bytes
+        sizes = [len(opened(p.read_bytes())) for p in parts]
+        assert max(sizes) < sum(sizes) / 3
+        text = opened(b"".join(p.read_bytes() for p in parts))     # as one file
+        doc = json.loads(text)
+        assert len(doc["prices"]) == 9001 and doc["prices"][0] is None
+        doc["fuels"] = [x for x in doc["fuels"] if x]
+        check_sections(spark, path, doc)
+        imp = ar.import_document(spark, path, dataset_id=2, fuels=fuels, next_station_id=F.lit(50),
+                                 next_snapshot_id=F.lit(500))
+        assert imp.prices.count() == 9000 and imp.dropped.count() == 0
+        assert imp.dataset.collect()[0].activate
