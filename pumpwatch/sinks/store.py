@@ -8,6 +8,7 @@
 
     <root>/sources/batch=<id>/  the files of each snapshot
     <root>/rejects/batch=<id>/  records that belong to no snapshot
+    <root>/staged/<name>/       rows of the batch at work, overwritten by the next one
 
 All-or-nothing snapshots (STR-03): a batch writes its facts and dimension
 versions first and publishes its snapshot rows last; readers only see facts of
@@ -36,6 +37,8 @@ from pyspark.sql import types as T
 from pumpwatch.model import STATUS_ERROR, STATUS_PROCESSED
 
 FACTS = "snapshot_id long, station_id long, fuel_id long, price decimal(10,2)"
+#: Bytes of a row group of staged rows: what a task that writes or reads them holds of them.
+STAGED_BYTES = 16 * 1024 * 1024
 #: The columns that a dimension's buckets are told by.
 DIM_KEYS = {"stations": ("dataset", "name", "adress"), "fuels": ("name",), "moves": ("station_id", "fuel_type")}
 MANIFEST = "version long, previous long, buckets int, schema string, entries array<struct<bucket int, v long, top long>>"
@@ -153,6 +156,15 @@ class PriceStore:
     def append(self, name: str, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self._path(name)}/batch={batch_id}")
 
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` evaluated once into files and read back, for a batch that goes over it several times.
+
+        Executors keep nothing of it. The next batch overwrites the files.
+        """
+        path = self._path(f"staged/{name}")
+        df.write.mode("overwrite").option("parquet.block.size", STAGED_BYTES).parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
     def day_of(self, timestamp: Column) -> Column:
         """The date partition of a snapshot's time; a missing time has one of its own."""
         return F.to_date(F.date_trunc(self.period, timestamp))
